@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: One module per operator; each has NAME, query(spark, sf_dir) and, where SQL can express it, ORACLE.
-OPERATORS = ("quality_rules", "sharding", "fingerprints", "simhash", "token_counts", "warc")
+OPERATORS = ("html_extract", "quality_rules", "sharding", "fingerprints", "simhash", "token_counts", "warc")
 
 
 def _modules():
