@@ -2,8 +2,10 @@
 
 from importlib import import_module
 
+import corpus_pipeline
+
 #: One module per operator; each has NAME, query(spark, sf_dir) and, where SQL can express it, ORACLE.
-OPERATORS = ("html_extract", "quality_rules", "sharding", "fingerprints", "simhash", "token_counts", "warc")
+OPERATORS = ("html_extract", "quality_rules", "sharding", "fingerprints", "simhash", "packing", "mixing", "token_counts", "warc")
 
 
 def _modules():
@@ -11,8 +13,9 @@ def _modules():
 
 
 def queries():
-    return {m.NAME: m.query for m in _modules()}
+    return {m.NAME: m.query for m in _modules()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles():
-    return {m.NAME: m.ORACLE for m in _modules() if getattr(m, "ORACLE", None)}
+    found = {m.NAME: m.ORACLE for m in _modules() if getattr(m, "ORACLE", None)}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
