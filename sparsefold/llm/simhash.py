@@ -118,7 +118,9 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:
     """Per row of df: _row, _id, _print and _root, the smallest fingerprint of its component."""
     rows = stash(with_fingerprints(df, id_col, text_col), "simhash-prints")
-    roots = components(links(rows.select("_print").distinct(), max_bits))
+    # dealt anew: the distinct fingerprints are few bytes, which would otherwise end up in a task or two before they multiply
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    roots = components(links(rows.select("_print").distinct().repartition(parts, "_print"), max_bits))
     return rows.join(roots, rows["_print"] == roots["vertex"], "left").select("_row", "_id", "_print", F.coalesce("root", "_print").alias("_root"))
 
 
@@ -133,6 +135,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint and component_id of every document."""
     rows = stash(near_duplicates(read(spark, sf_dir, "documents")), "simhash-rooted")
-    smallest = rows.groupBy("_root").agg(F.min("_id").alias("component_id")).withColumnRenamed("_root", "_of")
+    # a table of its own, so that the join below has nothing but exchanges under it and large groups can be split
+    smallest = stash(rows.groupBy("_root").agg(F.min("_id").alias("component_id")).withColumnRenamed("_root", "_of"), "simhash-smallest")
     out = rows.join(smallest, rows["_root"] == smallest["_of"])
     return out.select(F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), "component_id")
