@@ -1,10 +1,4 @@
 """QUERIES: name to (spark, sf_dir) -> DataFrame. ORACLES: name to DuckDB SQL over the same tables."""
 
-from __future__ import annotations
-
-from sparsefold.plans import statistics
-
-_PARTS = (statistics,)
-
-QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
-ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
+from sparsefold.plans import corpus, slices, statistics  # noqa: F401  each files its queries
+from sparsefold.plans.registry import ORACLES, QUERIES  # noqa: F401
