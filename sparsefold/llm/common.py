@@ -41,10 +41,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def no_clash(df: DataFrame, made: list[str]) -> DataFrame:
-    """df without the columns that an operator is about to make (names compare as Spark does, without case)."""
-    names = {m.lower() for m in made}
-    return df.drop(*[c for c in df.columns if c.lower() in names])
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores added until df has no such column (names compare as Spark does, without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 @dataclass(frozen=True)

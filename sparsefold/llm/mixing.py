@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparsefold.llm.common import read, stash
+from sparsefold.llm.common import free_name, read, stash
 
 NAME = "op7_temperature_mixing"
 
@@ -134,19 +134,22 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     return Mix(exponent, entropy, whole, stash(found, "mixing-plan"))
 
 
-def _copies(df: DataFrame, mixed: Mix, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """df with __pass, a row for each pass that takes the row, and the source's figures in __q."""
-    q = mixed.quotas.select(F.struct("*").alias("__q"), F.col("source").alias("__s"))
-    last = order_of(id_col, text_col, F.col("__q.passes"), seed)
-    passes = F.col("__q.passes") + F.when(last <= F.col("__q.cut"), 1).otherwise(0)
-    joined = df.join(q, F.col(source_col).eqNullSafe(F.col("__s"))).drop("__s")
-    return joined.withColumn("__pass", F.explode(F.sequence(F.lit(0), passes))).filter(F.col("__pass") < passes)
+def _copies(df: DataFrame, mixed: Mix, id_col: str, text_col: str, source_col: str, seed: int) -> tuple[DataFrame, str, str]:
+    """df with a row for each pass that takes the row; the names of the pass's column and of the source's figures."""
+    number, figures, source = (free_name(df, n) for n in ("__pass", "__figures", "__source"))
+    q = mixed.quotas.select(F.struct("*").alias(figures), F.col("source").alias(source))
+    whole = F.col(figures)["passes"]
+    last = order_of(id_col, text_col, whole, seed)
+    passes = whole + F.when(last <= F.col(figures)["cut"], 1).otherwise(0)
+    joined = df.join(q, F.col(source_col).eqNullSafe(F.col(source))).drop(source)
+    return joined.withColumn(number, F.explode(F.sequence(F.lit(0), passes))).filter(F.col(number) < passes), number, figures
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 5, **limits) -> DataFrame:
     """The rows of df, each as often as its passes take it."""
     mixed = plan(df, id_col, text_col, source_col, seed=seed, **limits)
-    return _copies(df, mixed, id_col, text_col, source_col, seed).drop("__pass", "__q")
+    copies, number, figures = _copies(df, mixed, id_col, text_col, source_col, seed)
+    return copies.drop(number, figures)
 
 
 def schedule(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 5, block_tokens: int = BLOCK_TOKENS, **limits) -> DataFrame:
@@ -154,8 +157,10 @@ def schedule(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     mixed = plan(df, id_col, text_col, source_col, seed=seed, **limits)
     blocks = max(1, math.ceil(mixed.budget / block_tokens))
     narrow = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), size_of(text_col).alias("size"))
-    copies = _copies(narrow, mixed, "id", "text", "source", seed).withColumn("order", order_of("id", "text", F.col("__pass"), seed)).withColumn("bucket", _bucket(F.col("order"), F.col("__q.docs")))
-    copies = stash(copies.select("id", "source", "size", F.col("__pass").alias("pass"), "order", "bucket", F.col("__q.tokens").alias("tokens"), F.col("__q.quota").alias("quota")), "mixing-copies")
+    copies, number, figures = _copies(narrow, mixed, "id", "text", "source", seed)
+    q, order = F.col(figures), order_of("id", "text", F.col(number), seed)
+    copies = copies.select("id", "source", "size", F.col(number).alias("pass"), order.alias("order"), _bucket(order, q["docs"]).alias("bucket"), q["tokens"].alias("tokens"), q["quota"].alias("quota"))
+    copies = stash(copies, "mixing-copies")
     sums = copies.groupBy("source", "pass", "bucket").agg(F.sum("size").alias("total"))
     before = F.sum("total").over(Window.partitionBy("source", "pass").orderBy("bucket")) - F.col("total")
     sums = stash(sums.select(F.col("source").alias("_s"), F.col("pass").alias("_p"), F.col("bucket").alias("_b"), before.alias("before")), "mixing-buckets")

@@ -215,3 +215,23 @@ def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report over all documents."""
     return quality_report(read(spark, sf_dir, "documents"))
+
+
+#: The report in SQL: each rule is a condition, and a text is kept if none holds.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+n AS (SELECT rid, doc_id, words, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines FROM w),
+k AS (SELECT rid, i, list_slice(words, i, i + 7) AS win FROM n, unnest(range(1, n_words - 6)) AS r(i) WHERE n_words > 8),
+twice AS (SELECT rid, win FROM k GROUP BY ALL HAVING count(*) > 1),
+rep AS (SELECT rid, count(*) AS n_repeat_words FROM (SELECT DISTINCT rid, unnest(range(i, i + 8)) AS p FROM k JOIN twice USING (rid, win)) GROUP BY 1),
+s AS (SELECT n.*, coalesce(n_repeat_words, 0) AS n_repeat_words,
+        list_filter(words, lambda x: strlen(x) > 1 AND regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]')) AS long,
+        len(list_filter(words, lambda x: NOT regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS no_letter,
+        len(list_filter(list_zip(words[1:-2], words[2:]), lambda p: p[1] = p[2])) AS stutter FROM n LEFT JOIN rep USING (rid)),
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+        10 * n_symbols > n_words OR word_chars > 200 * greatest(1, n_words) OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines)
+        OR 2 * len(list_filter(long, lambda x: upper(x) = x AND lower(x) <> x)) > len(long) OR 10 * stutter > 3 * n_words OR 2 * no_letter > n_words AS rejected FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM v
+"""

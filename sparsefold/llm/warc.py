@@ -55,9 +55,11 @@ def chunks(payload: bytes, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int
             end -= 1
         while end < len(payload) and payload[end] & 0xC0 == 0x80:  # a chunk is one whole code point at least
             end += 1
-        risk = 1 if payload[at : at + 2] == RISK[len(GAP) :] else payload.find(RISK, at, end) - at + len(RISK) - 1
-        if 0 < risk <= end - at and (risk == 1 or risk >= len(RISK) - 1):
-            end = at + risk
+        found = payload.find(RISK, at, end)
+        if payload[at : at + 2] == RISK[len(GAP) :]:  # right after a header's own gap
+            end = at + 1
+        elif found >= 0:
+            end = found + len(RISK) - 1
         digest.update(view[at:end])
         yield number, view[at:end], digest.copy().hexdigest()
         at, number = end, number + 1
@@ -218,3 +220,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(read(spark, sf_dir, "pages"), path)
     return read_archives(spark, path)
+
+
+#: What the archives must give back, from the table itself.
+ORACLE = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+"""
