@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparsefold.llm.common import read, stash
+from sparsefold.llm.common import free_name, read, stash
 
 NAME = "op5_simhash_near_dedup"
 
@@ -120,7 +120,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = stash(with_fingerprints(df, id_col, text_col), "simhash-prints")
     # dealt anew: the distinct fingerprints are few bytes, which would otherwise end up in a task or two before they multiply
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    roots = components(links(rows.select("_print").distinct().repartition(parts, "_print"), max_bits))
+    roots = components(links(rows.select("_print").distinct().repartition(parts), max_bits))
     return rows.join(roots, rows["_print"] == roots["vertex"], "left").select("_row", "_id", "_print", F.coalesce("root", "_print").alias("_root"))
 
 
@@ -128,8 +128,9 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     """df with one row of each component: that of the smallest id (null ids last, then the first row)."""
     rows = near_duplicates(df, id_col, text_col, max_bits)
     first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))).alias("first")
-    kept = rows.groupBy("_root").agg(first).select(F.col("first._row").alias("__kept_row"))
-    return df.withColumn("__row", F.monotonically_increasing_id()).join(kept, F.col("__row") == F.col("__kept_row"), "left_semi").drop("__row")
+    row, kept_row = free_name(df, "__row"), free_name(df, "__kept")
+    kept = rows.groupBy("_root").agg(first).select(F.col("first._row").alias(kept_row))
+    return df.withColumn(row, F.monotonically_increasing_id()).join(kept, F.col(row) == F.col(kept_row), "left_semi").drop(row)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
