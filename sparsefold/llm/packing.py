@@ -20,6 +20,7 @@ carried.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,30 +40,74 @@ END = 2
 SHARD_PIECES = 2000
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
-#: Runs of characters that a worker remembers at most.
-MEMO = 200_000
-
-
-class Encoder(dict):
-    """Token numbers of a run of bytes, packed as little-endian 16-bit numbers."""
+#: Parts of texts that a worker remembers at most, some 200 MB.
+MEMO = 900_000
+#: Texts that are encoded at a time.
+BLOCK = 256
+#: What a special string starts with, and the lead bytes of combining marks.
+UNSURE = (b"<|", b"\xcc", b"\xcd")
+#: Punctuation after an ASCII letter or digit, or a letter of the Latin-1 block, and before white space or the end.
+WORD_END = re.compile(rb"([!-/:-@\[-`{-~](?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-/:-@\[-`{-~]*)(?=[ \t-\r]|\Z)")
+
+
+class Encoder:
+    """Token numbers of texts, packed as little-endian 16-bit numbers.
+
+    A text is cut at white space and before punctuation that ends a word, and lowered, which the tokenizer does itself:
+    texts with special strings or with marks that could compose with a letter of one case only are left as they are. A
+    part is encoded once. Parts of letters alone are single pre-tokens, which end with the vocabulary's word-end mark, so
+    many of them are encoded in one call and told apart by that mark.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         self.library = Tokenizer.from_file(path)
-        if self.library.get_vocab_size() > 1 << 16:
+        # the same merges for words of letters that are lowered and composed already
+        self.merges = Tokenizer(self.library.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.library.get_vocab()
+        if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("token numbers must fit into 16 bits")
-
-    def __missing__(self, run: bytes) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        packed = np.array(self.library.encode(run.decode(), add_special_tokens=False).ids, "<u2").tobytes()
-        self[run] = packed
-        return packed
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.parts: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def cut(text: str | None) -> list[bytes]:
+        data = (text or "").encode()
+        if not any(u in data for u in UNSURE):
+            data = WORD_END.sub(rb" \1", data.lower())
+        return data.split()
+
+    def learn(self, new: set[bytes]) -> None:
+        """Encode new parts and remember them."""
+        if len(self.parts) + len(new) > MEMO:
+            self.parts = {}
+        letters = [(part, word) for part in new if (word := part.decode().lower()).isalpha() and (word.isascii() or max(word) < "\u0300")]
+        for at in range(0, len(letters), 2000):
+            some = letters[at : at + 2000]
+            (found,) = self.merges.encode_batch_fast([" ".join(word for _, word in some)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u2")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            packed, start = ids.tobytes(), 0
+            for (part, _), end in zip(some, ends, strict=True):
+                self.parts[part], start = packed[2 * start : 2 * end], end
+        for part in new.difference(self.parts):
+            self.parts[part] = np.array(self.library.encode(part.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        split = [self.cut(t) for t in texts]
+        found = [list(map(self.parts.get, parts)) for parts in split]
+        gaps = [[at for at, i in enumerate(ids) if i is None] for ids in found]
+        self.learn({parts[at] for parts, places in zip(split, gaps, strict=True) for at in places})
+        for parts, ids, places in zip(split, found, gaps, strict=True):
+            for at in places:
+                ids[at] = self.parts[parts[at]]
+        return list(map(b"".join, found))
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").encode().split()))
+        return self.encode_all([text])[0]
 
 
 def checksum(ids: np.ndarray) -> int:
@@ -70,25 +115,33 @@ def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-PIECE_SCHEMA = "doc_id bigint, row bigint, start bigint, length bigint, doc_tokens bigint, crc bigint, ids binary"
-PIECE_TYPES = [pa.int64()] * 6 + [pa.binary()]
+PIECE_SCHEMA = "doc_id bigint, row bigint, start bigint, length bigint, doc_tokens bigint, crc bigint, ids binary, terms binary, times binary"
+PIECE_TYPES = [pa.int64()] * 6 + [pa.binary()] * 3
 
 
 def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, window: int = WINDOW, end: int = END) -> DataFrame:
-    """The windows and the rest of each document; ids holds the tokens of a rest and is null for a full window."""
+    """The windows and the rest of each document.
+
+    ids holds the tokens of a rest, terms its distinct ones and times how often each comes (16 bits each); all three are
+    null for a full window.
+    """
 
     def run(batches):
         encoder, tail = Encoder(tokenizer), np.array([end], "<u2").tobytes()
         for batch in batches:
             out, held = [], 0
-            for i in range(batch.num_rows):
-                ids = np.frombuffer(encoder.encode(batch.column(2)[i].as_py()) + tail, "<u2")
-                doc, row, n = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), len(ids)
+            documents = (d for at in range(0, batch.num_rows, BLOCK) for d in _encoded(batch.slice(at, BLOCK), encoder))
+            for doc, row, packed in documents:
+                ids = np.frombuffer(packed + tail, "<u2")
+                n = len(ids)
                 for start in range(0, n, window):
                     part = ids[start : start + window]
-                    whole = len(part) == window
-                    out.append((doc, row, start, len(part), n, checksum(part), None if whole else part.tobytes()))
-                    held += 0 if whole else 2 * len(part)
+                    if len(part) == window:
+                        out.append((doc, row, start, window, n, checksum(part), None, None, None))
+                        continue
+                    terms, times = np.unique(part, return_counts=True)
+                    out.append((doc, row, start, len(part), n, checksum(part), part.tobytes(), terms.tobytes(), times.astype("<u2").tobytes()))
+                    held += 4 * len(part)
                 if held > 1 << 24:
                     yield _batch(out, PIECE_TYPES, PIECE_SCHEMA)
                     out, held = [], 0
@@ -98,6 +151,10 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, window: in
     return rows.mapInArrow(run, PIECE_SCHEMA)
 
 
+def _encoded(batch: pa.RecordBatch, encoder: Encoder) -> Iterator[tuple]:
+    return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoder.encode_all(batch.column(2).to_pylist()), strict=True)
+
+
 def _batch(rows: list[tuple], types: list[pa.DataType], schema: str) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[]] * len(types)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in schema.split(", ")])
@@ -109,12 +166,12 @@ def frequencies(rests: DataFrame) -> DataFrame:
     def run(batches):
         counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                counts[np.unique(np.frombuffer(ids.as_py(), "<u2"))] += 1
+            packed = b"".join(batch.column(0).to_pylist())
+            counts += np.bincount(np.frombuffer(packed, "<u2"), minlength=1 << 16)
         terms = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts[terms])], ["term", "df"])
 
-    return rests.select("ids").mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+    return rests.select("terms").mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 @dataclass
@@ -127,12 +184,12 @@ class Index:
     terms: list[np.ndarray]
 
     @classmethod
-    def build(cls, ids: list[np.ndarray], idf: np.ndarray, mean: float) -> Index:
-        found = [np.unique(x, return_counts=True) for x in ids]
+    def build(cls, sizes: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean: float) -> Index:
+        """sizes: the pieces' lengths; found: their distinct terms and how often each comes."""
         terms = np.concatenate([t for t, _ in found]).astype(np.int64)
-        owners = np.repeat(np.arange(len(ids)), [len(t) for t, _ in found])
+        owners = np.repeat(np.arange(len(found)), [len(t) for t, _ in found])
         tf = np.concatenate([c for _, c in found]).astype(float)
-        size = np.array([len(x) for x in ids], float)[owners]
+        size = sizes.astype(float)[owners]
         weights = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
         useful = idf[terms] > 0
         terms, owners, weights = terms[useful], owners[useful], weights[useful]
@@ -201,14 +258,15 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
 
     def run(key, table):
         shard = key[0].as_py() << 32
-        rows = table.sort_by([("row", "ascending"), ("start", "ascending")]).select(["doc_id", "start", "length", "doc_tokens", "crc", "ids"]).to_pylist()
+        rows = table.sort_by([("row", "ascending"), ("start", "ascending")]).drop_columns(["row", "shard"]).to_pylist()
         out, whole, open_ = [], [r for r in rows if r["ids"] is None], [r for r in rows if r["ids"] is not None]
         for number, r in enumerate(whole):
             out.append((r["doc_id"], r["start"], r["length"], r["crc"], r["doc_tokens"], shard + (1 << 31) + number, 0))
         if open_:
             ids = [np.frombuffer(r["ids"], "<u2") for r in open_]
-            index = Index.build(ids, idf, mean)
-            for number, piece, at, length, offset in fill(np.array([len(x) for x in ids]), index, window):
+            sizes = np.array([len(x) for x in ids])
+            index = Index.build(sizes, [(np.frombuffer(r["terms"], "<u2"), np.frombuffer(r["times"], "<u2")) for r in open_], idf, mean)
+            for number, piece, at, length, offset in fill(sizes, index, window):
                 r = open_[piece]
                 crc = r["crc"] if length == r["length"] else checksum(ids[piece][at : at + length])
                 out.append((r["doc_id"], r["start"] + at, length, crc, r["doc_tokens"], shard + number, offset))
