@@ -63,6 +63,7 @@ class Page:
     chars: list[int] = field(default_factory=lambda: [0])
     linked: list[int] = field(default_factory=lambda: [0])
     stops: list[int] = field(default_factory=lambda: [0])
+    legal: list[int] = field(default_factory=lambda: [0])
     runs: list[tuple[int, str]] = field(default_factory=list)
     length: int = 0
 
@@ -71,7 +72,7 @@ def parse(source: str) -> Page:
     """Read a page into its block elements and text runs."""
     page = Page(length=len(source))
     stack, linked, at, size = [0], False, 0, len(source)
-    parent, tags, attrs, starts, counts, chars, links, stops, runs = page.parent, page.tag, page.attributes, page.start, page.tags, page.chars, page.linked, page.stops, page.runs
+    parent, tags, attrs, starts, counts, chars, links, stops, legal, runs = page.parent, page.tag, page.attributes, page.start, page.tags, page.chars, page.linked, page.stops, page.legal, page.runs
 
     def text(a: int, b: int) -> None:
         s = source[a:b]
@@ -82,6 +83,8 @@ def parse(source: str) -> Page:
         n = len(s) if not s.isspace() else 0
         chars[node] += n
         stops[node] += s.count(".") + s.count(",")
+        if n < 200 and ("\u00a9" in s or "opyright" in s):
+            legal[node] += 1
         if linked:
             links[node] += n
 
@@ -127,7 +130,7 @@ def parse(source: str) -> Page:
             tags.append(name)
             attrs.append(m[3])
             starts.append(m.start())
-            for column in (counts, chars, links, stops):
+            for column in (counts, chars, links, stops, legal):
                 column.append(0)
         elif name == "a":
             linked = True
@@ -166,13 +169,13 @@ def _group(tag: str) -> int:
 
 
 GROUP = {t: _group(t) for t in BLOCKS} | {"": -1}
-FEATURES = len(TAG_GROUPS) + 22
+FEATURES = len(TAG_GROUPS) + 23
 
 
 def features(page: Page) -> list[list[float]]:
     """One row per node: tag group, attribute tokens, subtree density, depth and sibling statistics."""
     n, parent = len(page.tag), page.parent
-    tags, chars, linked, stops = page.tags[:], page.chars[:], page.linked[:], page.stops[:]
+    tags, chars, linked, stops, legal = page.tags[:], page.chars[:], page.linked[:], page.stops[:], page.legal[:]
     nodes, paragraphs, children, kin = [1] * n, [t == "p" for t in page.tag], [0] * n, [0] * n
     for i in range(n - 1, 0, -1):
         p = parent[i]
@@ -180,6 +183,7 @@ def features(page: Page) -> list[list[float]]:
         chars[p] += chars[i]
         linked[p] += linked[i]
         stops[p] += stops[i]
+        legal[p] += legal[i]
         nodes[p] += nodes[i]
         paragraphs[p] += paragraphs[i]
         children[p] += 1
@@ -205,7 +209,7 @@ def features(page: Page) -> list[list[float]]:
         row[len(TAG_GROUPS) :] = (
             bad[i], good[i], against[i], favour[i], depth[i], place[i], place[i] / siblings, siblings, same[p, page.tag[i]] / siblings if i else 1.0,
             log(c), log(page.chars[i]), c / whole, c / max(1, chars[p]), c / (1 + tags[i]), linked[i] / max(1, c), stops[i] / max(1, c), log(paragraphs[i]), log(nodes[i]),
-            c / nodes[i], page.start[i] / max(1, page.length), chars[p] / nodes[p], children[i],
+            c / nodes[i], page.start[i] / max(1, page.length), chars[p] / nodes[p], children[i], legal[i] / nodes[i],
         )
         rows.append(row)
     return rows
@@ -260,14 +264,17 @@ def trained(training_pages: int = 600, seed: int = 11) -> boosting.Boosted:
     for source in labelled_pages(training_pages, seed):
         page = parse(source)
         rows += features(page)
-        states += [_state(a) for a in page.attributes]
+        states += known_states(page)
     x, y = np.array(rows), np.array(states)
     return boosting.fit(x[y >= 0], y[y >= 0], classes=3)
 
 
-def _state(attributes: str) -> int:
-    found = re.search(r'data-state="(\w+)"', attributes)
-    return {"in": IN, "out": OUT, "mixed": MIXED}[found[1]] if found else (MIXED if not attributes else -1)
+def known_states(page: Page) -> list[int]:
+    """The states that a made-up page carries; -1 for nodes that it has none for. Text outside of all elements is inside."""
+    found = [re.search(r'data-state="(\w+)"', a) for a in page.attributes]
+    states = [{"in": IN, "out": OUT, "mixed": MIXED}[m[1]] if m else -1 for m in found]
+    states[0] = IN if page.chars[0] else MIXED
+    return states
 
 
 def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", training_pages: int = 600) -> DataFrame:

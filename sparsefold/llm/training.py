@@ -67,7 +67,7 @@ class _Pages:
         """A block that is no main text."""
         r = self.r
         if name in ("ul", "ol") and classes == "menu" or name == "nav":
-            inside = self.links() if name == "nav" else "".join(self.tag("li", "", "out", f'<a href="/x">{self.sentence(1, 3)}</a>') for _ in range(r.randint(3, 9)))
+            inside = r.choice((self.links(), self.links(), self.links(), self.sentence(1, 6))) if name == "nav" else "".join(self.tag("li", "", "out", f'<a href="/x">{self.sentence(1, 3)}</a>') for _ in range(r.randint(3, 9)))
         elif "comment" in classes:
             inside = self.tag("h3", "", "out", "Comments") * r.randint(0, 1) + "".join(self.tag(r.choice(("div", "li", "article")), r.choice(("comment", "", "reply")), "out", self.tag("p", r.choice(("", "author")), "out", self.sentence(2, 5)) * r.randint(0, 1) + self.tag("p", "", "out", self.sentence(5, 60))) for _ in range(r.randint(1, 5)))
         elif name == "form":
@@ -109,6 +109,8 @@ class _Pages:
             before.insert(0, self.off(*r.choice((("nav", ""), ("nav", "menu"), ("header", "")))))
         if r.random() < 0.7:
             after.append(self.off("footer", r.choice(("", "footer"))))
+        elif r.random() < 0.6:
+            after.append(self.tag(r.choice(("div", "p")), "", "out", r.choice(("&copy; ", "Copyright ", "Copyright &copy; ")) + self.sentence(1, 8)))
         body = "".join([*before, main, *after])
         whole = f'<!DOCTYPE html><html lang="en" data-state="mixed"><head><title>{self.sentence(2, 6)}</title><style>p{{margin:0}}</style></head><body data-state="mixed">{body}</body></html>'
         if r.random() < 0.1:
@@ -117,11 +119,14 @@ class _Pages:
 
 
 def labelled_pages(count: int, seed: int) -> list[str]:
-    """count pages; a page of the grammar now and then is a bare text or a list of paragraphs without a wrapper."""
+    """count pages; now and then one is a bare text or a list of paragraphs without a wrapper, instead of a page of the grammar."""
     pages = _Pages(seed)
     out = []
     for i in range(count):
-        if i % 40 == 0:
+        if i % 40 == 1:
+            text = "<br>".join(pages.sentence(3, 120) for _ in range(1 + i % 3))
+            out.append(text if i % 80 == 1 else f'<html data-state="mixed"><body data-state="in">{text}</body></html>')
+        elif i % 40 == 0:
             body = "".join(pages.paragraph("in") for _ in range(1 + i % 7))
             out.append(f'<html data-state="mixed"><body data-state="mixed">{body}</body></html>')
         else:
