@@ -24,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,8 @@ END = 2
 SHARD_PIECES = 2000
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
-#: Parts of texts that a worker remembers at most, some 200 MB.
-MEMO = 900_000
+#: Parts of texts that a worker remembers at most, some 130 MB.
+MEMO = 600_000
 #: Texts that are encoded at a time.
 BLOCK = 256
 #: What a special string starts with, and the lead bytes of combining marks.
@@ -50,6 +51,12 @@ UNSURE = (b"<|", b"\xcc", b"\xcd")
 WORD_END = re.compile(rb"([!-/:-@\[-`{-~](?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-/:-@\[-`{-~]*)(?=[ \t-\r]|\Z)")
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder, which outlives its tasks: what one has learnt serves the next."""
+    return Encoder(path)
+
+
 class Encoder:
     """Token numbers of texts, packed as little-endian 16-bit numbers.
 
@@ -74,8 +81,7 @@ class Encoder:
         self.parts: dict[bytes, bytes] = {}
 
     @staticmethod
-    def cut(text: str | None) -> list[bytes]:
-        data = (text or "").encode()
+    def cut(data: bytes) -> list[bytes]:
         if not any(u in data for u in UNSURE):
             data = WORD_END.sub(rb" \1", data.lower())
         return data.split()
@@ -96,8 +102,8 @@ class Encoder:
         for part in new.difference(self.parts):
             self.parts[part] = np.array(self.library.encode(part.decode(), add_special_tokens=False).ids, "<u2").tobytes()
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.cut(t) for t in texts]
+    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
+        split = [self.cut(t or b"") for t in texts]
         found = [list(map(self.parts.get, parts)) for parts in split]
         gaps = [[at for at, i in enumerate(ids) if i is None] for ids in found]
         self.learn({parts[at] for parts, places in zip(split, gaps, strict=True) for at in places})
@@ -107,7 +113,7 @@ class Encoder:
         return list(map(b"".join, found))
 
     def encode(self, text: str | None) -> bytes:
-        return self.encode_all([text])[0]
+        return self.encode_all([(text or "").encode()])[0]
 
 
 def checksum(ids: np.ndarray) -> int:
@@ -115,6 +121,15 @@ def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of a short list and how often each comes, as 16-bit numbers."""
+    ordered = np.sort(ids)
+    new = np.empty(len(ids), bool)
+    new[:1], new[1:] = True, ordered[1:] != ordered[:-1]
+    at = np.flatnonzero(new)
+    return ordered[at], np.diff(at, append=len(ids)).astype("<u2")
+
+
 PIECE_SCHEMA = "doc_id bigint, row bigint, start bigint, length bigint, doc_tokens bigint, crc bigint, ids binary, terms binary, times binary"
 PIECE_TYPES = [pa.int64()] * 6 + [pa.binary()] * 3
 
@@ -127,7 +142,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, window: in
     """
 
     def run(batches):
-        encoder, tail = Encoder(tokenizer), np.array([end], "<u2").tobytes()
+        encoder, tail = encoder_of(tokenizer), np.array([end], "<u2").tobytes()
         for batch in batches:
             out, held = [], 0
             documents = (d for at in range(0, batch.num_rows, BLOCK) for d in _encoded(batch.slice(at, BLOCK), encoder))
@@ -139,8 +154,8 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, window: in
                     if len(part) == window:
                         out.append((doc, row, start, window, n, checksum(part), None, None, None))
                         continue
-                    terms, times = np.unique(part, return_counts=True)
-                    out.append((doc, row, start, len(part), n, checksum(part), part.tobytes(), terms.tobytes(), times.astype("<u2").tobytes()))
+                    terms, times = distinct(part)
+                    out.append((doc, row, start, len(part), n, checksum(part), part.tobytes(), terms.tobytes(), times.tobytes()))
                     held += 4 * len(part)
                 if held > 1 << 24:
                     yield _batch(out, PIECE_TYPES, PIECE_SCHEMA)
@@ -152,7 +167,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, window: in
 
 
 def _encoded(batch: pa.RecordBatch, encoder: Encoder) -> Iterator[tuple]:
-    return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoder.encode_all(batch.column(2).to_pylist()), strict=True)
+    return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoder.encode_all(batch.column(2).cast(pa.binary()).to_pylist()), strict=True)
 
 
 def _batch(rows: list[tuple], types: list[pa.DataType], schema: str) -> pa.RecordBatch:
@@ -197,6 +212,12 @@ class Index:
         starts = np.searchsorted(terms[order], np.arange(len(idf) + 1))
         return cls(starts, owners[order], weights[order], [t[idf[t] > 0].astype(np.int64) for t, _ in found])
 
+    def without_used(self, unused: np.ndarray) -> Index:
+        """The index of the unused pieces alone."""
+        kept = unused[self.owners]
+        before = np.concatenate(([0], np.cumsum(kept)))
+        return Index(before[self.starts], self.owners[kept], self.weights[kept], self.terms)
+
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """The unused pieces by BM25 score for the seed's terms, best first."""
         terms = self.terms[seed]
@@ -215,8 +236,10 @@ def fill(sizes: np.ndarray, index: Index, window: int = WINDOW) -> Iterator[tupl
     """
     unused = np.ones(len(sizes), bool)
     by_size = np.argsort(-sizes, kind="stable").tolist()
-    sequence, next_seed, rest = 0, 0, None
+    sequence, next_seed, rest, left = 0, 0, None, len(sizes)
     while True:
+        if 2 * np.count_nonzero(unused) < left:  # lists shrink as pieces are used up
+            index, left = index.without_used(unused), np.count_nonzero(unused)
         if rest is None:
             while next_seed < len(by_size) and not unused[by_size[next_seed]]:
                 next_seed += 1
