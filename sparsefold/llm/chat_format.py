@@ -6,8 +6,8 @@ that the automaton misses (insert). Dynamic programming over the automaton finds
 and the repaired sequence is rendered.
 
 The states' cost matrices of consecutive turns combine by min-plus products, which is associative. Turns are dealt to
-buckets of contiguous (conversation, turn) order, so a conversation of any length is cut into bounded chunks: chunks are
-summed up into 4 x 4 matrices, the matrices of a conversation decide the state at each cut, and every chunk is then repaired
+buckets of contiguous (conversation, turn) order and numbered there, so a conversation of any length is cut into chunks of
+chunk_turns at most: chunks are summed up into 4 x 4 matrices, the matrices of a conversation decide the state at each cut, and every chunk is then repaired
 on its own between its fixed states. No task holds a conversation, only a chunk.
 
 A row comes out for each turn. rendered holds the turn's part of the conversation's text: the parts in the order of seq,
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparsefold.llm.common import bucket_target, range_buckets, read, stash
@@ -163,7 +163,7 @@ def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType],
     yield batch()
 
 
-def repair(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", rows_per_bucket: int = 5000) -> DataFrame:
+def repair(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", rows_per_bucket: int = 20_000, chunk_turns: int = 5000) -> DataFrame:
     """Per turn: conv_id, seq, turn, role, new_role, action, inserted, cost, rendered."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -173,42 +173,47 @@ def repair(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     )
     keys = [F.col("_none").cast("bigint"), *[F.col(c) for c in ("_conv", "_k2", "_k3", "_k4", "_k5")]]
     buckets = range_buckets(rows, keys, bucket_target(spark, max(1, rows.count()), rows_per_bucket))
-    dealt = rows.withColumn("_bucket", buckets.bucket(keys))
-    order = ["_bucket", "_none", "_conv", "_k2", "_k3", "_k4", "_k5"]
-    group = ["_bucket", "_none", "_conv"]
+    order = ["_none", "_conv", "_k2", "_k3", "_k4", "_k5"]
+    group = ["_bucket", "_part", "_none", "_conv"]
+
+    def dealt(df: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
+        return df.withColumn("_bucket", buckets.bucket(keys)).withColumn("_part", F.floor(place / chunk_turns).cast("int"))
 
     def summed(batches):
-        found = ((*g[0][:3], len(g), matrix([role_number(r[3]) for r in g])) for g in _groups(batches, 3))
-        yield from _batches(found, ["_bucket", "_none", "_conv", "_n", "_matrix"], [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())])
+        found = ((*g[0][:4], len(g), matrix([role_number(r[4]) for r in g])) for g in _groups(batches, 4))
+        yield from _batches(found, [*group, "_n", "_matrix"], [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())])
 
-    ordered = dealt.select(*order, "_role").repartition(parts, *group).sortWithinPartitions(*order).select(*group, "_role")
-    chunks = ordered.mapInArrow(summed, "_bucket int, _none int, _conv bigint, _n bigint, _matrix array<bigint>")
+    ordered = dealt(rows.select(*order, "_role")).repartition(parts, *group).sortWithinPartitions(*group, *order).select(*group, "_role")
+    chunks = ordered.mapInArrow(summed, "_bucket int, _part int, _none int, _conv bigint, _n bigint, _matrix array<bigint>")
 
     def decided(batches):
         def found():
             for g in _groups(batches, 2):
                 entry, seq = START, 0
-                for i, ((none, conv, bucket, n, _), leave) in enumerate(zip(g, cuts([r[4] for r in g]), strict=True)):
-                    yield bucket, none, conv, entry, leave, seq, i == len(g) - 1
+                for i, ((none, conv, bucket, part, n, _), leave) in enumerate(zip(g, cuts([r[5] for r in g]), strict=True)):
+                    yield bucket, part, none, conv, entry, leave, seq, i == len(g) - 1
                     entry, seq = leave, seq + n
 
-        yield from _batches(found(), ["_b", "_nn", "_c", "_entry", "_leave", "_seq", "_last"], [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()])
+        yield from _batches(found(), ["_b", "_p", "_nn", "_c", "_entry", "_leave", "_seq", "_last"], [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()])
 
-    by_conversation = chunks.repartition(parts, "_none", "_conv").sortWithinPartitions("_none", "_conv", "_bucket").select("_none", "_conv", "_bucket", "_n", "_matrix")
-    fixed = stash(by_conversation.mapInArrow(decided, "_b int, _nn int, _c bigint, _entry int, _leave int, _seq bigint, _last boolean"), "chat-cuts")
+    along = ["_none", "_conv", "_bucket", "_part"]
+    by_conversation = chunks.repartition(parts, "_none", "_conv").sortWithinPartitions(*along).select(*along, "_n", "_matrix")
+    fixed = stash(by_conversation.mapInArrow(decided, "_b int, _p int, _nn int, _c bigint, _entry int, _leave int, _seq bigint, _last boolean"), "chat-cuts")
 
     def repaired(batches):
         def found():
-            for g in _groups(batches, 3):
-                _, none, conv, entry, leave, seq, last = g[0][:7]
-                parts_ = render([r[9] for r in g], [role_number(r[8]) for r in g], entry, leave, last)
+            for g in _groups(batches, 4):
+                _, _, none, conv, entry, leave, seq, last = g[0][:8]
+                parts_ = render([r[10] for r in g], [role_number(r[9]) for r in g], entry, leave, last)
                 for i, (row, part) in enumerate(zip(g, parts_, strict=True)):
-                    yield None if none else conv, seq + i, row[7], row[8], *part
+                    yield None if none else conv, seq + i, row[8], row[9], *part
 
         yield from _batches(found(), OUT_NAMES, OUT_TYPES, 500)
 
-    joined = dealt.join(fixed, (F.col("_bucket") == F.col("_b")) & (F.col("_none") == F.col("_nn")) & (F.col("_conv") == F.col("_c")))
-    ready = joined.repartition(parts, *group).sortWithinPartitions(*order).select(*group, "_entry", "_leave", "_seq", "_last", "_turn", "_role", "_text")
+    same = [F.col(a) == F.col(b) for a, b in zip(group, ("_b", "_p", "_nn", "_c"), strict=True)]
+    joined = dealt(rows).join(fixed, same)
+    ready = joined.repartition(parts, *group).sortWithinPartitions(*group, *order).select(*group, "_entry", "_leave", "_seq", "_last", "_turn", "_role", "_text")
     return ready.mapInArrow(repaired, OUT_SCHEMA)
 
 

@@ -93,11 +93,12 @@ def order_keys(id_col: str, text_col: str | None = None, descending: bool = Fals
     return keys if text_col is None else [*keys, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))]
 
 
-def range_buckets(df: DataFrame, keys: list[Column], rows_per_bucket: int, per_bucket: int = 32) -> RangeBuckets:
+def range_buckets(df: DataFrame, keys: list[Column], rows_per_bucket: int, per_bucket: int = 32, max_buckets: int = 20_000) -> RangeBuckets:
     """Choose bucket bounds from a hashed sample of about per_bucket keys per bucket.
 
     The sample only balances the buckets; membership and order are exact for whatever bounds come out. The driver
-    sees rows / rows_per_bucket * per_bucket keys of a few BIGINTs at most. The first bound is the exact minimum.
+    sees max_buckets * per_bucket keys of a few BIGINTs at most, and the plan holds max_buckets bounds; for more rows
+    than max_buckets * rows_per_bucket the buckets grow instead, and their sorts spill. The first bound is the exact minimum.
     """
     named = df.select(*[k.alias(f"k{j}") for j, k in enumerate(keys)])
     cols = [F.col(c) for c in named.columns]
@@ -105,7 +106,7 @@ def range_buckets(df: DataFrame, keys: list[Column], rows_per_bucket: int, per_b
     n = low["n"]
     if not n:
         return RangeBuckets(())
-    buckets = max(1, math.ceil(n / rows_per_bucket))
+    buckets = min(max_buckets, max(1, math.ceil(n / rows_per_bucket)))
     if buckets == 1:
         return RangeBuckets((tuple(low["low"]),))
     keep = min(1.0, buckets * per_bucket / n)

@@ -381,8 +381,8 @@ def test_roles_are_repaired_cheapest(spark):
     data = [(c, t, r.choice(names), f"t{t}") for c in range(40) for t in range(r.randint(1, 6))] + [(99, t, r.choice(names), f"t{t}") for t in range(200)]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
     cut, whole = ({}, {})
-    for out, buckets in ((cut, 1), (whole, 100_000)):
-        for row in chat.repair(df, rows_per_bucket=buckets).collect():
+    for out, buckets, chunk in ((cut, 40, 3), (whole, 100_000, 100_000)):
+        for row in chat.repair(df, rows_per_bucket=buckets, chunk_turns=chunk).collect():
             out.setdefault(row["conv_id"], []).append(row)
     for c in whole:
         mine, other = (sorted(o[c], key=lambda x: x["seq"]) for o in (cut, whole))
