@@ -19,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -72,6 +73,8 @@ def parse(source: str) -> Page:
     """Read a page into its block elements and text runs."""
     page = Page(length=len(source))
     stack, linked, at, size = [0], False, 0, len(source)
+    opened: Counter[str] = Counter()
+    ends: dict[str, dict[int, int]] = {}
     parent, tags, attrs, starts, counts, chars, links, stops, legal, runs = page.parent, page.tag, page.attributes, page.start, page.tags, page.chars, page.linked, page.stops, page.legal, page.runs
 
     def text(a: int, b: int) -> None:
@@ -105,26 +108,28 @@ def parse(source: str) -> Page:
                 linked = False
             elif name in BLOCKS:
                 runs.append((-1, ""))
-                k = len(stack) - 1
-                while k > 0 and tags[stack[k]] != name:
-                    k -= 1
-                if k > 0:
-                    del stack[k:]
+                if opened[name]:
+                    while (popped := tags[stack.pop()]) != name:
+                        opened[popped] -= 1
+                    opened[name] -= 1
                     linked = False
         elif name in SKIPPED:
-            if not m[3].endswith("/") or name in RAW:
-                at = _end_of(source, at, name)
+            if name in RAW:
+                closing = _closing(name).search(source, at)
+                at = closing.end() if closing else size
+            elif not m[3].endswith("/"):
+                if name not in ends:
+                    ends[name] = _ends(source, name)
+                at = ends[name].get(at, at)
             runs.append((-1, ""))
         elif name in BLOCKS:
             runs.append((-1, ""))
-            if tags[stack[-1]] == "p":
-                stack.pop()
-            if name in CLOSES:
-                closed = CLOSES[name]
-                while tags[stack[-1]] in closed:
-                    stack.pop()
+            closed = CLOSES.get(name, ())
+            while tags[stack[-1]] == "p" or tags[stack[-1]] in closed:
+                opened[tags[stack.pop()]] -= 1
             if name in VOID:
                 continue
+            opened[name] += 1
             parent.append(stack[-1])
             stack.append(len(tags))
             tags.append(name)
@@ -141,20 +146,19 @@ def parse(source: str) -> Page:
 
 @lru_cache(maxsize=64)
 def _closing(name: str) -> re.Pattern:
-    return re.compile(rf"<(/?){name}\b[^>]*+(?:>|\Z)", re.I)
-
-
-def _end_of(source: str, at: int, name: str) -> int:
-    """Where a skipped element ends; elements that may hold their own kind are counted. Unclosed: where the body begins for
-    a head, else the end of the page for raw text and right here for the others."""
-    depth, start = 1, at
-    for m in _closing(name).finditer(source, at):
-        depth += -1 if m[1] else (name not in RAW)
-        if depth == 0:
-            return m.end()
-    if name == "head" and (m := re.compile(r"<body\b", re.I).search(source, start)):
-        return m.start()
-    return len(source) if name in RAW or name == "head" else start
+    return re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I)
+
+
+def _ends(source: str, name: str) -> dict[int, int]:
+    """From where each element of a skipped kind opens to where it ends, in one pass; unclosed ones aren't in it, so only
+    their tags are skipped. A head without an end is one of these."""
+    found, waiting = {}, []
+    for m in re.finditer(rf"<(/?){name}\b[^>]*+(?:>|\Z)", source, re.I):
+        if not m[1]:
+            waiting.append(m.end())
+        elif waiting:
+            found[waiting.pop()] = m.end()
+    return found
 
 
 @lru_cache(maxsize=4096)

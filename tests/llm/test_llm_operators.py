@@ -62,9 +62,15 @@ def test_html_parser():
     assert html_extract.text_of(page, [html_extract.IN] * 7) == "a & b c d e g h"
 
 
+def test_html_parser_takes_linear_time():
+    for page in ("<div>" * 30_000 + "</p>" * 30_000, "<button>" * 30_000, "<div><section>" * 10_000 + "</section>" * 20_000, '<p class="' * 30_000, "<!--" * 30_000, "<head>" * 30_000 + "x", "<svg>" * 9000 + "</svg>" * 8000):
+        html_extract.extract([page], html_extract.trained())
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
+        ("<head><title>t</title><p>Text of a page whose head has no end, and goes on for a while.</p>", "Text of a page whose head has no end, and goes on for a while."),
         ("Bare text with &lt;tags&gt; &amp;\n more of it", "Bare text with <tags> & more of it"),
         ('<body><div id="menu"><a>one</a> <a>two</a></div><div id="content"><h2>Title</h2><p>LONG</p></div><div id="sidebar"><p>About me: I write.</p></div><div id="footer">Powered by words</div></body>', "Title LONG"),
         ('<body><div class="cookie-banner"><p>We use cookies to improve your experience here.</p></div><div class="post"><h1>Head</h1><p>LONG</p><div class="ad">Buy now!</div><p>Bye.</p></div><form class="newsletter"><p>Subscribe to our newsletter for more.</p></form></body>', "Head LONG Bye."),
