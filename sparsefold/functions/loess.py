@@ -4,30 +4,35 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Numbers in a block's matrix of neighbourhoods at most: 16 MB.
+BLOCK_CELLS = 1 << 21
+
 
 def loess(x: np.ndarray, y: np.ndarray, span: float = 0.3) -> np.ndarray:
     """Fitted values at x: for each point a weighted quadratic over its span * n nearest neighbours.
 
-    Points with fewer than three distinct neighbours, and singular fits, fall back to the weighted mean.
+    Distances are scaled by the neighbourhood's reach. The pseudo-inverse takes the smallest fit where a neighbourhood has
+    fewer than three distinct points.
     """
     n = len(x)
     k = min(n, max(3, int(np.ceil(span * n))))
     order = np.argsort(x, kind="stable")
     xs, ys = x[order].astype(float), y[order].astype(float)
-    fitted = np.empty(n)
-    low = 0
+    lows, low = np.empty(n, np.int64), 0
     for i in range(n):
         while low + k < n and xs[low + k] - xs[i] < xs[i] - xs[low]:
             low += 1
-        a, b = xs[low : low + k] - xs[i], ys[low : low + k]
-        reach = np.abs(a).max()
-        w = np.clip(1 - (np.abs(a) / reach) ** 3, 0, None) ** 3 if reach > 0 else np.ones(k)
-        root = np.sqrt(w)
-        design = np.stack([np.ones(k), a, a * a], axis=1) * root[:, None]
-        if len(np.unique(a[w > 0])) >= 3:
-            fitted[i] = np.linalg.lstsq(design, b * root, rcond=None)[0][0]
-        else:
-            fitted[i] = np.average(b, weights=w)
-    out = np.empty(n)
-    out[order] = fitted
+        lows[i] = low
+    out, step = np.empty(n), max(1, BLOCK_CELLS // k)
+    for at in range(0, n, step):
+        near = lows[at : at + step, None] + np.arange(k)
+        a, b = xs[near] - xs[at : at + step, None], ys[near]
+        reach = np.abs(a).max(axis=1, keepdims=True)
+        a = np.divide(a, reach, out=np.zeros_like(a), where=reach > 0)
+        w = (1 - np.abs(a) ** 3) ** 3
+        moments = np.stack([(w * a**p).sum(axis=1) for p in range(5)], axis=1)
+        system = moments[:, np.add.outer(np.arange(3), np.arange(3))]
+        target = np.stack([(w * a**p * b).sum(axis=1) for p in range(3)], axis=1)
+        fit = np.linalg.pinv(system, rcond=1e-12, hermitian=True) @ target[:, :, None]
+        out[order[at : at + step]] = fit[:, 0, 0]
     return out
