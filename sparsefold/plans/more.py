@@ -52,11 +52,11 @@ def scale(spark, d):
     return learning.scaled(fx.x(spark, d), n).withColumn("soma_data", F.round("soma_data", 5))
 
 
-_META = "(VALUES ('scvi', 'human', '2023', 'obs', '2023-01-05', 'a'), ('scvi', 'human', '2023', 'obs', '2023-03-01', 'b'), ('scvi', 'human', '2024', 'obs', '2024-01-01', 'c'), ('geneformer', 'human', '2024', 'obs', '2024-02-01', 'd'), ('nmf', 'mouse', '2024', 'var', '2024-02-02', 'e')) m(embedding_name, organism, version, axis, submission_date, id)"
+_META = "(VALUES ('alpha', 'human', '2023', 'obs', '2023-01-05', 'a'), ('alpha', 'human', '2023', 'obs', '2023-03-01', 'b'), ('alpha', 'human', '2024', 'obs', '2024-01-01', 'c'), ('beta', 'human', '2024', 'obs', '2024-02-01', 'd'), ('gamma', 'mouse', '2024', 'var', '2024-02-02', 'e')) m(embedding_name, organism, version, axis, submission_date, id)"
 
 
 def _metadata(spark):
-    rows = [("scvi", "human", "2023", "obs", "2023-01-05", "a"), ("scvi", "human", "2023", "obs", "2023-03-01", "b"), ("scvi", "human", "2024", "obs", "2024-01-01", "c"), ("geneformer", "human", "2024", "obs", "2024-02-01", "d"), ("nmf", "mouse", "2024", "var", "2024-02-02", "e")]
+    rows = [("alpha", "human", "2023", "obs", "2023-01-05", "a"), ("alpha", "human", "2023", "obs", "2023-03-01", "b"), ("alpha", "human", "2024", "obs", "2024-01-01", "c"), ("beta", "human", "2024", "obs", "2024-02-01", "d"), ("gamma", "mouse", "2024", "var", "2024-02-02", "e")]
     return spark.createDataFrame(rows, "embedding_name string, organism string, version string, axis string, submission_date string, id string")
 
 
@@ -71,9 +71,9 @@ def embedding_metadata_version(spark, d):
     return _metadata(spark).filter("version = '2024'").select("id")
 
 
-@query(f"SELECT DISTINCT version FROM {_META} WHERE embedding_name = 'scvi' AND organism = 'human'", plain=True)
+@query(f"SELECT DISTINCT version FROM {_META} WHERE embedding_name = 'alpha' AND organism = 'human'", plain=True)
 def embedding_versions(spark, d):
-    return _metadata(spark).filter("embedding_name = 'scvi' and organism = 'human'").select("version").distinct().orderBy("version")
+    return _metadata(spark).filter("embedding_name = 'alpha' and organism = 'human'").select("version").distinct().orderBy("version")
 
 
 @query("SELECT o_orderkey AS soma_joinid FROM orders WHERE o_orderkey IN (SELECT vec_id FROM embeddings)", plain=True)
