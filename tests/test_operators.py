@@ -87,6 +87,17 @@ def test_loess_follows_a_parabola():
     assert np.abs(loess(x, 3 * x * x - x + 2, 0.3) - (3 * x * x - x + 2)).max() < 1e-6
 
 
+def test_loess_between_knots(monkeypatch):
+    from sparsefold.functions import loess as module
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=3000)
+    y = np.sin(x) + r.normal(size=3000) * 0.05
+    coarse = loess(x, y, 0.2)
+    monkeypatch.setattr(module, "KNOTS", 10_000)
+    assert np.abs(coarse - loess(x, y, 0.2)).max() < 1e-3
+
+
 def test_hvg_finds_the_varying_features(spark):
     r = np.random.default_rng(1)
     dense = r.poisson(np.linspace(1, 10, 40), (200, 40)).astype(float)
