@@ -70,9 +70,10 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], ["_row", "_id", "_print"])
 
 
-def with_fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_row (the row's number in the input), _id and _print (the fingerprint's bits as BIGINT)."""
-    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
+def with_fingerprints(df: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """_row (row_col, or else the row's number in this evaluation of df), _id and _print (the fingerprint's bits as BIGINT)."""
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    rows = df.select(row.alias("_row"), F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
     return rows.mapInArrow(_fingerprints, "_row bigint, _id bigint, _print bigint")
 
 
@@ -115,9 +116,9 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("vertex", "root")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, row_col: str | None = None) -> DataFrame:
     """Per row of df: _row, _id, _print and _root, the smallest fingerprint of its component."""
-    rows = stash(with_fingerprints(df, id_col, text_col), "simhash-prints")
+    rows = stash(with_fingerprints(df, id_col, text_col, row_col), "simhash-prints")
     # dealt anew: the distinct fingerprints are few bytes, which would otherwise end up in a task or two before they multiply
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     roots = components(links(rows.select("_print").distinct().repartition(parts), max_bits))
@@ -125,12 +126,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:
-    """df with one row of each component: that of the smallest id (null ids last, then the first row)."""
-    rows = near_duplicates(df, id_col, text_col, max_bits)
-    first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))).alias("first")
+    """df with one row of each component: that of the smallest id (null ids last, then the first row).
+
+    Rows are numbered once, in a table of their own: a second evaluation of df may number them in another way.
+    """
     row, kept_row = free_name(df, "__row"), free_name(df, "__kept")
+    numbered = stash(df.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    rows = near_duplicates(numbered, id_col, text_col, max_bits, row)
+    first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))).alias("first")
     kept = rows.groupBy("_root").agg(first).select(F.col("first._row").alias(kept_row))
-    return df.withColumn(row, F.monotonically_increasing_id()).join(kept, F.col(row) == F.col(kept_row), "left_semi").drop(row)
+    return numbered.join(kept, F.col(row) == F.col(kept_row), "left_semi").drop(row)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -265,6 +265,21 @@ def test_near_dedup(spark, sf_dir, documents):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({documents[w][0] for w in roots})
 
 
+def test_near_dedup_survives_another_order_of_rows(spark, tmp_path):
+    seen = tmp_path / "seen"
+
+    def reordered(batches):  # every evaluation after the first has the rows the other way round
+        found = [b for b in batches if b.num_rows]
+        again = seen.exists()
+        seen.touch()
+        for b in reversed(found) if again else found:
+            yield b.take(list(range(b.num_rows))[:: -1 if again else 1])
+
+    texts = ["one two three four"] * 3 + [f"w{i} x{i} y{i} z{i}" for i in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).mapInArrow(reordered, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.near_dedup(df).collect()) == [0, 3, 4, 5, 6, 7]
+
+
 # 6
 
 
