@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are compared with all rows at a time: with 1,024 dimensions, 4 MB of numbers.
-QUERY_BLOCK = 1000
+#: Queries and rows that a task compares, some: with 1,024 dimensions, 8 and 200 MB of numbers.
+QUERY_BLOCK, PART_ROWS = 1000, 25_000
+#: Pairs of a block and a part that keep a small cluster busy, at least.
+PAIRS = 48
+#: Distances that are held at a time: 16 MB.
+CELLS = 1 << 21
 
 
 def lookup(requested: DataFrame, embeddings: DataFrame, dimensions: int) -> DataFrame:
@@ -19,51 +23,62 @@ def lookup(requested: DataFrame, embeddings: DataFrame, dimensions: int) -> Data
     return requested.join(embeddings, "id", "left").select("pos", "id", F.coalesce("vector", nothing).alias("vector"))
 
 
-def _closest(query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """A map over Arrow batches of (id, vector): each batch's k nearest rows of every query."""
+def _closest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
+    """The k nearest rows of every query by (exact distance, id): query_ids, ids and distances.
 
-    def run(batches):
-        norms = (queries**2).sum(axis=1)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            vectors = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float)
-            near = norms[:, None] + (vectors**2).sum(axis=1)[None] - 2 * queries @ vectors.T
-            m = min(k + 8, len(ids))  # some more than k, since exact distances follow for these
-            at = np.argpartition(near, m - 1, axis=1)[:, :m]
-            exact = np.sqrt(((vectors[at] - queries[:, None]) ** 2).sum(axis=2))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, m)), pa.array(ids[at].ravel()), pa.array(exact.ravel())], ["query_id", "id", "distance"])
-
-    return run
+    Products of matrices give each distance with a bound of its rounding error. Every row that may be among the k nearest
+    within those bounds is measured exactly, however many there are.
+    """
+    order = np.argsort(ids, kind="stable")
+    ids, vectors = ids[order], vectors[order]
+    # of equal vectors only the k smallest ids can be among the nearest
+    _, group = np.unique(np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel(), return_inverse=True)
+    by_group = np.argsort(group, kind="stable")
+    first = np.searchsorted(group[by_group], group[by_group])
+    keep = np.sort(by_group[np.arange(len(ids)) - first < k])
+    ids, vectors = ids[keep], vectors[keep].astype(float)
+    sizes, bound = (vectors**2).sum(axis=1), 8 * (vectors.shape[1] + 8) * np.finfo(float).eps
+    m, step = min(k, len(ids)), max(1, CELLS // len(ids))
+    out = []
+    with np.errstate(over="ignore", invalid="ignore"):
+        for at in range(0, len(queries), step):
+            some = queries[at : at + step]
+            both = (some**2).sum(axis=1)[:, None] + sizes[None]
+            near, error = both - 2 * some @ vectors.T, bound * both
+            limit = np.partition(near + error, m - 1, axis=1)[:, m - 1 : m]
+            possible = ~(near - error > limit)  # what isn't a number is measured as well
+            for query_id, q, row in zip(query_ids[at : at + step], some, possible, strict=True):
+                found = np.flatnonzero(row)
+                exact = np.sqrt(((vectors[found] - q) ** 2).sum(axis=1))
+                best = np.lexsort((ids[found], exact))[:m]
+                out.append((np.repeat(query_id, m), ids[found[best]], exact[best]))
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
 def nearest(queries: DataFrame, embeddings: DataFrame, k: int = 10) -> DataFrame:
     """query_id, id, distance, place: the k nearest rows of each query by Euclidean distance, exact; ties go by id.
 
-    queries (query_id, vector) are a stated, short set: they stream through the driver in blocks of QUERY_BLOCK and each
-    block is compared with all rows, of which every task returns k a query at most.
+    Rows are dealt to parts and queries to blocks by hashes of their ids; each task compares one block with one part and
+    returns k a query at most. Nothing passes through the driver but two counts.
     """
-    parts, ids, vectors = [], [], []
-
-    def flush():
-        if ids:
-            found = embeddings.select("id", "vector").mapInArrow(_closest(np.array(ids), np.array(vectors, float), k), "query_id bigint, id bigint, distance double")
-            parts.append(found)
-            ids.clear()
-            vectors.clear()
-
-    for row in queries.select("query_id", "vector").toLocalIterator():
-        ids.append(row[0])
-        vectors.append(row[1])
-        if len(ids) == QUERY_BLOCK:
-            flush()
-    flush()
-    if not parts:
-        return embeddings.sparkSession.createDataFrame([], "query_id bigint, id bigint, distance double, place int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    rows, asked = embeddings.select("id", "vector"), queries.select("query_id", "vector")
+    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+    parts = max(math.ceil(rows.count() / PART_ROWS), math.ceil(PAIRS / blocks))
+
+    def grid(df, key, own, n, other, m):
+        dealt = df.withColumns({own: F.pmod(F.xxhash64(key), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
+        return dealt.groupBy("_part", "_block")
+
+    def run(left, right):
+        if not left.num_rows or not right.num_rows:
+            found = [[], [], []]
+        else:
+            (ids, vectors), (query_ids, wanted) = ((t.column(0).to_numpy(), np.stack(t.column(1).to_numpy())) for t in (left, right))
+            found = _closest(ids, vectors, query_ids, wanted.astype(float), k)
+        return pa.table([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "id", "distance"])
+
+    pairs = grid(rows, "id", "_part", parts, "_block", blocks).cogroup(grid(asked, "query_id", "_block", blocks, "_part", parts))
+    found = pairs.applyInArrow(run, "query_id bigint, id bigint, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 

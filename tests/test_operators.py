@@ -145,6 +145,20 @@ def test_nearest_and_ivf_recall(spark):
     assert sum(len(exact[i] & near[i]) for i in range(20)) >= 0.9 * 100
 
 
+def test_nearest_is_exact_where_many_rows_tie(spark):
+    r = np.random.default_rng(5)
+    equal = [(i, [1.0, 2.0, 3.0]) for i in range(400)]
+    far = [(400 + i, (np.array([1e7, 1e7, 1e7]) + x).astype(np.float32).tolist()) for i, x in enumerate(r.integers(0, 40, (300, 3)))]
+    rows = [(i, v) for i, v in equal + far]
+    e = spark.createDataFrame([rows[i] for i in r.permutation(len(rows))], "id long, vector array<float>").coalesce(1)
+    asked = [(0, [1.0, 2.0, 3.5]), (1, far[0][1]), (2, far[7][1])]
+    out = embedding.nearest(spark.createDataFrame(asked, "query_id long, vector array<float>"), e, 5).orderBy("query_id", "place").collect()
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows])
+    for q, x in asked:
+        d = np.sqrt(((v - np.array(x)) ** 2).sum(axis=1))
+        assert [r["id"] for r in out if r["query_id"] == q] == ids[np.lexsort((ids, d))[:5]].tolist()
+
+
 def test_shards_are_even(spark):
     for n, k in ((10, 3), (3, 5), (12, 4)):
         rows = ranking.shards(spark.range(n).withColumnRenamed("id", "soma_joinid"), k, n).collect()
