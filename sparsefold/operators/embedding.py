@@ -113,6 +113,19 @@ def assign(embeddings: DataFrame, centroids: np.ndarray, probes: int = 1) -> Dat
     return embeddings.mapInArrow(run, f"{fields}, list int")
 
 
+def calibrated_probes(queries: DataFrame, embeddings: DataFrame, centroids: np.ndarray, k: int = 10, recall: float = 0.95, sample_rows: int = 200) -> int:
+    """The fewest probes that reach the share recall of the true k nearest rows, by brute force on sample_rows queries."""
+    some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(sample_rows)
+    asked = {r["query_id"]: np.array(r["vector"], float) for r in some.select("query_id", "vector").collect()}
+    true = nearest(some, embeddings, k).select("query_id", "id")
+    found = assign(true.join(embeddings.select("id", "vector"), "id"), centroids).select("query_id", "list").collect()
+    if not found:
+        return len(centroids)
+    ranks = {i: np.argsort(np.argsort((v**2).sum() + (centroids**2).sum(axis=1) - 2 * v @ centroids.T, kind="stable")) for i, v in asked.items()}
+    reached = sorted(int(ranks[r["query_id"]][r["list"]]) + 1 for r in found)
+    return reached[math.ceil(recall * len(reached)) - 1]
+
+
 def nearest_ivf(queries: DataFrame, embeddings: DataFrame, centroids: np.ndarray, k: int = 10, probes: int = 8) -> DataFrame:
     """nearest() among the rows of each query's probes nearest lists: an equi-join on the list, then a top k."""
     lists = assign(embeddings.select("id", "vector"), centroids)

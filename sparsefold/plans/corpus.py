@@ -47,7 +47,8 @@ def neighbour_categories(spark, d):
 @query()
 def find_nearest_ivf(spark, d):
     e = fx.embeddings(spark, d).select("id", "vector")
-    return embedding.nearest_ivf(e.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), e, embedding.train_ivf(e), 10, 12)
+    queries, centroids = e.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), embedding.train_ivf(e)
+    return embedding.nearest_ivf(queries, e, centroids, 10, embedding.calibrated_probes(queries, e, centroids, 10))
 
 
 @query("SELECT count(*) AS rows, 0 AS repeated, count(*) FILTER (vec_id NOT IN (SELECT o_orderkey FROM orders)) AS off_axis, count(*) FILTER (len(embedding) <> 64) AS wrong_length, 0 AS not_finite FROM embeddings", plain=True)

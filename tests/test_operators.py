@@ -159,6 +159,16 @@ def test_nearest_is_exact_where_many_rows_tie(spark):
         assert [r["id"] for r in out if r["query_id"] == q] == ids[np.lexsort((ids, d))[:5]].tolist()
 
 
+def test_ivf_query_reaches_its_recall(spark, tmp_path):
+    from sparsefold.plans.catalogue import QUERIES
+
+    v = np.random.default_rng(6).normal(size=(2000, 16)).astype(np.float32)
+    rows = [(i, x.tolist(), "a") for i, x in enumerate(v)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    exact, near = ({(r["query_id"], r["id"]) for r in QUERIES[q](spark, str(tmp_path)).collect()} for q in ("find_nearest_obs", "find_nearest_ivf"))
+    assert len(exact & near) >= 0.93 * len(exact) == 930
+
+
 def test_shards_are_even(spark):
     for n, k in ((10, 3), (3, 5), (12, 4)):
         rows = ranking.shards(spark.range(n).withColumnRenamed("id", "soma_joinid"), k, n).collect()
