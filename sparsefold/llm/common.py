@@ -19,18 +19,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a fresh local one only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a fresh local one only where it is unset.
+
+    Only a local master may use a folder of this machine: elsewhere executors would not see each other's files.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not is_local(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sparsefold-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process (local, local[n], local[n,f]); local-cluster[...] is not."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/sparsefold/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/sparsefold/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +51,24 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_stash(*tables: DataFrame) -> None:
+    """Remove scratch tables that nothing will read again, each read by itself and not through a plan over several."""
+    for df in tables:
+        files = df.inputFiles()
+        if files and "/sparsefold/" in files[0]:
+            _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all scratch tables of this application: for a caller whose results have been written."""
+    _delete(spark, f"{scratch_dir(spark)}/sparsefold/{spark.sparkContext.applicationId}")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores added until df has no such column (names compare as Spark does, without case)."""
     taken = {c.lower() for c in df.columns}

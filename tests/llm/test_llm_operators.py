@@ -182,6 +182,71 @@ def test_fingerprints(spark, sf_dir, documents):
     assert sum(errors) / len(errors) < 0.08
 
 
+def _sketch(text, fraction=0.25):
+    """Spark's xxhash64 of several strings is XXH64 of each with the one before as its seed, from 42."""
+    found = set()
+    for shingle in _shingles(text):
+        h = 42
+        for w in shingle:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        found.add(h - (1 << 64) if h >> 63 else h)
+    low = sorted(h for h in found if h < -(1 << 63) + int(fraction * (1 << 64)))
+    return low, None if low or not found else min(found)
+
+
+def _digits(sketch):
+    low, least = sketch
+    return "".join(f"{h & (1 << 64) - 1:016x}" for h in low) if least is None else f"~{least & (1 << 64) - 1:016x}"
+
+
+def _likeness(a, b):
+    (x, p), (y, q) = a, b
+    return len(set(x) & set(y)) / len(set(x) | set(y)) if x or y else float(p == q)
+
+
+def test_every_fingerprint_column(spark, documents):
+    texts = [t for _, t in documents[:60]] + ["", "one two", "one two three", "x", "a b c d e f", "a b c d e f", "É é ß x y z"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(len(texts), None)], "doc_id long, text string")
+    df.write.mode("overwrite").parquet(f"{spark.conf.get('spark.checkpoint.dir')}/fingers/documents.parquet")
+    out = {r["doc_id"]: r for r in fingerprints.query(spark, f"{spark.conf.get('spark.checkpoint.dir')}/fingers").collect()}
+    down = [*texts, ""][::-1]
+    for k, text in enumerate(down):
+        r, after = out[len(texts) - k], down[(k + 1) % len(down)]
+        half = len(text) // 2
+        own, changed, nxt = _sketch(text), _sketch(text[: len(text) - half] + after[:half]), _sketch(after)
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (_digits(own), _digits(changed))
+        assert (r["near_edited"], r["near_next"]) == (pytest.approx(_likeness(own, changed)), pytest.approx(_likeness(own, nxt)))
+        contained = len(set(own[0]) & set(nxt[0])) / len(own[0]) if own[0] else None if own[1] is not None else float(not nxt[0] and nxt[1] is None)
+        assert r["contained_in_next"] == (None if contained is None else pytest.approx(contained))
+
+
+def test_short_texts_in_long_ones(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    rows = []
+    for _ in range(200):
+        long = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        at = r.randrange(390)
+        rows.append((" ".join(long[at : at + r.randint(6, 10)]), " ".join(long)))
+    df = spark.createDataFrame(rows, "a string, b string").select(fingerprints.sketch(F.col("a")).alias("a"), fingerprints.sketch(F.col("b")).alias("b"))
+    found = [x[0] for x in df.select(fingerprints.containment(F.col("a"), F.col("b"))).collect()]
+    known = [x for x in found if x is not None]
+    assert len(known) > 100 and set(known) == {1.0} and None in found
+
+
+def test_merged_sketches_are_those_of_the_collection(spark):
+    from pyspark.sql import functions as F
+
+    texts = [f"a{i} b{i} c{i} d{i} e{i} f{i}" for i in range(40)] + ["", "x"]
+    for some in (texts, texts[:3], ["", ""], ["x"], ["x", "y"]):
+        df = spark.createDataFrame([(t,) for t in some], "t string")
+        got = df.select(fingerprints.sketch(F.col("t")).alias("s")).agg(fingerprints.merge(F.col("s")).alias("m")).first()["m"]
+        each = [_sketch(t) for t in some]
+        low = sorted({h for x, _ in each for h in x})
+        assert list(got["low"]) == low and got["least"] == (None if low else min((p for _, p in each if p is not None), default=None))
+
+
 def test_whole_fraction_is_exact(spark):
     from pyspark.sql import functions as F
 
@@ -280,6 +345,168 @@ def test_near_dedup_survives_another_order_of_rows(spark, tmp_path):
     assert sorted(r["doc_id"] for r in simhash.near_dedup(df).collect()) == [0, 3, 4, 5, 6, 7]
 
 
+def _signed(p):
+    return p - (1 << 64) if p >> 63 else p
+
+
+def _clusters(seed, centres, size, flips):
+    r = random.Random(seed)
+    found = set()
+    for _ in range(centres):
+        base = r.getrandbits(64)
+        for _ in range(size):
+            p = base
+            for _ in range(r.randint(0, flips)):
+                p ^= 1 << r.randrange(64)
+            found.add(p)
+    return sorted(found, key=_signed)
+
+
+def _agreeing(x, y):
+    """Per half the positions at which two fingerprints agree."""
+    same = [(x ^ y) >> 8 * p & 0xFF == 0 for p in range(8)]
+    return sum(same[:4]), sum(same[4:])
+
+
+def test_candidates_have_their_tally(spark):
+    prints = _clusters(8, 40, 4, 9)
+    df = spark.createDataFrame([(_signed(p),) for p in prints], "_print long")
+    found, dense = simhash.candidates(df)
+    want = {}
+    for x, y in itertools.combinations(prints, 2):
+        met = sum(n for n in _agreeing(x, y) if n >= 3)
+        if met >= 4:
+            want[_signed(x), _signed(y)] = met
+    met_once = sum(sorted(_agreeing(x, y))[1] == 3 > sorted(_agreeing(x, y))[0] for x, y in itertools.combinations(prints, 2))
+    assert dense is None and met_once > 10 and {(r["a"], r["b"]): r["shared"] for r in found.collect()} == want
+
+
+@pytest.mark.parametrize(("long_list", "flips"), [(16, 3), (2, 3), (16, 6)])
+def test_links_in_dense_clusters(spark, long_list, flips):
+    prints = _clusters(9, 2, 250, flips)
+    df = spark.createDataFrame([(_signed(p),) for p in prints], "_print long")
+    got = sorted(tuple(r) for r in simhash.links(df, long_list=long_list).collect())
+    assert got == sorted((_signed(x), _signed(y)) for x, y in itertools.combinations(prints, 2) if (x ^ y).bit_count() <= 2)
+
+
+def _five(text):
+    words = re.findall(WORDS, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def _similar_roots(texts, similarity=0.8):
+    """Brute force: the smallest index reachable over pairs of that Jaccard likeness."""
+    sets, at = [_five(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        x, y = sets[i], sets[j]
+        if len(x & y) >= similarity * len(x | y):
+            a, b = find(i), find(j)
+            at[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_near_dedup_by_likeness(spark, documents, monkeypatch):
+    from sparsefold.llm import similar
+
+    r = random.Random(12)
+    texts = [t for _, t in documents] + ["", " ", "a b", "A  b"]
+    for _, t in documents[:40]:  # near copies on both sides of the likeness, in chains
+        for _ in range(4):
+            words = t.split()
+            for _ in range(r.randint(0, max(1, len(words) // 30))):
+                words[r.randrange(len(words))] = f"w{r.randrange(10**6)}"
+            t = " ".join(words)
+            texts.append(t)
+    want = sorted(set(_similar_roots(texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(texts) - len(want) > 60
+    assert sorted(x["doc_id"] for x in simhash.near_dedup(df, similarity=0.8).collect()) == want
+    monkeypatch.setattr(similar, "BLOCK_SHINGLES", 300)  # blocks against blocks
+    assert sorted(x["doc_id"] for x in simhash.near_dedup(df, similarity=0.8).collect()) == want
+
+
+def test_postings_are_shared_by_likeness():
+    from sparsefold.llm import similar
+
+    r, hit = np.random.default_rng(1), 0
+    for _ in range(400):  # at a likeness of 0.8 one of the bands is shared with probability 0.9996
+        whole = r.integers(0, 1 << 63, 450, dtype=np.uint64)
+        hit += bool(set(similar.postings(whole[:405])) & set(similar.postings(whole[45:])))
+    assert hit >= 398
+
+
+def _behind_a_shuffle(spark, df):
+    """df behind an exchange whose partitions Spark merges as it likes, with a wide column that some plans prune."""
+    from pyspark.sql import functions as F
+
+    return df.withColumn("wide", F.repeat(F.lit("x"), 3000)).repartition(7, df.columns[0])
+
+
+@pytest.fixture
+def small_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    yield
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_near_dedup_behind_a_shuffle(spark, sf_dir, small_partitions, similarity):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = sorted(r["doc_id"] for r in simhash.near_dedup(docs, similarity=similarity).collect())
+    assert sorted(r["doc_id"] for r in simhash.near_dedup(_behind_a_shuffle(spark, docs), similarity=similarity).collect()) == want
+
+
+def test_archives_behind_a_shuffle(spark, tmp_path, small_partitions):
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i % 100}</p>" * 40) for i in range(200)], "page_id long, url string, html string")
+    warc.write_archives(_behind_a_shuffle(spark, pages), str(tmp_path / "w"))
+    out = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert {(r["page_id"], r["refers_to"]) for r in out if r["record_type"] == "revisit"} == {(i, i - 100) for i in range(100, 200)}
+    assert {r["page_id"] for r in out if r["record_type"] == "response"} == set(range(100))
+
+
+def test_roles_behind_a_shuffle(spark, small_partitions):
+    r = random.Random(6)
+    data = [(c, 0, r.choice(["user", "assistant", "x"]), "same") for c in range(30) for _ in range(9)]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    results = [sorted(tuple(x) for x in chat.repair(d).collect()) for d in (df, _behind_a_shuffle(spark, df))]
+    assert results[0] == results[1] and len(results[0]) == 270
+
+
+def test_scratch_needs_a_shared_folder():
+    from sparsefold.llm import common
+
+    class Fake:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.scratch_dir(Fake)
+    assert [common.is_local(m) for m in ("local", "local[8]", "local[*,2]", "local-cluster[2,1,1024]", "yarn", "k8s://x")] == [True, True, True, False, False, False]
+
+
+def test_scratch_is_cleared(spark):
+    from pathlib import Path
+
+    from sparsefold.llm import common
+
+    a, b = (common.stash(spark.range(3), n) for n in ("a", "b"))
+    places = [Path(x.inputFiles()[0].removeprefix("file:")).parent for x in (a, b)]
+    common.drop_stash(a)
+    assert [p.exists() for p in places] == [False, True]
+    common.clear_scratch(spark)
+    assert not places[1].exists()
+
+
 # 6
 
 
@@ -460,7 +687,7 @@ def test_pipeline_stages(spark, sf_dir, documents):
     kept = corpus_pipeline.quality(spark, docs, sf_dir)
     good = sorted(i for i, t in documents if quality_rules.verdict(quality_rules.Text(t), quality_rules.RULES) is None)
     assert sorted(r["doc_id"] for r in kept.collect()) == good and kept.columns == columns
-    roots = _roots([_simhash(texts[i]) for i in good])
+    roots = _similar_roots([texts[i] for i in good])
     one = corpus_pipeline.near_duplicates(spark, kept, sf_dir)
     left = sorted({good[w] for w in roots})
     assert sorted(r["doc_id"] for r in one.collect()) == left and one.columns == columns
