@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparsefold.llm.common import read, scratch_path
+from sparsefold.llm.common import read, scratch_path, stash
 
 NAME = "op10_warc_chunks"
 
@@ -65,20 +65,21 @@ def chunks(payload: bytes, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int
         at, number = end, number + 1
 
 
-def record_id(row: int) -> str:
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(b'%d' % row, usedforsecurity=False).digest())}>"
+def record_id(row: int, page_id: int | None, digest: str, archive: str) -> str:
+    """A record's id, from its payload, page and row and the archive that it is written to."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}#{digest}/{page_id}/{row}')}>"
 
 
 def _head(fields: dict[str, object]) -> bytes:
     return VERSION + "\r\n".join(f"{k}: {v}" for k, v in fields.items() if v is not None).encode() + GAP
 
 
-def records(row: int, page_id: int | None, url: str | None, payload: bytes, digest: str, first: tuple[int, int] | None, date: str, chunk_bytes: int) -> Iterator[bytes]:
+def records(row: int, page_id: int | None, url: str | None, payload: bytes, digest: str, first: tuple[int, int] | None, date: str, chunk_bytes: int, archive: str = "") -> Iterator[bytes]:
     """The WARC records of one row; first is the row and page id of the response that a revisit names."""
     uri = None if url is None else quote(url, safe=":/?#[]@!$&'()*+,;=~%-._")
-    fields = {"WARC-Record-ID": record_id(row), "WARC-Date": date, "WARC-Target-URI": uri, "WARC-Payload-Digest": f"sha256:{digest}", "X-Page-Id": page_id, "X-Payload-Length": len(payload)}
+    fields = {"WARC-Record-ID": record_id(row, page_id, digest, archive), "WARC-Date": date, "WARC-Target-URI": uri, "WARC-Payload-Digest": f"sha256:{digest}", "X-Page-Id": page_id, "X-Payload-Length": len(payload)}
     if first is not None:
-        more = {"WARC-Profile": "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", "WARC-Refers-To": record_id(first[0]), "X-Refers-To-Page": first[1], "Content-Length": 0}
+        more = {"WARC-Profile": "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", "WARC-Refers-To": record_id(*first, digest, archive), "X-Refers-To-Page": first[1], "Content-Length": 0}
         yield _head({"WARC-Type": "revisit"} | fields | more)
         return
     origin = fields["WARC-Record-ID"]
@@ -97,9 +98,14 @@ def records(row: int, page_id: int | None, url: str | None, payload: bytes, dige
 
 
 def with_revisits(df: DataFrame, id_col: str, url_col: str, payload_col: str, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """_row, _id, _url, _payload, _digest, and _first_row and _first_id for the rows that are revisits."""
+    """_row, _id, _url, _payload, _digest, and _first_row and _first_id for the rows that are revisits.
+
+    Rows are numbered once, in a table that both sides of the join read: another evaluation of df may number them in
+    another way, and a payload would then be lost.
+    """
     text = F.coalesce(F.col(payload_col), F.lit(""))
     rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("bigint").alias("_id"), F.col(url_col).alias("_url"), text.alias("_payload"), F.sha2(text.cast("binary"), 256).alias("_digest"))
+    rows = stash(rows, "warc-rows")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first")
     firsts = rows.filter(F.octet_length("_payload") >= min_revisit).groupBy("_digest").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1")
     salted = firsts.select(F.col("_digest").alias("_of"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
@@ -109,7 +115,8 @@ def with_revisits(df: DataFrame, id_col: str, url_col: str, payload_col: str, mi
 
 
 def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", chunk_bytes: int = CHUNK_BYTES, min_revisit: int = MIN_REVISIT, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write the rows of df as gzip-compressed WARC files under path."""
+    """Write the rows of df as gzip-compressed WARC files under path; record ids are new with each call."""
+    archive = uuid.uuid4().hex
 
     def run(batches):
         for batch in batches:
@@ -117,7 +124,7 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
             for i in range(batch.num_rows):
                 row, page, url, payload, digest, first_row, first_id = (c[i].as_py() for c in batch.columns)
                 first = None if first_row is None else (first_row, first_id)
-                for record in records(row, page, url, payload.encode(), digest, first, date, chunk_bytes):
+                for record in records(row, page, url, payload.encode(), digest, first, date, chunk_bytes, archive):
                     out.append(record.decode())
                     held += len(record)
                     if held > 4 * chunk_bytes:
