@@ -171,6 +171,7 @@ def repair(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
         F.col(conv_col).isNull().cast("int").alias("_none"), F.coalesce(F.col(conv_col).cast("bigint"), F.lit(0)).alias("_conv"), F.col(turn_col).isNull().cast("bigint").alias("_k2"), F.coalesce(F.col(turn_col).cast("bigint"), F.lit(0)).alias("_k3"),
         F.xxhash64(F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))).alias("_k4"), F.monotonically_increasing_id().alias("_k5"), F.col(turn_col).cast("bigint").alias("_turn"), F.col(role_col).alias("_role"), F.col(text_col).alias("_text"),
     )
+    rows = stash(rows, "chat-rows")  # numbered once: both passes read this table
     keys = [F.col("_none").cast("bigint"), *[F.col(c) for c in ("_conv", "_k2", "_k3", "_k4", "_k5")]]
     buckets = range_buckets(rows, keys, bucket_target(spark, max(1, rows.count()), rows_per_bucket))
     order = ["_none", "_conv", "_k2", "_k3", "_k4", "_k5"]
