@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
-    return simhash.near_dedup(docs)
+    """One document of each group of near-duplicates, which share 0.8 or more of their five-word shingles: the smallest id."""
+    return simhash.near_dedup(docs, words=5, similarity=0.8)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("mixture", mixture), ("packed", packed)]
 
-#: SimHash, hash permutations and the tokenizer are beyond SQL; tests hold the stages against brute force.
+#: Exact likenesses of all pairs, hash permutations and the tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
