@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade, ordered by rejections per cost.
 
-Each rule looks at one text and rejects it or not. On a hashed sample the cascade measures every rule's cost (seconds) and
-selectivity (share rejected); order() then sorts the rules by rejections per second, and apply() runs them in that order,
-each only on the rows that all rules before it kept. A text is rejected if any rule rejects it, so the order changes the
-cost and never the verdict. The sample bounds what is measured, not what is judged: every text is judged whole.
+Each rule looks at one text and rejects it or not. On a hashed sample the cascade measures every rule's own cost (seconds),
+the cost of the pieces that rules share (words, word numbers, lines), and which rules reject which texts together.
+cascade() then picks rule after rule: the one with the most rejections per second among the texts that the rules before it
+keep, at the cost of what they have not computed already; ties go to the cheaper rule and then by name. Rules run in that
+order, each only on the texts that all rules before it kept. A text is rejected if any rule rejects it, so the order changes
+the cost and never the verdict. The sample bounds what is measured, not what is judged: every text is judged whole.
 
 Words are runs of bytes other than ASCII white space, which is how bytes.split() cuts. Repeated 8-word windows are
 found exactly: word numbers are ranked by pairs of pairs of pairs, so equal ranks mean equal windows.
@@ -15,6 +17,7 @@ columns pass through quality_filter() unchanged, whatever their names.
 
 import re
 import time
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -100,12 +103,17 @@ class Text:
         return self.n_words < MIN_WORDS or 100 * self.n_repeat_words > MAX_REPEAT_PERCENT * self.n_words
 
 
+#: Pieces of a text that rules share, each with the pieces that it is made of.
+PIECES = {"words": (), "numbers": ("words",), "lines": ()}
+
+
 @dataclass(frozen=True)
 class Rule:
-    """rejects(text) is True for a text that must go."""
+    """rejects(text) is True for a text that must go; needs names the shared pieces that it looks at."""
 
     name: str
     rejects: Callable[[Text], bool]
+    needs: tuple[str, ...] = ("words",)
 
 
 def _shouts(t: Text) -> bool:
@@ -128,37 +136,74 @@ RULES = (
     Rule("few_words", lambda t: t.n_words < MIN_WORDS),
     Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words),
     Rule("long_words", lambda t: t.word_chars > 200 * max(1, t.n_words)),
-    Rule("repeated_lines", lambda t: len(t.lines) >= 4 and 2 * t.n_dup_lines > len(t.lines)),
+    Rule("repeated_lines", lambda t: len(t.lines) >= 4 and 2 * t.n_dup_lines > len(t.lines), ("lines",)),
     Rule("shouting", _shouts),
-    Rule("stutter", _stutters),
+    Rule("stutter", _stutters, ("words", "numbers")),
     Rule("wordless", _wordless),
-    Rule("repeated_windows", lambda t: 100 * t.n_repeat_words > MAX_REPEAT_PERCENT * t.n_words),
+    Rule("repeated_windows", lambda t: 100 * t.n_repeat_words > MAX_REPEAT_PERCENT * t.n_words, ("words", "numbers")),
 )
+#: Rules that are the base conditions themselves.
+BASE_RULES = frozenset({"few_words", "repeated_windows"})
+
+
+@dataclass(frozen=True)
+class Sample:
+    """Seconds per text of each rule, its pieces given, and of each piece; and how many texts each set of rules rejects."""
+
+    rules: dict[str, float]
+    pieces: dict[str, float]
+    rejected: dict[frozenset[str], int]
 
 
-def measure(df: DataFrame, text_col: str = "text", rules=RULES, sample_rows: int = 2000) -> dict[str, tuple[float, float]]:
-    """Per rule its seconds per text and the share that it rejects, on a hashed sample of about sample_rows rows.
+def measure(df: DataFrame, text_col: str = "text", rules=RULES, sample_rows: int = 2000) -> Sample:
+    """Costs and rejections on a hashed sample of about sample_rows rows.
 
-    Each rule is timed on a fresh Text, so a cost includes everything that the rule needs. Executors return one row of
-    sums per batch and rule.
+    Executors return a row of sums per batch for each piece, rule and set of rules that reject a text together.
     """
     n = df.count()
-    if not n:
-        return {r.name: (0.0, 0.0) for r in rules}
-    share = min(1.0, sample_rows / n)
+    share = min(1.0, sample_rows / max(1, n))
     sample = df.select(F.col(text_col).alias("t"), F.monotonically_increasing_id().alias("i")).filter(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("t")
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts = [Text(t) for t in batch.column(0).to_pylist()]
+            out, by_text = [], [[] for _ in texts]
+            for piece in PIECES:
+                began = time.perf_counter()
+                for t in texts:
+                    getattr(t, piece)
+                out.append(("piece", piece, time.perf_counter() - began, len(texts)))
             for rule in rules:
                 began = time.perf_counter()
-                rejected = sum(rule.rejects(Text(t)) for t in texts)
-                yield pa.RecordBatch.from_pydict({"rule": [rule.name], "seconds": [time.perf_counter() - began], "rejected": [rejected], "n": [len(texts)]})
-
-    sums = sample.mapInArrow(run, "rule string, seconds double, rejected bigint, n bigint").groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("r"), F.sum("n").alias("n")).collect()
-    found = {x["rule"]: (x["s"] / max(1, x["n"]), x["r"] / max(1, x["n"])) for x in sums}
-    return {r.name: found.get(r.name, (0.0, 0.0)) for r in rules}
+                found = [rule.rejects(t) for t in texts]
+                out.append(("rule", rule.name, time.perf_counter() - began, len(texts)))
+                for names, hit in zip(by_text, found, strict=True):
+                    if hit:
+                        names.append(rule.name)
+            sets = Counter("\n".join(names) for names in by_text)
+            out += [("set", names, 0.0, times) for names, times in sets.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["kind", "name", "seconds", "n"])
+
+    sums = sample.mapInArrow(run, "kind string, name string, seconds double, n bigint").groupBy("kind", "name").agg(F.sum("seconds").alias("s"), F.sum("n").alias("n")).collect() if n else []
+    cost = lambda kind: {x["name"]: x["s"] / max(1, x["n"]) for x in sums if x["kind"] == kind}
+    rejected = {frozenset(filter(None, x["name"].split("\n"))): x["n"] for x in sums if x["kind"] == "set"}
+    return Sample({r.name: 0.0 for r in rules} | cost("rule"), dict.fromkeys(PIECES, 0.0) | cost("piece"), rejected)
+
+
+def cascade(rules, sample: Sample):
+    """The rules in the order in which they run: greedily by rejections among survivors per marginal cost."""
+    left, done, ready = list(rules), [], set()
+    survivors = dict(sample.rejected)
+    while left:
+        total = max(1, sum(survivors.values()))
+        needed = {r.name: {q for p in r.needs for q in (p, *PIECES[p])} for r in left}
+        marginal = {r.name: (sample.rules[r.name] + sum(sample.pieces[p] for p in needed[r.name] - ready), sum(n for names, n in survivors.items() if r.name in names) / total) for r in left}
+        best = order(left, marginal)[0]
+        left.remove(best)
+        done.append(best)
+        ready |= needed[best.name]
+        survivors = {names: n for names, n in survivors.items() if best.name not in names}
+    return tuple(done)
 
 
 def order(rules, measured: dict[str, tuple[float, float]]):
@@ -178,7 +223,7 @@ def verdict(text: Text, rules) -> str | None:
 
 def quality_filter(df: DataFrame, text_col: str = "text", rules=RULES, sample_rows: int = 2000) -> DataFrame:
     """The rows of df that no rule rejects."""
-    ordered = order(rules, measure(df, text_col, rules, sample_rows))
+    ordered = cascade(rules, measure(df, text_col, rules, sample_rows))
 
     @F.arrow_udf("boolean")
     def keep(texts: pa.Array) -> pa.Array:
@@ -188,11 +233,12 @@ def quality_filter(df: DataFrame, text_col: str = "text", rules=RULES, sample_ro
 
 
 def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, sample_rows: int = 2000) -> DataFrame:
-    """Per row: id, the counts of the base conditions, base_failed, kept and rule, the first rule that rejected it.
+    """Per row: id, the counts of the base conditions, base_failed and kept.
 
-    The first rule depends on the measured order; kept does not.
+    The counts are owed for every row, so the base conditions are known before the cascade, which runs the other rules.
     """
-    ordered = order(rules, measure(df, text_col, rules, sample_rows))
+    others = tuple(r for r in rules if r.name not in BASE_RULES)
+    ordered = cascade(others, measure(df, text_col, others, sample_rows))
     kind = df.select(F.col(id_col).alias("doc_id"))
     schema = f"doc_id {kind.dtypes[0][1]}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean"
     names = [c.split()[0] for c in schema.split(", ")]

@@ -117,6 +117,19 @@ def test_quality_order_and_short_circuit():
     assert quality_rules.verdict(quality_rules.Text("x"), ordered) == "cheap" and ran == ["cheap"]
 
 
+def test_cascade_weighs_what_is_left(spark):
+    rule = lambda name, needs=("words",): quality_rules.Rule(name, lambda t: False, needs)
+    rules = (rule("a"), rule("b"), rule("c", ("lines",)), rule("d", ("words", "numbers")))
+    costs, pieces = dict.fromkeys("abcd", 1.0), {"words": 10.0, "numbers": 5.0, "lines": 1.0}
+    both = frozenset("ab")
+    # b rejects only what a does; c is cheap; d's words are ready once a has run
+    sample = quality_rules.Sample(costs, pieces, {both: 30, frozenset("a"): 5, frozenset("c"): 4, frozenset("d"): 3, frozenset(): 58})
+    assert [r.name for r in quality_rules.cascade(rules, sample)] == ["a", "c", "d", "b"]
+    found = quality_rules.measure(spark.createDataFrame([("x",), ("# # # #",), (None,)], "text string"))
+    assert sum(found.rejected.values()) == 3 and found.rejected[frozenset({"few_words", "symbols", "wordless", "stutter"})] == 1
+    assert set(found.rules) == {r.name for r in quality_rules.RULES} and set(found.pieces) == set(quality_rules.PIECES)
+
+
 def test_quality_labels(spark, sf_dir):
     labels = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{sf_dir}/labels.parquet'").fetchall())
     for r in quality_rules.query(spark, sf_dir).collect():
@@ -553,6 +566,70 @@ def test_neighbours_are_lexical():
     assert index.neighbours(1, np.array([True, False, True, True]))[0] == 3
 
 
+def _rests(seed, n, size=(20, 200)):
+    r = np.random.default_rng(seed)
+    topics = [r.choice(500, 80, replace=False) for _ in range(6)]
+    return [r.choice(topics[i % 6], r.integers(*size)) for i in range(n)]
+
+
+def test_bm25_scores_and_greedy_order():
+    rests = _rests(2, 60)
+    n, mean = len(rests), np.mean([len(x) for x in rests])
+    idf = np.zeros(1 << 16)
+    for t in range(500):
+        df = sum(t in set(x.tolist()) for x in rests)
+        idf[t] = max(0.0, np.log((n - df + 0.5) / (df + 0.5)))
+
+    def score(seed, other):
+        total = 0.0
+        for t in sorted(set(rests[seed].tolist())):
+            tf = int((rests[other] == t).sum())
+            total += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(rests[other]) / mean))
+        return total
+
+    sizes = np.array([len(x) for x in rests])
+    index = packing.Index.build(sizes, [np.unique(x, return_counts=True) for x in rests], idf, mean)
+    unused, window = set(range(n)), 300
+    want, rest = [], None
+    while unused or rest:  # the whole greedy walk, by brute force
+        if rest is None:
+            seed = min(unused, key=lambda i: (-sizes[i], i))
+            rest = (seed, 0)
+        seed, done = rest
+        unused.discard(seed)
+        filled, rest = [(seed, done, int(sizes[seed]) - done)], None
+        room = window - filled[0][2]
+        for other in sorted(unused, key=lambda i: (-round(score(seed, i), 9), i)):
+            if not room:
+                break
+            take = min(room, int(sizes[other]))
+            filled.append((other, 0, take))
+            unused.discard(other)
+            room -= take
+            if take < sizes[other]:
+                rest = (other, take)
+        want.append(filled)
+    got = collections.defaultdict(list)
+    for sequence, piece, at, length, _ in packing.fill(sizes, index, window):
+        got[sequence].append((piece, at, length))
+    assert [got[i] for i in range(len(got))] == want
+
+
+def test_dealing_by_content_keeps_neighbours_together():
+    rests = _rests(3, 1200)
+    order = sorted(range(len(rests)), key=lambda i: packing.signature(np.unique(rests[i])))
+    runs = [order[i : i + 100] for i in range(0, len(order), 100)]
+    same = np.mean([[i % 6 == j % 6 for i in run for j in run] for run in runs])
+    assert same > 0.4  # one in six by chance
+
+
+def test_equal_signatures_do_not_grow_a_shard(spark):
+    df = spark.createDataFrame([(i, "one two three four") for i in range(900)], "doc_id long, text string")
+    out = packing.pack(df, window=64, shard_pieces=20).collect()
+    shards = collections.Counter(r["sequence_id"] >> 16 for r in out if r["start"] == 0)
+    assert sum(shards.values()) >= 900 and max(shards.values()) <= 20
+
+
 # 7
 
 
