@@ -1,16 +1,22 @@
 """Lexical retrieval packing: windows of at most `window` tokens, filled with lexically near documents.
 
-A document's tokens are cut into full windows, which are sequences of their own, and a rest. The rests are dealt to shards
-of about `shard_pieces`, each with its own BM25 inverted index over token numbers; document frequencies and the mean
-length are those of all rests of the corpus. In a shard, a seed asks the index for its nearest unused neighbours, which
-fill the seed's window in that order; the one that overflows is cut and what is left of it seeds the next window, so only
-a shard's last window is padded.
+A document's tokens are cut into full windows, which are sequences of their own, and a rest. The rests are put in order of
+content and cut into shards of `shard_pieces`, each with its own BM25 inverted index over token numbers; document
+frequencies and the mean length are those of all rests of the corpus. In a shard, a seed asks the index for its nearest
+unused neighbours, which fill the seed's window in that order; the one that overflows is cut and what is left of it seeds
+the next window, so only a shard's last window is padded.
+
+The order of content is that of signatures: three tokens of a rest, each the least by a weighted hash of its own, in which
+rarer tokens (later in the vocabulary, which is in order of frequency) weigh more. Two rests share a signature's token with
+a probability equal to the weighted likeness of their tokens, so like rests lie side by side. Range buckets deal this order
+to tasks, and a task cuts its sorted buckets into shards as they stream by; equal signatures follow a hash of the row, so
+that neither a hot text nor a growing table makes a shard grow.
 
 Tokens of a text are those of its runs between ASCII white space, joined: the tokenizer drops white space, never merges
 across it, and its special strings hold none. Each run is encoded once per worker and remembered in a memo of bounded size.
 
-A shard is bounded (pieces have fewer than `window` tokens), rows are dealt by a hash of their number in the input, and the
-vocabulary bounds the table of frequencies; the driver holds that table and two counts.
+A shard is bounded (pieces have fewer than `window` tokens), and the vocabulary bounds the table of frequencies; the driver
+holds that table, the buckets' bounds and three counts.
 
 Edge cases: a null or empty text is the end token alone; null ids and repeated rows are packed like others; texts of any
 length are cut into windows as they stream by; an empty table gives no rows. Columns other than id and text are not
@@ -31,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparsefold.llm.common import read, stash
+from sparsefold.llm.common import range_buckets, read, stash
 
 NAME = "op6_bm25_packing"
 
@@ -39,6 +45,8 @@ TOKENIZER = "word_bpe_49k.json"
 WINDOW = 4096
 END = 2
 SHARD_PIECES = 2000
+#: Shards that a bucket of the order of content is cut into, some.
+SHARDS_PER_BUCKET = 4
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
 #: Parts of texts that a worker remembers at most, some 130 MB.
@@ -130,15 +138,33 @@ def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[at], np.diff(at, append=len(ids)).astype("<u2")
 
 
-PIECE_SCHEMA = "doc_id bigint, row bigint, start bigint, length bigint, doc_tokens bigint, crc bigint, ids binary, terms binary, times binary"
-PIECE_TYPES = [pa.int64()] * 6 + [pa.binary()] * 3
+#: Tokens of a signature.
+SIGNATURE = 3
+
+
+@lru_cache(maxsize=1)
+def _ranks() -> np.ndarray:
+    """Per hash of a signature the places of all token numbers: exponential races, in which rarer tokens run faster."""
+    weights = np.log1p(np.arange(1 << 16)) + 1e-9
+    times = -np.log(np.random.default_rng(20240229).random((SIGNATURE, 1 << 16))) / weights
+    return times.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+
+
+def signature(terms: np.ndarray) -> int:
+    """The first of a rest's tokens in each of the races, as one number of 48 bits."""
+    first = _ranks()[:, terms].min(axis=1).tolist()
+    return first[0] << 32 | first[1] << 16 | first[2]
+
+
+PIECE_SCHEMA = "doc_id bigint, row bigint, start bigint, length bigint, doc_tokens bigint, crc bigint, place bigint, ids binary, terms binary, times binary"
+PIECE_TYPES = [pa.int64()] * 7 + [pa.binary()] * 3
 
 
 def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, window: int = WINDOW, end: int = END) -> DataFrame:
     """The windows and the rest of each document.
 
     ids holds the tokens of a rest, terms its distinct ones and times how often each comes (16 bits each); all three are
-    null for a full window.
+    null for a full window. place is a rest's signature; full windows have their checksums instead, which spread them.
     """
 
     def run(batches):
@@ -152,10 +178,11 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, window: in
                 for start in range(0, n, window):
                     part = ids[start : start + window]
                     if len(part) == window:
-                        out.append((doc, row, start, window, n, checksum(part), None, None, None))
+                        crc = checksum(part)
+                        out.append((doc, row, start, window, n, crc, crc << 16, None, None, None))
                         continue
                     terms, times = distinct(part)
-                    out.append((doc, row, start, len(part), n, checksum(part), part.tobytes(), terms.tobytes(), times.tobytes()))
+                    out.append((doc, row, start, len(part), n, checksum(part), signature(terms), part.tobytes(), terms.tobytes(), times.tobytes()))
                     held += 4 * len(part)
                 if held > 1 << 24:
                     yield _batch(out, PIECE_TYPES, PIECE_SCHEMA)
@@ -266,25 +293,25 @@ OUT_TYPES = [pa.int64()] * 7
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, end: int = END, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Shards have 2^15 pieces at most."""
+    if not 0 < shard_pieces <= 1 << 15:
+        raise ValueError("a shard has 1 to 32768 pieces")
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path(TOKENIZER)
     cut = stash(pieces(df, id_col, text_col, tokenizer, window, end), "packing-pieces")
     rests = cut.filter(F.col("ids").isNotNull())
-    total = cut.agg(F.count(F.lit(1)).alias("pieces"), F.count("ids").alias("n"), F.sum(F.when(F.col("ids").isNotNull(), F.col("length"))).alias("tokens")).first()
-    shards, n, mean = max(1, math.ceil(total["pieces"] / shard_pieces)), total["n"], (total["tokens"] or 1) / max(1, total["n"])
+    total = cut.agg(F.count("ids").alias("n"), F.sum(F.when(F.col("ids").isNotNull(), F.col("length"))).alias("tokens")).first()
+    n, mean = total["n"], (total["tokens"] or 1) / max(1, total["n"])
     idf = np.zeros(1 << 16)
     for term, df_ in frequencies(rests).collect():  # a row per token number of the vocabulary at most
         idf[term] = max(0.0, math.log((n - df_ + 0.5) / (df_ + 0.5)))
 
-    def run(key, table):
-        shard = key[0].as_py() << 32
-        rows = table.sort_by([("row", "ascending"), ("start", "ascending")]).drop_columns(["row", "shard"]).to_pylist()
+    def shard(rows: list[dict], base: int) -> pa.RecordBatch:
         out, whole, open_ = [], [r for r in rows if r["ids"] is None], [r for r in rows if r["ids"] is not None]
         for number, r in enumerate(whole):
-            out.append((r["doc_id"], r["start"], r["length"], r["crc"], r["doc_tokens"], shard + (1 << 31) + number, 0))
+            out.append((r["doc_id"], r["start"], r["length"], r["crc"], r["doc_tokens"], base + (1 << 15) + number, 0))
         if open_:
             ids = [np.frombuffer(r["ids"], "<u2") for r in open_]
             sizes = np.array([len(x) for x in ids])
@@ -292,11 +319,29 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
             for number, piece, at, length, offset in fill(sizes, index, window):
                 r = open_[piece]
                 crc = r["crc"] if length == r["length"] else checksum(ids[piece][at : at + length])
-                out.append((r["doc_id"], r["start"] + at, length, crc, r["doc_tokens"], shard + number, offset))
-        return pa.Table.from_batches([_batch(out, OUT_TYPES, OUT_SCHEMA)])
+                out.append((r["doc_id"], r["start"] + at, length, crc, r["doc_tokens"], base + number, offset))
+        return _batch(out, OUT_TYPES, OUT_SCHEMA)
 
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("row", "start"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(run, OUT_SCHEMA)
+    def run(batches):
+        """Shards of a partition's buckets, which come one after the other, each in order."""
+        held, bucket, number = [], None, 0
+        for batch in batches:
+            rows = batch.to_pylist()
+            for r in rows:
+                if r["bucket"] != bucket or len(held) == shard_pieces:
+                    if held:
+                        yield shard(held, bucket << 40 | number << 16)
+                    held, bucket, number = [], r["bucket"], number + 1 if r["bucket"] == bucket else 0
+                held.append(r)
+        if held:
+            yield shard(held, bucket << 40 | number << 16)
+
+    keys = [F.col("place"), F.xxhash64("row", "start")]
+    buckets = range_buckets(cut, keys, SHARDS_PER_BUCKET * shard_pieces)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = cut.withColumn("bucket", buckets.bucket(keys).cast("bigint")).withColumn("tie", keys[1])
+    ordered = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "place", "tie", "row", "start")
+    return ordered.drop("place", "tie", "row").mapInArrow(run, OUT_SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
