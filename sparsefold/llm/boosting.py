@@ -40,13 +40,13 @@ class Boosted:
         return np.log(np.maximum(p / p.sum(axis=1, keepdims=True), 1e-9))
 
 
-def _tree(x: np.ndarray, binned: np.ndarray, edges: list[np.ndarray], gradient: np.ndarray, hessian: np.ndarray, depth: int, ridge: float, rate: float) -> Tree:
-    n, features = binned.shape
+def _tree(x: np.ndarray, binned: np.ndarray, edges: list[np.ndarray], gradient: np.ndarray, hessian: np.ndarray, depth: int, ridge: float, rate: float, among: np.ndarray) -> Tree:
+    n = len(binned)
     bins = max(len(e) for e in edges) + 1
     at, picked_f, picked_t = np.zeros(n, np.int64), [], []
     for level in range(depth):
         leaves, best = 1 << level, (-1.0, 0, 0)
-        for f in range(features):
+        for f in among.tolist():
             if not len(edges[f]):
                 continue
             slot = at * bins + binned[:, f]
@@ -68,8 +68,12 @@ def _tree(x: np.ndarray, binned: np.ndarray, edges: list[np.ndarray], gradient:
     return Tree(np.array(picked_f), np.array(picked_t), leaves)
 
 
-def fit(x: np.ndarray, y: np.ndarray, classes: int, trees: int = 30, depth: int = 4, rate: float = 0.3, ridge: float = 5.0, bins: int = 32) -> Boosted:
-    """Fit on rows x (features) and y (class numbers); the same input gives the same model."""
+def fit(x: np.ndarray, y: np.ndarray, classes: int, trees: int = 40, depth: int = 6, rate: float = 0.3, ridge: float = 5.0, bins: int = 32, share: float = 0.5) -> Boosted:
+    """Fit on rows x (features) and y (class numbers); the same input gives the same model.
+
+    Each tree is grown on a share of the rows and of the features, drawn with a fixed seed.
+    """
+    draw = np.random.default_rng(0)
     quantiles = np.linspace(0, 1, bins + 1)[1:-1]
     edges = [np.unique(np.quantile(x[:, f], quantiles)) for f in range(x.shape[1])]
     edges = [e[e < x[:, f].max()] for f, e in enumerate(edges)]
@@ -82,7 +86,9 @@ def fit(x: np.ndarray, y: np.ndarray, classes: int, trees: int = 30, depth: int
         score, grown = np.full(len(x), prior), []
         for _ in range(trees):
             p = 1 / (1 + np.exp(-score))
-            tree = _tree(x, binned, edges, target - p, p * (1 - p), depth, ridge, rate)
+            some = np.flatnonzero(draw.random(len(x)) < share) if share < 1 else np.arange(len(x))
+            among = np.sort(draw.permutation(x.shape[1])[: max(1, int(np.ceil(share * x.shape[1])))])
+            tree = _tree(x[some], binned[some], edges, (target - p)[some], (p * (1 - p))[some], depth, ridge, rate, among)
             grown.append(tree)
             score = score + tree.score(x)
         priors.append(prior)

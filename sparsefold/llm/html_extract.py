@@ -173,7 +173,7 @@ def _group(tag: str) -> int:
 
 
 GROUP = {t: _group(t) for t in BLOCKS} | {"": -1}
-FEATURES = len(TAG_GROUPS) + 23
+FEATURES = len(TAG_GROUPS) + 34
 
 
 def features(page: Page) -> list[list[float]]:
@@ -203,6 +203,13 @@ def features(page: Page) -> list[list[float]]:
             favour[i] = favour[p] + good[p] + (edge == 5)
             same[p, page.tag[i]] = same.get((p, page.tag[i]), 0) + 1
     whole, rows, log = max(1, chars[0]), [], math.log1p
+    before, after, last, largest = [0] * n, [0] * n, {}, [0] * n  # node 0 stands for no sibling
+    for i in range(1, n):
+        p = parent[i]
+        before[i] = last.get(p, 0)
+        after[before[i]], last[p] = i, i
+        largest[p] = max(largest[p], chars[i])
+    dense = [linked[i] / max(1, chars[i]) for i in range(n)]
     for i in range(n):
         p = max(parent[i], 0)
         c, group = chars[i], GROUP[page.tag[i]]
@@ -214,6 +221,8 @@ def features(page: Page) -> list[list[float]]:
             bad[i], good[i], against[i], favour[i], depth[i], place[i], place[i] / siblings, siblings, same[p, page.tag[i]] / siblings if i else 1.0,
             log(c), log(page.chars[i]), c / whole, c / max(1, chars[p]), c / (1 + tags[i]), linked[i] / max(1, c), stops[i] / max(1, c), log(paragraphs[i]), log(nodes[i]),
             c / nodes[i], page.start[i] / max(1, page.length), chars[p] / nodes[p], children[i], legal[i] / nodes[i],
+            *(f for s in (before[i], after[i]) for f in ((log(chars[s]), dense[s], GROUP[page.tag[s]], chars[s] / nodes[s]) if i and s else (-1.0, -1.0, -2.0, -1.0))),
+            dense[p], c / max(1, largest[p]) if i else 1.0, log(largest[p]),
         )
         rows.append(row)
     return rows
@@ -260,8 +269,8 @@ def extract(sources: list[str | None], model: boosting.Boosted) -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def trained(training_pages: int = 600, seed: int = 11) -> boosting.Boosted:
-    """The model, fitted on made-up pages; a few seconds, once per process."""
+def trained(training_pages: int = 1500, seed: int = 11) -> boosting.Boosted:
+    """The model, fitted on made-up pages; some ten seconds, once per process."""
     from sparsefold.llm.training import labelled_pages
 
     rows, states = [], []
@@ -281,7 +290,7 @@ def known_states(page: Page) -> list[int]:
     return states
 
 
-def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", training_pages: int = 600) -> DataFrame:
+def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", training_pages: int = 1500) -> DataFrame:
     """Per row: id, URL, text and n_chars."""
     model = trained(training_pages)
     kinds = dict(df.select(F.col(id_col), F.col(url_col)).dtypes)

@@ -1,8 +1,10 @@
 """Made-up web pages with known states, on which the main-text model is trained.
 
 A page is drawn from a small grammar of layouts: wrappers around an article under various tags and class names, menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments around and inside it. Every block element carries
-its state in an attribute data-state, which no feature reads. The same seed gives the same pages.
+headers, footers, sidebars, notices, adverts, forms and reader comments around and inside it. Half of the pages and a share
+of the blocks of the others have no telling names: none at all or made-up ones, and layouts of plain blocks or tables, so
+that density, links and neighbours have to tell. Every block element carries its state in an attribute data-state, which no
+feature reads. The same seed gives the same pages.
 """
 
 from __future__ import annotations
@@ -78,9 +80,43 @@ class _Pages:
             inside = r.choice((self.sentence(4, 20), self.sentence(4, 40), self.tag("p", "", "out", self.sentence(4, 40)), self.links(), self.tag("h2", "", "out", self.sentence(1, 4)) + self.links(), f"&copy; {self.word()} &middot; {self.sentence(3, 15)}", self.tag("h1", "", "out", self.sentence(1, 4)) + self.sentence(2, 8)))
         return self.tag(name, classes, "out", inside)
 
-    def article(self) -> str:
+    def made_up(self) -> str:
+        """A class name that says nothing, or none."""
+        r = self.r
+        return r.choice(("", "", "", f"css-{r.randint(10, 9999)}", f"sc-{self.word()}{r.randint(1, 99)}", f"c{r.randint(1, 30)} x{r.randint(1, 9)}", f"_{self.word()}", f"u{r.randint(100, 999)}"))
+
+    def link(self, low: int = 1, high: int = 3) -> str:
+        return f'<a href="/{self.word()}">{self.sentence(low, high)}</a>'
+
+    def plain_off(self, edge: bool = True) -> str:
+        """A block that is no main text, by its content alone; edge: it is at the page's start or end."""
+        r, out = self.r, "out"
+        listed = lambda low, high: self.tag(r.choice(("ul", "ul", "ol")), self.made_up(), out, "".join(self.tag("li", "", out, self.link(1, r.choice((2, 6)))) for _ in range(r.randint(low, high))))
+        joined = lambda low, high: r.choice((" | ", " &middot; ", " ", " / ", "<br>", "")).join(self.link() for _ in range(r.randint(low, high)))
+        small = r.choice(("div", "div", "p", "section"))
+        kinds = [
+            lambda: self.tag("div", self.made_up(), out, listed(3, 9)),
+            lambda: listed(3, 9),
+            lambda: self.tag(small, self.made_up(), out, joined(2, 9)),
+            lambda: self.tag("div", self.made_up(), out, "".join(self.tag("div", self.made_up(), out, self.link()) for _ in range(r.randint(2, 8)))),
+            lambda: self.tag("div", self.made_up(), out, self.tag(r.choice(("h2", "h3", "h4", "p")), "", out, self.sentence(1, 3)) + listed(2, 8)),
+            lambda: self.tag("div", self.made_up(), out, self.tag("div", self.made_up(), out, self.tag(r.choice(("h3", "h4")), "", out, self.sentence(1, 2)) + listed(2, 5)) * r.randint(1, 3)),
+            lambda: self.tag("div", self.made_up(), out, "<label>" + self.sentence(1, 3) + "</label><input name=q><button>Go</button>"),
+            lambda: self.tag(small, self.made_up(), out, self.link() + r.choice((" &gt; ", " &raquo; ", " / ")) + self.link() + r.choice((" &gt; ", " &raquo; ")) + self.words(r.randint(1, 4))),
+        ]
+        if edge:
+            kinds += [
+                lambda: self.tag(small, self.made_up(), out, r.choice(("&copy; ", "Copyright ", "&copy; 20%02d " % r.randint(0, 30))) + self.sentence(1, 8)),
+                lambda: self.tag(small, self.made_up(), out, r.choice((" | ", " - ", " &middot; ")).join(self.words(r.randint(1, 2)) for _ in range(r.randint(2, 5)))),
+                lambda: self.tag("div", self.made_up(), out, self.tag("p", "", out, joined(2, 5)) + self.tag("p", "", out, "&copy; " + self.sentence(1, 6))),
+            ]
+        return r.choice(kinds)()
+
+    def article(self, plain: bool = False) -> str:
         r = self.r
         name, classes = r.choice(MAIN)
+        if plain:
+            name, classes = r.choice((("div", ""), ("div", self.made_up()), ("section", self.made_up()), ("td", ""), ("td", self.made_up()), ("main", ""), ("article", "")))
         parts = [self.paragraph("in") for _ in range(r.choice((1, 2, 3, 5, 8, 14)))]
         if r.random() < 0.85:
             parts.insert(0, self.tag(r.choice(("h1", "h1", "h1", "h2")), r.choice(("", "", "title")), "in", self.sentence(2, 12)))
@@ -88,28 +124,35 @@ class _Pages:
             if len(parts) > 2:
                 parts.insert(r.randrange(1, len(parts)), self.tag(r.choice(("h2", "h3")), "", "in", self.sentence(1, 6)))
         for _ in range(r.choice((0, 0, 1, 2))):
-            parts.insert(r.randrange(1, len(parts) + 1), self.off(*r.choice(INNER)))
+            parts.insert(r.randrange(1, len(parts) + 1), self.plain_off(edge=False) if plain and r.random() < 0.7 else self.off(*r.choice(INNER)))
         inside = "".join(parts)
         if r.random() < 0.3:
-            inside = self.tag(r.choice(("div", "section")), r.choice(("", "body", "text")), "in", inside)
+            inside = self.tag(r.choice(("div", "section")), r.choice(("", "body", "text")) if not plain else self.made_up(), "in", inside)
         if name == "td":
-            inside = self.tag("table", "", "mixed", self.tag("tr", "", "mixed", self.tag("td", classes, "in", inside)))
-            return inside
+            aside = lambda: self.tag("td", self.made_up(), "out", self.plain_off()) if plain else ""
+            left, right = (aside() if r.random() < 0.6 else "" for _ in range(2))
+            row = self.tag("tr", "", "mixed", left + self.tag("td", classes, "in", inside) + right)
+            above = self.tag("tr", "", "out", self.tag("td", "", "out", self.plain_off())) if plain and r.random() < 0.3 else ""
+            return self.tag("table", "", "mixed", above + row)
         return self.tag(name, classes, "in", inside)
 
     def page(self) -> str:
         r = self.r
-        main = self.article()
+        plain = r.random() < 0.5
+        chrome = lambda: self.plain_off() if r.random() < (0.9 if plain else 0.2) else self.off(*r.choice(CHROME))
+        main = self.article(plain)
         for _ in range(r.choice((0, 0, 1, 1, 2))):  # wrappers, some with chrome beside the article
-            beside = "".join(self.off(*r.choice(CHROME)) for _ in range(r.choice((0, 1, 2))))
-            main = self.tag(r.choice(("div", "div", "section", "main")), r.choice(("", "", "wrap", "container", "page", "main", "row c2")), "mixed", r.choice((main + beside, beside + main)))
-        before = [self.off(*r.choice(CHROME)) for _ in range(r.choice((0, 1, 2, 3)))]
-        after = [self.off(*r.choice(CHROME)) for _ in range(r.choice((0, 1, 2, 3)))]
-        if r.random() < 0.6:
-            before.insert(0, self.off(*r.choice((("nav", ""), ("nav", "menu"), ("header", "")))))
-        if r.random() < 0.7:
-            after.append(self.off("footer", r.choice(("", "footer"))))
-        elif r.random() < 0.6:
+            beside = "".join(chrome() for _ in range(r.choice((0, 1, 2))))
+            named = self.made_up() if plain else r.choice(("", "", "wrap", "container", "page", "main", "row c2"))
+            main = self.tag(r.choice(("div", "div", "section", "main")), named, "mixed", r.choice((main + beside, beside + main)))
+        before = [chrome() for _ in range(r.choice((0, 1, 2, 3)))]
+        after = [chrome() for _ in range(r.choice((0, 1, 2, 3)))]
+        if not plain:
+            if r.random() < 0.6:
+                before.insert(0, self.off(*r.choice((("nav", ""), ("nav", "menu"), ("header", "")))))
+            if r.random() < 0.7:
+                after.append(self.off("footer", r.choice(("", "footer"))))
+        if plain or r.random() < 0.2:
             after.append(self.tag(r.choice(("div", "p")), "", "out", r.choice(("&copy; ", "Copyright ", "Copyright &copy; ")) + self.sentence(1, 8)))
         body = "".join([*before, main, *after])
         whole = f'<!DOCTYPE html><html lang="en" data-state="mixed"><head><title>{self.sentence(2, 6)}</title><style>p{{margin:0}}</style></head><body data-state="mixed">{body}</body></html>'
