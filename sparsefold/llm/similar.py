@@ -15,7 +15,6 @@ forest of the links that it found, never all of them, which leaves the component
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,8 @@ from sparsefold.llm.common import stash
 BANDS, WIDTH = 20, 5
 #: Shingles of a block of a list, some: 8 MB.
 BLOCK_SHINGLES = 1 << 20
-#: Words that a worker remembers at most.
-MEMO = 1_000_000
+#: Words that a task remembers at most, some 15 MB.
+MEMO = 100_000
 #: Shingles that are permuted at a time.
 STEP = 4096
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -42,17 +41,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-@lru_cache(maxsize=1)
-def _memo() -> dict[bytes, int]:
-    return {}
+def shingle_set(text: str | None, words: int, memo: dict[bytes, int]) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order; the whole sequence is one shingle if it has fewer words.
 
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles, in order; the whole sequence is one shingle if it has fewer words."""
+    memo remembers words' hashes.
+    """
     found = (text or "").encode().lower().split()
     if not found:
         return np.zeros(0, np.uint64)
-    memo = _memo()
     if len(memo) > MEMO:
         memo.clear()
     for w in set(found).difference(memo):
@@ -96,10 +92,11 @@ def _sketches(words: int):
     names, types = ["_row", "_id", "_set", "_n", "_print", "_keys"], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches):
+        memo: dict[bytes, int] = {}
         for batch in batches:
             out = []
             for text in batch.column(2):
-                h = shingle_set(text.as_py(), words)
+                h = shingle_set(text.as_py(), words, memo)
                 out.append((xxhash.xxh3_128_digest(h.tobytes()), len(h), simhash(h), postings(h).view(np.int64).tolist() if len(h) else []))
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(columns, types[2:], strict=True)]], names)
@@ -109,9 +106,10 @@ def _sketches(words: int):
 
 def _sets(words: int):
     def run(batches):
+        memo: dict[bytes, int] = {}
         for batch in batches:
             for row, text in zip(batch.column(0), batch.column(1), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([row.as_py()], pa.int64()), pa.array([shingle_set(text.as_py(), words).tobytes()], pa.binary())], ["_vertex", "_hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([row.as_py()], pa.int64()), pa.array([shingle_set(text.as_py(), words, memo).tobytes()], pa.binary())], ["_vertex", "_hashes"])
 
     return run
 
