@@ -45,13 +45,18 @@ def batch_mean_variance(x: DataFrame, batches: DataFrame, var_ids: DataFrame, dd
 
     batches: soma_dim_0, batch. Features without a value in a batch have mean and variance 0 there and no row.
     """
-    v = F.col("soma_data").cast("double")
     sizes = batches.groupBy("batch").agg(F.count(F.lit(1)).cast("double").alias("total"))
-    found = x.join(batches, "soma_dim_0").join(var_ids, "soma_dim_1", "left_semi").groupBy("batch", "soma_dim_1").agg(F.count(v).alias("n"), F.avg(v).alias("u"), (F.var_pop(v) * F.count(v)).alias("m2"))
+    found = batch_moments(x.join(batches, "soma_dim_0").join(var_ids, "soma_dim_1", "left_semi"))
     mean, var = corrected(F.col("n"), F.col("u"), F.col("m2"), F.col("total"), ddof)
     return found.join(sizes, "batch").select("batch", "soma_dim_1", F.col("total").alias("n_obs"), mean.alias("mean"), var.alias("variance"))
 
 
+def batch_moments(x: DataFrame) -> DataFrame:
+    """Per batch and feature: n, u and m2 (count, mean and summed squares) of the stored values. x has a column batch."""
+    v = F.col("soma_data").cast("double")
+    return x.groupBy("batch", "soma_dim_1").agg(F.count(v).cast("double").alias("n"), F.avg(v).alias("u"), (F.var_pop(v) * F.count(v)).alias("m2"))
+
+
 def clipped_sums(x: DataFrame, batches: DataFrame, clips: DataFrame) -> DataFrame:
     """Per batch and feature: sum and sum of squares of min(value, clip). clips: batch, soma_dim_1, clip."""
     capped = F.least(F.col("soma_data").cast("double"), F.col("clip"))

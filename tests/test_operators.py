@@ -110,6 +110,70 @@ def test_hvg_finds_the_varying_features(spark):
     assert {r["soma_joinid"] for r in out if r["highly_variable"]} == {10, 20, 30}
 
 
+def test_loess_error_of_interpolation():
+    r = np.random.default_rng(4)
+    x = np.sort(r.normal(size=3000))
+    y = np.cos(x) + r.normal(size=3000) * 0.1
+    at = np.arange(0, 3000, 37)
+    k = int(np.ceil(0.3 * 3000))
+    for i, value in zip(at, loess(x, y, 0.3)[at], strict=True):  # a weighted quadratic at the point itself
+        near = np.argsort(np.abs(x - x[i]), kind="stable")[:k]
+        d = np.abs(x[near] - x[i])
+        w = (1 - (d / d.max()) ** 3) ** 3
+        assert value == pytest.approx(np.polyval(np.polyfit(x[near] - x[i], y[near], 2, w=np.sqrt(w)), 0), abs=1e-4)
+
+
+def _hvg_by_hand(dense, batches, n_top, span):
+    """Ranks and normalised variances of a dense matrix, batch by batch, with the trend fitted point by point."""
+    norms = []
+    for b in sorted(set(batches)):
+        m = dense[batches == b]
+        n, mean, variance = len(m), m.mean(axis=0), m.var(axis=0, ddof=1)
+        varies = variance > 0
+        x, y = np.log10(mean[varies]), np.log10(variance[varies])
+        k = min(len(x), max(3, int(np.ceil(span * len(x)))))
+        fitted = np.empty(len(x))
+        for i in range(len(x)):
+            near = np.argsort(np.abs(x - x[i]), kind="stable")[:k]
+            d = np.abs(x[near] - x[i])
+            w = np.sqrt(np.maximum((1 - (d / d.max()) ** 3) ** 3, 0))
+            design = np.stack([np.ones(k), x[near] - x[i], (x[near] - x[i]) ** 2], axis=1)
+            fitted[i] = np.linalg.lstsq(design * w[:, None], y[near] * w, rcond=None)[0][0]
+        std = np.ones(len(mean))
+        std[varies] = np.sqrt(10**fitted)
+        clipped = np.minimum(m, std * np.sqrt(n) + mean)
+        norms.append((n * mean**2 + (clipped**2).sum(axis=0) - 2 * mean * clipped.sum(axis=0)) / ((n - 1) * std**2))
+    norms = np.stack(norms)
+    ranks = np.argsort(np.argsort(-norms, axis=1, kind="stable"), axis=1, kind="stable").astype(float)
+    below = np.where(ranks < n_top, ranks, np.nan)
+    return norms.mean(axis=0), below, (ranks < n_top).sum(axis=0)
+
+
+@pytest.mark.parametrize("by", ["columns", "expression", None])
+def test_hvg_against_numpy(spark, by):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(8)
+    dense = r.poisson(r.gamma(1.0, 2.0, 120), (150, 120)).astype(float)
+    dense[:, 5] = 0
+    dense[:60, 9] = 0
+    i, j = np.nonzero(dense)
+    x = spark.createDataFrame([(int(a), int(b), float(dense[a, b])) for a, b in zip(i, j, strict=True)], "soma_dim_0 long, soma_dim_1 long, soma_data double")
+    obs = spark.createDataFrame([(k, "a" if k < 60 else "b", k % 2) for k in range(150)], "soma_joinid long, site string, run long")
+    var = spark.range(120).withColumnRenamed("id", "soma_joinid")
+    batch = {"columns": ["site"], "expression": F.concat("site", F.lit("!"), F.col("run").cast("string")), None: None}[by]
+    labels = np.array([{"columns": "a" if k < 60 else "b", "expression": f"{'a' if k < 60 else 'b'}{k % 2}", None: ""}[by] for k in range(150)])
+    out = {x["soma_joinid"]: x for x in hvg.highly_variable(axis.axis_query(obs, var, x), batch, 15).collect()}
+    norm, below, times = _hvg_by_hand(dense, labels, 15, 0.3)
+    median = [np.median(c[~np.isnan(c)]) if (~np.isnan(c)).any() else np.inf for c in below.T]
+    first = sorted(range(120), key=lambda g: (median[g], -times[g], g))[:15]
+    for g in range(120):
+        assert out[g]["means"] == pytest.approx(dense[:, g].mean()) and out[g]["variances"] == pytest.approx(dense[:, g].var(ddof=1))
+        assert out[g]["variances_norm"] == pytest.approx(norm[g], rel=1e-6, abs=1e-9)
+        assert out[g]["highly_variable"] == (g in first)
+        assert out[g]["highly_variable_rank"] == (None if median[g] == np.inf else median[g])
+
+
 def test_tokens_keep_their_marks(spark):
     _, _, x = matrix(spark)
     rows = {r[0]: list(r[1]) for r in transform.tokens(x, 3, 90, 91).collect()}
