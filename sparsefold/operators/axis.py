@@ -1,10 +1,13 @@
 """The axis query: two predicates pick ids on the axes, the matrix is restricted to both.
 
-Predicates are Columns or Spark SQL text; coordinates are None, an id, a list of ids or a closed slice.
+Predicates are Columns or text: Spark SQL, in which lists may be written in brackets, as in tissue in ['brain', 'lung'].
+Coordinates are None, an id, a list of ids or a closed slice.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +22,13 @@ SMALL_AXIS = 100_000
 def as_predicate(value_filter: Column | str | None) -> Column:
     if value_filter is None:
         return F.lit(True)
-    return F.expr(value_filter) if isinstance(value_filter, str) else value_filter
+    return F.expr(in_parentheses(value_filter)) if isinstance(value_filter, str) else value_filter
+
+
+def in_parentheses(text: str) -> str:
+    """Lists in brackets as SQL writes them; what is quoted stays as it is."""
+    parts = re.split(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`)""", text)
+    return "".join(p if i % 2 else p.replace("[", "(").replace("]", ")") for i, p in enumerate(parts))
 
 
 def at_coords(df: DataFrame, coords, id_col: str = "soma_joinid") -> DataFrame:
@@ -84,3 +93,35 @@ def axis_query(obs: DataFrame, var: DataFrame, layer: DataFrame, obs_filter=None
 def blockwise(x: DataFrame, size: int) -> DataFrame:
     """The matrix with the number of each row's block of size rows."""
     return x.withColumn("block", F.floor(F.col("soma_dim_0") / size).cast("bigint"))
+
+
+def reindexed(x: DataFrame, ids: DataFrame, dim: str = "soma_dim_0") -> DataFrame:
+    """The matrix with the coordinates of one axis replaced by their places. ids: soma_joinid, place."""
+    places = ids.select(F.col("soma_joinid").alias(dim), F.col("place").alias("_place"))
+    return x.join(places, dim).withColumn(dim, F.col("_place")).drop("_place")
+
+
+def export(q: AxisQuery, embeddings: dict[str, tuple[DataFrame, int]] | None = None, layers: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """A slice as its tables: obs, var, X and each further layer. embeddings (name: table of id and vector, dimensions) come
+    as columns of obs, NaN in every place where an observation has none."""
+    obs = q.obs
+    for name, (table, dimensions) in (embeddings or {}).items():
+        nothing = F.array_repeat(F.lit(float("nan")).cast("float"), dimensions)
+        found = table.select(F.col("id").alias("soma_joinid"), F.col("vector").alias(name))
+        obs = obs.join(found, "soma_joinid", "left").withColumn(name, F.coalesce(name, nothing))
+    more = {name: AxisQuery(q.obs, q.var, x, q.small_obs, q.small_var).X for name, x in (layers or {}).items()}
+    return {"obs": obs, "var": q.var, "X": q.X} | more
+
+
+def incremental(q: AxisQuery, size: int) -> Iterator[AxisQuery]:
+    """The slice in consecutive ranges of size ids of observations, one after the other, for a reader that takes it in steps.
+
+    The driver sees the lowest and the highest id; each step is a query of its own, whose range reaches the scan.
+    """
+    low, high = q.obs.agg(F.min("soma_joinid"), F.max("soma_joinid")).first()
+    if low is None:
+        return
+    for at in range(low, high + 1, size):
+        obs = q.obs.filter(F.col("soma_joinid").between(at, at + size - 1))
+        layer = q.layer.filter(F.col("soma_dim_0").between(at, at + size - 1))
+        yield AxisQuery(obs, q.var, layer, q.small_obs, q.small_var)

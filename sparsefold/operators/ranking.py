@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def sample_n(df: DataFrame, n: int, id_col: str = "soma_joinid", seed: int = 0)
     return df.orderBy(lot(id_col, seed), id_col).limit(n)
 
 
+def sample_pct(df: DataFrame, percent: float, id_col: str = "soma_joinid", seed: int = 0) -> DataFrame:
+    """That many per cent of the rows, rounded up: the same ones whatever the partitioning."""
+    return sample_n(df, math.ceil(df.count() * percent / 100), id_col, seed)
+
+
 def sample_per_group(df: DataFrame, group: str, n: int, id_col: str = "soma_joinid", seed: int = 0) -> DataFrame:
     """At most n rows of each group."""
     w = Window.partitionBy(group).orderBy(lot(id_col, seed), id_col)

@@ -36,10 +36,30 @@ def directory(versions: DataFrame, lts: bool | None = None, retracted: bool | No
 def removable(versions: DataFrame, today: str, days: int) -> DataFrame:
     """Releases older than so many days that no alias comes to and that aren't marked to stay."""
     named = resolved(versions).filter("is_alias").select(F.col("concrete").alias("name"))
-    old = F.to_date("release_date") < F.date_sub(F.to_date(F.lit(today)), days)
+    old = F.col("release_date").cast("date") < F.date_sub(F.to_date(F.lit(today)), days)
     return versions.filter(F.col("target").isNull() & old & ~F.coalesce(F.col("do_not_delete"), F.lit(False))).join(named, "name", "left_anti").select("name")
 
 
 def slower_than_first(runs: DataFrame, factor: float = 1.15) -> DataFrame:
     """Benchmarks whose latest time exceeds the first by more than a factor. runs: benchmark, ts, seconds."""
     return runs.groupBy("benchmark").agg(F.min_by("seconds", "ts").alias("first"), F.max_by("seconds", "ts").alias("latest")).filter(F.col("latest") > factor * F.col("first"))
+
+
+def description(versions: DataFrame, name: str) -> DataFrame:
+    """One name of the directory, retracted or not, with its release's columns; unset flags are false. No row if unknown."""
+    found = directory(versions, retracted=None).filter(F.col("name") == name)
+    return found.withColumns({flag: F.coalesce(F.col(flag), F.lit(False)) for flag in ("lts", "retracted")})
+
+
+def mirrors(known: DataFrame, default: DataFrame, providers: tuple[str, ...] = ("S3", "file")) -> DataFrame:
+    """mirror, base_uri and is_default of the mirrors whose provider can be read. default: one row, mirror."""
+    readable = known.filter(F.col("provider").isin(*providers))
+    return readable.join(F.broadcast(default.limit(1).withColumn("_d", F.lit(True))), "mirror", "left").select("mirror", "base_uri", F.col("_d").isNotNull().alias("is_default"))
+
+
+def faults(versions: DataFrame) -> DataFrame:
+    """name and fault: aliases that come to no release, and aliases that come to a retracted one."""
+    found = resolved(versions).filter("is_alias")
+    dangling = versions.filter(F.col("target").isNotNull()).join(found, "name", "left_anti").select("name", F.lit("dangling alias").alias("fault"))
+    gone = versions.filter(F.coalesce(F.col("retracted"), F.lit(False))).select(F.col("name").alias("concrete"))
+    return dangling.unionByName(found.join(gone, "concrete", "left_semi").select("name", F.lit("alias of a retracted release").alias("fault")))

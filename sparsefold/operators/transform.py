@@ -70,3 +70,19 @@ def tokens(x: DataFrame, limit: int = 4096, start: int | None = None, end: int |
     ids = F.transform(F.slice(pairs, 1, room), lambda p: p["f"])
     marks = [F.array(F.lit(m).cast("bigint")) if m is not None else F.array().cast("array<bigint>") for m in (start, end)]
     return x.groupBy("soma_dim_0").agg(ids.alias("ids")).select("soma_dim_0", F.concat(marks[0], "ids", marks[1]).alias("input_ids")).withColumn("length", F.size("input_ids"))
+
+
+def stacked(parts: list[DataFrame], how: str) -> DataFrame:
+    """Matrices (soma_dim_0, feature_id, soma_data) one after the other, over the features of all ("outer") or those that each
+    of them has ("inner"). Observations must not repeat across parts."""
+    if how not in ("inner", "outer"):
+        raise ValueError("matrices are stacked inner or outer")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    if how == "outer":
+        return out
+    shared = parts[0].select("feature_id").distinct()
+    for p in parts[1:]:
+        shared = shared.join(p.select("feature_id").distinct(), "feature_id", "left_semi")
+    return out.join(shared, "feature_id", "left_semi").select("soma_dim_0", "feature_id", "soma_data")

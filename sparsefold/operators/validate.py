@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,53 @@ def presence_matches(presence: DataFrame, source: DataFrame) -> DataFrame:
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of each side that the other lacks, repeats counted."""
     return a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_first")).join(b.exceptAll(a).agg(F.count(F.lit(1)).alias("only_second")))
+
+
+def measured(obs: DataFrame, var: DataFrame, presence: DataFrame) -> DataFrame:
+    """Observations whose n_measured_vars and features whose n_measured_obs differ from what presence says."""
+    per_set = presence.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = obs.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_n"))
+    per_feature = presence.join(sizes, "dataset_id").groupBy(F.col("var_joinid").alias("soma_joinid")).agg(F.sum("_n").alias("_n"))
+    wrong = lambda df, by, key, column, name: df.join(by, key, "left").agg(F.count_if(~F.col(column).eqNullSafe(F.coalesce("_n", F.lit(0)))).alias(name))
+    return wrong(obs, per_set, "dataset_id", "n_measured_vars", "bad_obs").join(wrong(var, per_feature, "soma_joinid", "n_measured_obs", "bad_var"))
+
+
+def schema_faults(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """column_name, fault (missing, extra or type), wanted and found, for a table whose columns and types are wanted."""
+    found = dict(df.dtypes)
+    rows = [(c, "missing" if c not in found else "type", t, found.get(c)) for c, t in wanted.items() if found.get(c) != t]
+    rows += [(c, "extra", None, t) for c, t in found.items() if c not in wanted]
+    return df.sparkSession.createDataFrame(rows, "column_name string, fault string, wanted string, found string")
+
+
+def layer(x: DataFrame, obs: DataFrame, var: DataFrame) -> DataFrame:
+    """Stored values that are null, not above 0 or not finite, and coordinates that an axis doesn't have."""
+    v = F.col("soma_data").cast("double")
+    finite = ~F.isnan(v) & (F.abs(v) != float("inf"))
+    values = x.agg(F.count_if(v.isNull()).alias("null_values"), F.count_if(v <= 0).alias("not_positive"), F.count_if(~finite).alias("not_finite"))
+    rows = obs.select(F.col("soma_joinid").alias("soma_dim_0"), F.lit(1).alias("_o"))
+    columns = var.select(F.col("soma_joinid").alias("soma_dim_1"), F.lit(1).alias("_v"))
+    off = x.join(rows, "soma_dim_0", "left").join(columns, "soma_dim_1", "left").agg(F.count_if(F.col("_o").isNull() | F.col("_v").isNull()).alias("off_axis"))
+    return values.join(off)
+
+
+def not_single(df: DataFrame, key: str, item: str) -> DataFrame:
+    """Keys that don't have exactly one item, with n, how many they have."""
+    return df.groupBy(key).agg(F.count(item).alias("n")).filter("n <> 1")
+
+
+def missing_objects(spark: SparkSession, base: str, wanted: list[str]) -> list[str]:
+    """The paths below base that aren't there or hold no file; asks the store itself, so any that Spark reaches will do."""
+    out = []
+    for name in wanted:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}")
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not store.exists(path) or store.getFileStatus(path).isDirectory() and not len(store.listStatus(path)):
+            out.append(name)
+    return out
+
+
+def disjoint(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row: how many distinct keys both sides have (none: disjoint) and how many of a's b lacks (none: a subset)."""
+    both = a.select(key).distinct().join(b.select(key).distinct().withColumn("_in", F.lit(1)), key, "left")
+    return both.agg(F.count("_in").alias("shared"), F.count_if(F.col("_in").isNull()).alias("only_first"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from sparsefold.operators import learning, presence, ranking, summary
+from sparsefold.operators import axis, ingest, learning, presence, ranking, summary, transform
 from sparsefold.plans import fixture as fx
 from sparsefold.plans.registry import query
 
@@ -36,12 +36,12 @@ def presence_obs_join(spark, d):
     return joined.groupBy("tissue").agg(F.sum("n_measured_vars").alias("measured"))
 
 
-@query(", g AS (SELECT DISTINCT dataset_id FROM obs), f AS (SELECT soma_joinid AS soma_dim_1 FROM var WHERE feature_length = 3), c AS (SELECT dataset_id, soma_dim_1, count(*) AS n FROM x JOIN obs ON soma_dim_0 = soma_joinid GROUP BY ALL) SELECT g.dataset_id, f.soma_dim_1, coalesce(n, 0) AS n FROM g CROSS JOIN f LEFT JOIN c ON c.dataset_id = g.dataset_id AND c.soma_dim_1 = f.soma_dim_1")
+@query(", g AS (SELECT DISTINCT dataset_id FROM obs), f AS (SELECT soma_joinid AS soma_dim_1 FROM var), c AS (SELECT dataset_id, soma_dim_1, count(*) AS n FROM x JOIN obs ON soma_dim_0 = soma_joinid GROUP BY ALL) SELECT g.dataset_id, f.soma_dim_1, coalesce(n, 0) AS n FROM g CROSS JOIN f LEFT JOIN c ON c.dataset_id = g.dataset_id AND c.soma_dim_1 = f.soma_dim_1")
 def complete_grid(spark, d):
-    """Every dataset with every chosen feature: both are short axis tables, of which one is broadcast."""
+    """Every dataset with every feature. The datasets are few and are the side that is repeated."""
     obs = fx.obs(spark, d).select(F.col("soma_joinid").alias("soma_dim_0"), "dataset_id")
-    chosen = fx.var(spark, d).filter("feature_length = 3").select(F.col("soma_joinid").alias("soma_dim_1"))
-    grid = obs.select("dataset_id").distinct().join(F.broadcast(chosen))
+    chosen = fx.var(spark, d).select(F.col("soma_joinid").alias("soma_dim_1"))
+    grid = chosen.crossJoin(obs.select("dataset_id").distinct())
     counts = fx.x(spark, d).join(chosen, "soma_dim_1", "left_semi").join(obs, "soma_dim_0").groupBy("dataset_id", "soma_dim_1").agg(F.count(F.lit(1)).alias("n"))
     return grid.join(counts, ["dataset_id", "soma_dim_1"], "left").select("dataset_id", "soma_dim_1", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -52,28 +52,79 @@ def scale(spark, d):
     return learning.scaled(fx.x(spark, d), n).withColumn("soma_data", F.round("soma_data", 5))
 
 
-_META = "(VALUES ('alpha', 'human', '2023', 'obs', '2023-01-05', 'a'), ('alpha', 'human', '2023', 'obs', '2023-03-01', 'b'), ('alpha', 'human', '2024', 'obs', '2024-01-01', 'c'), ('beta', 'human', '2024', 'obs', '2024-02-01', 'd'), ('gamma', 'mouse', '2024', 'var', '2024-02-02', 'e')) m(embedding_name, organism, version, axis, submission_date, id)"
+#: Records of submitted embeddings, made of the orders.
+_META = "(SELECT o_orderpriority AS embedding_name, o_orderstatus AS organism, CAST(year(o_orderdate) AS VARCHAR) AS version, o_orderdate AS submission_date, o_orderkey AS id FROM orders) m"
 
 
-def _metadata(spark):
-    rows = [("alpha", "human", "2023", "obs", "2023-01-05", "a"), ("alpha", "human", "2023", "obs", "2023-03-01", "b"), ("alpha", "human", "2024", "obs", "2024-01-01", "c"), ("beta", "human", "2024", "obs", "2024-02-01", "d"), ("gamma", "mouse", "2024", "var", "2024-02-02", "e")]
-    return spark.createDataFrame(rows, "embedding_name string, organism string, version string, axis string, submission_date string, id string")
+def _metadata(spark, d):
+    return fx.table(spark, d, "orders").select(F.col("o_orderpriority").alias("embedding_name"), F.col("o_orderstatus").alias("organism"), F.year("o_orderdate").cast("string").alias("version"), F.col("o_orderdate").alias("submission_date"), F.col("o_orderkey").alias("id"))
 
 
-@query(f"SELECT embedding_name, organism, version, axis, max_by(id, submission_date) AS id FROM {_META} GROUP BY ALL", plain=True)
+@query(f"SELECT embedding_name, organism, version, id FROM {_META} QUALIFY row_number() OVER (PARTITION BY embedding_name, organism, version ORDER BY submission_date DESC, id DESC) = 1", plain=True)
 def embedding_metadata_latest(spark, d):
-    keys = ["embedding_name", "organism", "version", "axis"]
-    return ranking.latest(_metadata(spark), keys, "submission_date", "id").select(*keys, "id")
+    keys = ["embedding_name", "organism", "version"]
+    return ranking.latest(_metadata(spark, d), keys, "submission_date", "id").select(*keys, "id")
 
 
-@query(f"SELECT id FROM {_META} WHERE version = '2024'", plain=True)
+@query(f"SELECT id FROM {_META} WHERE version = '1998' AND organism = 'F'", plain=True)
 def embedding_metadata_version(spark, d):
-    return _metadata(spark).filter("version = '2024'").select("id")
+    return ingest.of_version(_metadata(spark, d), "1998", organism="F").select("id")
 
 
-@query(f"SELECT DISTINCT version FROM {_META} WHERE embedding_name = 'alpha' AND organism = 'human'", plain=True)
+@query(f"SELECT DISTINCT version FROM {_META} WHERE embedding_name = '1-URGENT' AND organism = 'F'", plain=True)
 def embedding_versions(spark, d):
-    return _metadata(spark).filter("embedding_name = 'alpha' and organism = 'human'").select("version").distinct().orderBy("version")
+    return ingest.versions(_metadata(spark, d), "1-URGENT", "F")
+
+
+@query("SELECT vec_id AS id, round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding]), 1) AS total FROM embeddings", plain=True)
+def embedding_quantise(spark, d):
+    """Embeddings with 15 mantissa bits; their sums hardly change."""
+    found = ingest.quantised(fx.embeddings(spark, d).select("id", "vector"), 20)
+    return found.select("id", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 1).alias("total"))
+
+
+@query("SELECT soma_joinid, tissue, vec_id IS NOT NULL AS found, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM obs LEFT JOIN embeddings ON vec_id = soma_joinid WHERE tissue_general IN ('ASIA', 'EUROPE') AND is_primary_data")
+def slice_with_embeddings(spark, d):
+    """The observations of a slice, given in the surveyed grammar, with a named embedding; the matrix stays apart."""
+    e = fx.embeddings(spark, d).select("id", "vector")
+    found = axis.export(fx.slice_(spark, d, "tissue_general in ['ASIA', 'EUROPE'] and is_primary_data == True"), {"scvi": (e, 64)})
+    v = F.col("scvi")[0].cast("double")
+    return found["obs"].select("soma_joinid", "tissue", (~F.isnan(v)).alias("found"), F.when(~F.isnan(v), F.round(v, 6)).alias("first"))
+
+
+_GENES = ", a AS (SELECT soma_dim_0, feature_name, sum(soma_data) AS s FROM x JOIN var ON soma_dim_1 = soma_joinid JOIN obs o ON soma_dim_0 = o.soma_joinid WHERE o.tissue = 'NATION_1' AND feature_length < 30 GROUP BY ALL), b AS (SELECT soma_dim_0, feature_name, sum(soma_data) AS s FROM x JOIN var ON soma_dim_1 = soma_joinid JOIN obs o ON soma_dim_0 = o.soma_joinid WHERE o.tissue = 'NATION_2' AND feature_length > 20 GROUP BY ALL)"
+
+
+def _two_matrices(spark, d):
+    obs, var, x = fx.obs(spark, d), fx.var(spark, d), fx.x(spark, d)
+    out = []
+    for tissue, length in (("NATION_1", "feature_length < 30"), ("NATION_2", "feature_length > 20")):
+        names = var.filter(length).select(F.col("soma_joinid").alias("soma_dim_1"), "feature_name")
+        ids = obs.filter(F.col("tissue") == tissue).select(F.col("soma_joinid").alias("soma_dim_0"))
+        out.append(x.join(names, "soma_dim_1").join(ids, "soma_dim_0", "left_semi").groupBy("soma_dim_0", F.col("feature_name").alias("feature_id")).agg(F.sum("soma_data").alias("soma_data")))
+    return out
+
+
+@query(f"{_GENES}, common AS (SELECT feature_name FROM a INTERSECT SELECT feature_name FROM b) SELECT soma_dim_0, feature_name AS feature_id, s AS soma_data FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE feature_name IN (SELECT feature_name FROM common)")
+def concat_inner(spark, d):
+    return transform.stacked(_two_matrices(spark, d), "inner")
+
+
+@query(f"{_GENES} SELECT soma_dim_0, feature_name AS feature_id, s AS soma_data FROM (SELECT * FROM a UNION ALL SELECT * FROM b)")
+def concat_outer(spark, d):
+    return transform.stacked(_two_matrices(spark, d), "outer")
+
+
+@query(f"{_GENES} SELECT (SELECT count(*) FROM (SELECT feature_name FROM a INTERSECT SELECT feature_name FROM b)) AS shared, (SELECT count(*) FROM (SELECT feature_name FROM a EXCEPT SELECT feature_name FROM b)) AS only_first")
+def disjoint_features(spark, d):
+    from sparsefold.operators import validate
+
+    return validate.disjoint(*_two_matrices(spark, d), "feature_id")
+
+
+@query("SELECT soma_joinid FROM obs ORDER BY md5(CAST(soma_joinid AS VARCHAR) || '/3'), soma_joinid LIMIT (SELECT CAST(ceil(count(*) * 0.025) AS BIGINT) FROM obs)")
+def sample_pct(spark, d):
+    return ranking.sample_pct(fx.obs(spark, d).select("soma_joinid"), 2.5, seed=3)
 
 
 @query("SELECT o_orderkey AS soma_joinid FROM orders WHERE o_orderkey IN (SELECT vec_id FROM embeddings)", plain=True)
@@ -98,12 +149,12 @@ def train_test_split(spark, d):
     return learning.split(fx.obs(spark, d).select("soma_joinid"), 0.2)
 
 
-@query("SELECT soma_dim_0, count(*) AS n, max(soma_data) AS top FROM x WHERE soma_dim_0 < 500 GROUP BY 1")
+@query("SELECT soma_dim_0, count(*) AS n, max(soma_data) AS top FROM x GROUP BY 1")
 def dataset_builder(spark, d):
     def item(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"soma_dim_0": [rows["soma_dim_0"].iloc[0]], "n": [len(rows)], "top": [rows["soma_data"].max()]})
 
-    return learning.per_observation(fx.x(spark, d).filter("soma_dim_0 < 500"), item, "soma_dim_0 bigint, n bigint, top double")
+    return learning.per_observation(fx.x(spark, d), item, "soma_dim_0 bigint, n bigint, top double")
 
 
 @query("SELECT dataset_id, 's3://corpus/h5ads/' || CAST(dataset_id AS VARCHAR) || '.h5ad' AS uri FROM obs GROUP BY 1")

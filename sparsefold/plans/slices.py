@@ -53,7 +53,7 @@ def read_embedding_coo(spark, d):
 
 @query("SELECT soma_joinid FROM obs WHERE (cell_type IN ('BUILDING', 'MACHINERY') AND price > 100000) OR tissue = 'NATION_3'")
 def value_filter(spark, d):
-    return axis.scan(fx.obs(spark, d), "(cell_type in ('BUILDING', 'MACHINERY') and price > 100000) or tissue == 'NATION_3'", columns=["soma_joinid"])
+    return axis.scan(fx.obs(spark, d), "(cell_type in ['BUILDING', 'MACHINERY'] and price > 100000) or tissue == 'NATION_3'", columns=["soma_joinid"])
 
 
 @query("SELECT soma_joinid, tissue_general FROM obs WHERE tissue_general IN ('ASIA', 'AFRICA')")

@@ -186,9 +186,11 @@ def all_reduce(spark, d):
     return fx.x(spark, d).agg(F.bool_and((F.col("soma_data") > 0) & (F.col("soma_data") % 1 == 0)).alias("all_counts"))
 
 
-@query("SELECT * FROM x WHERE soma_data <> 0")
+@query("SELECT * FROM x WHERE soma_data % 3 <> 0")
 def eliminate_zeros(spark, d):
-    return transform.eliminate_zeros(fx.x(spark, d))
+    """A matrix in which each value divisible by 3 is stored as 0."""
+    x = fx.x(spark, d)
+    return transform.eliminate_zeros(x.withColumn("soma_data", F.when(F.col("soma_data") % 3 == 0, 0.0).otherwise(F.col("soma_data"))))
 
 
 _LONG = "assay IN ('1-URGENT', '2-HIGH')"
@@ -202,7 +204,7 @@ def normalize_rows(spark, d):
     return _r(transform.normalise_rows(joined, F.col("long"), F.col("feature_length")), "soma_data")
 
 
-@query()
+@query(", s AS (SELECT soma_dim_0, soma_dim_1, CAST(CAST(soma_data / sum(soma_data) OVER (PARTITION BY soma_dim_0) AS FLOAT) AS DOUBLE) AS v FROM x), e AS (SELECT *, pow(2.0, floor(log2(v)) - 15) AS unit FROM s) SELECT soma_dim_0, soma_dim_1, CAST(round_even(v / unit, 0) * unit AS FLOAT) AS soma_data FROM e")
 def quantise(spark, d):
     return transform.quantised(transform.normalise_rows(fx.x(spark, d)))
 

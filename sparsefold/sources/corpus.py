@@ -6,7 +6,7 @@ Layout: <base>/<organism>/obs, <base>/<organism>/ms/<measurement>/{var,X/<layer>
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,26 +58,40 @@ class Experiment:
     ms: dict[str, Measurement]
 
 
+@dataclass(frozen=True)
+class StorageContext:
+    """Options of the reader, by name; replace() overrides some of them and leaves the rest as they are."""
+
+    options: dict[str, str] = field(default_factory=dict)
+
+    def replace(self, **options: object) -> StorageContext:
+        return StorageContext(self.options | {k: str(v) for k, v in options.items()})
+
+    def parquet(self, spark: SparkSession, path: str) -> DataFrame:
+        return spark.read.options(**self.options).parquet(path)
+
+
 @dataclass(frozen=True)
 class Corpus:
     spark: SparkSession
     base: str
+    context: StorageContext = field(default_factory=StorageContext)
 
     def info(self, table: str) -> DataFrame:
         """A table of the corpus's description: summary, datasets, summary_cell_counts or organisms."""
-        return self.spark.read.parquet(f"{self.base}/info/{table}")
+        return self.context.parquet(self.spark, f"{self.base}/info/{table}")
 
     def experiment(self, organism: str, measurement: str = "RNA", layers: tuple[str, ...] = ("raw",)) -> Experiment:
         root = f"{self.base}/{organism_key(organism)}"
-        read = self.spark.read.parquet
+        read = lambda path: self.context.parquet(self.spark, path)
         ms = f"{root}/ms/{measurement}"
         return Experiment(read(f"{root}/obs"), {measurement: Measurement(read(f"{ms}/var"), {layer: read(f"{ms}/X/{layer}") for layer in layers}, read(f"{ms}/presence"))})
 
 
-def open_corpus(spark: SparkSession, version: str | None = "stable", *, uri: str | None = None, directory: dict | None = None, mirrors: dict | None = None, mirror: str | None = None) -> Corpus:
+def open_corpus(spark: SparkSession, version: str | None = "stable", *, uri: str | None = None, directory: dict | None = None, mirrors: dict | None = None, mirror: str | None = None, context: StorageContext | None = None) -> Corpus:
     """Open a corpus by path, which wins, or by version through a directory of versions (aliases may chain)."""
     if uri is not None:
-        return Corpus(spark, uri.rstrip("/"))
+        return Corpus(spark, uri.rstrip("/"), context or StorageContext())
     if version is None:
         raise ValueError("either a version or a path must be given")
     entry, seen = (directory or {}).get(version), {version}
@@ -88,7 +102,7 @@ def open_corpus(spark: SparkSession, version: str | None = "stable", *, uri: str
         entry = (directory or {}).get(entry)
     if entry is None:
         raise ValueError(f"unknown version {version!r}")
-    return Corpus(spark, resolve(entry["soma"], mirrors, mirror).rstrip("/"))
+    return Corpus(spark, resolve(entry["soma"], mirrors, mirror).rstrip("/"), context or StorageContext())
 
 
 def introspect(df: DataFrame) -> DataFrame:
@@ -131,3 +145,10 @@ def read_blocklist(spark: SparkSession, path: str) -> DataFrame:
     """dataset_id of a text file; blank lines and what follows # are skipped. A missing file is an error."""
     named = spark.read.text(path).select(F.trim(F.regexp_replace("value", "#.*", "")).alias("dataset_id"))
     return named.filter(F.col("dataset_id") != "")
+
+
+def inject_embedding(measurement: Measurement, name: str, embeddings: DataFrame) -> Measurement:
+    """The measurement with one more embedding; a name that it has already is an error."""
+    if name in measurement.embeddings:
+        raise ValueError(f"the measurement has an embedding {name!r} already")
+    return replace(measurement, embeddings=measurement.embeddings | {name: embeddings})

@@ -308,3 +308,77 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(tuple(r) for r in spark.table("online").collect()) == [("a", 2, 2.0, 2.0), ("b", 1, 5.0, None)]
+
+
+def test_lists_in_brackets():
+    f = axis.in_parentheses
+    assert f("a in ['x', \"y[1]\"] and b == 'it\\'s [z]'") == "a in ('x', \"y[1]\") and b == 'it\\'s [z]'"
+    assert f("`c[1]` > 2 or d not in [1, 2]") == "`c[1]` > 2 or d not in (1, 2)"
+
+
+def test_incremental_slices(spark):
+    obs, var, x = matrix(spark)
+    q = axis.axis_query(obs, var, x)
+    parts = list(axis.incremental(q, 2))
+    assert [sorted(r[0] for r in p.obs.select("soma_joinid").collect()) for p in parts] == [[0, 1], [2]]
+    assert sorted(tuple(r) for p in parts for r in p.X.collect()) == sorted(tuple(r) for r in x.collect())
+    assert list(axis.incremental(axis.axis_query(obs, var, x, "kind = 'none'"), 2)) == []
+
+
+def test_export_and_reindex(spark):
+    obs, var, x = matrix(spark)
+    e = spark.createDataFrame([(0, [1.0, 2.0])], "id long, vector array<float>")
+    out = axis.export(axis.axis_query(obs, var, x, "kind in ['a']"), {"scvi": (e, 2)}, {"twice": x.withColumn("soma_data", x.soma_data * 2)})
+    found = {r["soma_joinid"]: list(r["scvi"]) for r in out["obs"].collect()}
+    assert found[0] == [1.0, 2.0] and all(np.isnan(found[2])) and set(found) == {0, 2}
+    assert sorted(tuple(r) for r in out["twice"].collect()) == [(0, 0, 2.0), (0, 1, 10.0)] and out["var"].count() == 4
+    places = spark.createDataFrame([(1, 0), (0, 5)], "soma_joinid long, place long")
+    assert sorted(tuple(r) for r in axis.reindexed(x, places).collect()) == [(0, 2, 4.0), (5, 0, 1.0), (5, 1, 5.0)]
+
+
+def test_embedding_round_trip(spark, tmp_path):
+    from sparsefold.operators import ingest
+
+    array = np.random.default_rng(2).normal(size=(25, 3)).astype(np.float32)
+    np.save(tmp_path / "e.npy", array)
+    ids = spark.createDataFrame([(i, 100 - i) for i in range(20)], "place long, id long")
+    ingest.write_embedding(ingest.read_npy(spark, str(tmp_path / "e.npy"), ids, rows_per_task=7), str(tmp_path / "e"))
+    got = {r["id"]: list(r["vector"]) for r in spark.read.parquet(str(tmp_path / "e")).collect()}
+    assert got == {100 - i: array[i].tolist() for i in range(20)}
+    coarse = ingest.quantised(spark.createDataFrame([(1, [1.0, 1.0000001]), (2, None), (3, [])], "id long, vector array<float>"), 8)
+    assert {r["id"]: r["vector"] for r in coarse.collect()} == {1: [1.0, 1.0], 2: None, 3: []}
+
+
+def test_embedding_records():
+    from sparsefold.operators import ingest
+
+    good = {"id": "a", "embedding_name": "e", "organism": "o", "version": "V1", "submission_date": "2024-01-01", "n_embeddings": 3, "n_features": 2, "data_type": "obs_embedding"}
+    assert ingest.metadata_faults(good) == [] and ingest.require_version(good, "V1") is None
+    assert len(ingest.metadata_faults(good | {"organism": "", "n_features": 0, "data_type": "cells"})) == 3
+    with pytest.raises(ValueError, match="V2"):
+        ingest.require_version(good, "V2")
+
+
+def test_injected_embeddings(spark):
+    m = corpus.Measurement(spark.range(1), {})
+    both = corpus.inject_embedding(corpus.inject_embedding(m, "a", spark.range(2)), "b", spark.range(3))
+    assert set(both.embeddings) == {"a", "b"} and not m.embeddings
+    with pytest.raises(ValueError):
+        corpus.inject_embedding(both, "a", spark.range(1))
+
+
+def test_storage_context(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "c" / "info" / "t" / "part=1"))
+    context = corpus.StorageContext({"recursiveFileLookup": "false"})
+    changed = context.replace(recursiveFileLookup=True)
+    assert context.options == {"recursiveFileLookup": "false"} and changed.options == {"recursiveFileLookup": "True"}
+    opened = [corpus.open_corpus(spark, uri=str(tmp_path / "c"), context=c).info("t").columns for c in (context, changed)]
+    assert opened == [["id", "part"], ["id"]]
+
+
+def test_missing_objects(spark, tmp_path):
+    from sparsefold.operators import validate
+
+    spark.range(3).write.parquet(str(tmp_path / "obs"))
+    (tmp_path / "empty").mkdir()
+    assert validate.missing_objects(spark, str(tmp_path), ["obs", "empty", "none"]) == ["empty", "none"]
