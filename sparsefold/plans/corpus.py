@@ -134,7 +134,7 @@ def overlap_sets(spark, d):
 
 
 #: A directory of versions made of the suppliers: every third one is an alias of another, some of which dangle or go in circles.
-_VERSIONS = """WITH RECURSIVE v AS (SELECT 'v' || s_suppkey AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'v' || ((s_suppkey * 7 + 3) % 96) END AS target,
+_VERSIONS = """WITH RECURSIVE v AS (SELECT 'v' || s_suppkey AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'v' || ((s_suppkey * 7 + 3) % 97) END AS target,
   DATE '2020-01-01' + s_nationkey * 50 AS release_date, CASE WHEN s_nationkey % 4 > 0 THEN s_acctbal > 4000 END AS lts, CASE WHEN s_nationkey % 3 > 0 THEN s_suppkey % 5 = 1 END AS retracted, s_suppkey % 7 = 1 AS do_not_delete FROM supplier),
 chase(name, reached, steps) AS (SELECT name, target, 1 FROM v WHERE target IS NOT NULL UNION ALL SELECT chase.name, v.target, steps + 1 FROM chase JOIN v ON chase.reached = v.name WHERE v.target IS NOT NULL AND steps < 17),
 resolved AS (SELECT name, name AS concrete, false AS is_alias FROM v WHERE target IS NULL UNION ALL SELECT DISTINCT chase.name, chase.reached, true FROM chase JOIN v ON chase.reached = v.name WHERE v.target IS NULL),
@@ -146,7 +146,7 @@ def _versions(spark, d):
     key, nation = F.col("s_suppkey"), F.col("s_nationkey")
     name = lambda k: F.concat(F.lit("v"), k.cast("string"))
     return fx.table(spark, d, "supplier").select(
-        name(key).alias("name"), F.when(key % 3 == 0, name((key * 7 + 3) % 96)).alias("target"), F.date_add(F.lit("2020-01-01").cast("date"), nation * 50).alias("release_date"),
+        name(key).alias("name"), F.when(key % 3 == 0, name((key * 7 + 3) % 97)).alias("target"), F.date_add(F.lit("2020-01-01").cast("date"), nation * 50).alias("release_date"),
         F.when(nation % 4 > 0, F.col("s_acctbal") > 4000).alias("lts"), F.when(nation % 3 > 0, key % 5 == 1).alias("retracted"), (key % 7 == 1).alias("do_not_delete"),
     )
 
@@ -278,13 +278,12 @@ def validate_schema(spark, d):
     return validate.schema_faults(fx.obs(spark, d), wanted)
 
 
-@query("SELECT count(*) FILTER (l_orderkey % 97 = 0) AS null_values, 0 AS not_positive, count(*) FILTER (l_quantity > 49 AND l_orderkey % 97 <> 0) AS not_finite, count(*) FILTER (l_partkey % 13 = 0) AS off_axis FROM (SELECT l_orderkey, l_partkey, sum(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)", plain=True)
+@query("SELECT count(*) FILTER (l_orderkey % 97 = 0) AS null_values, count(*) FILTER (l_partkey % 17 = 0 AND l_quantity <= 49 AND l_orderkey % 97 <> 0) AS not_positive, count(*) FILTER (l_quantity > 49 AND l_orderkey % 97 <> 0) AS not_finite, count(*) FILTER (l_partkey % 13 = 0) AS off_axis FROM (SELECT l_orderkey, l_partkey, sum(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)", plain=True)
 def validate_x(spark, d):
-    """Stored values that are null or not finite, coordinates off an axis."""
+    """Stored values that are null, negative or not finite, coordinates off an axis."""
     x, v = fx.x(spark, d), F.col("soma_data")
-    dirty = x.withColumn("soma_data", F.when(F.col("soma_dim_0") % 97 == 0, F.lit(None)).when(v > 49, F.lit(float("inf"))).otherwise(v))
-    found = validate.layer(dirty, fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("soma_joinid")), fx.var(spark, d).filter("soma_joinid % 13 <> 0"))
-    return found.withColumn("not_positive", F.col("not_positive").cast("int"))
+    dirty = x.withColumn("soma_data", F.when(F.col("soma_dim_0") % 97 == 0, F.lit(None)).when(v > 49, F.lit(float("inf"))).when(F.col("soma_dim_1") % 17 == 0, -v).otherwise(v))
+    return validate.layer(dirty, fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("soma_joinid")), fx.var(spark, d).filter("soma_joinid % 13 <> 0"))
 
 
 @query("SELECT count(*) FILTER (var_joinid % 7 = 0) AS unfounded, count(*) FILTER (var_joinid % 5 = 0) AS missing FROM presence")

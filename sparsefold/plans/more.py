@@ -92,14 +92,14 @@ def slice_with_embeddings(spark, d):
     return found["obs"].select("soma_joinid", "tissue", (~F.isnan(v)).alias("found"), F.when(~F.isnan(v), F.round(v, 6)).alias("first"))
 
 
-_GENES = ", a AS (SELECT soma_dim_0, feature_name, sum(soma_data) AS s FROM x JOIN var ON soma_dim_1 = soma_joinid JOIN obs o ON soma_dim_0 = o.soma_joinid WHERE o.tissue = 'NATION_1' AND feature_length < 30 GROUP BY ALL), b AS (SELECT soma_dim_0, feature_name, sum(soma_data) AS s FROM x JOIN var ON soma_dim_1 = soma_joinid JOIN obs o ON soma_dim_0 = o.soma_joinid WHERE o.tissue = 'NATION_2' AND feature_length > 20 GROUP BY ALL)"
+_GENES = ", a AS (SELECT soma_dim_0, feature_name || '/' || feature_length AS feature_name, sum(soma_data) AS s FROM x JOIN var ON soma_dim_1 = soma_joinid JOIN obs o ON soma_dim_0 = o.soma_joinid WHERE o.tissue = 'NATION_1' AND feature_length < 30 GROUP BY ALL), b AS (SELECT soma_dim_0, feature_name || '/' || feature_length AS feature_name, sum(soma_data) AS s FROM x JOIN var ON soma_dim_1 = soma_joinid JOIN obs o ON soma_dim_0 = o.soma_joinid WHERE o.tissue = 'NATION_2' AND feature_length > 20 GROUP BY ALL)"
 
 
 def _two_matrices(spark, d):
     obs, var, x = fx.obs(spark, d), fx.var(spark, d), fx.x(spark, d)
     out = []
     for tissue, length in (("NATION_1", "feature_length < 30"), ("NATION_2", "feature_length > 20")):
-        names = var.filter(length).select(F.col("soma_joinid").alias("soma_dim_1"), "feature_name")
+        names = var.filter(length).select(F.col("soma_joinid").alias("soma_dim_1"), F.concat_ws("/", "feature_name", "feature_length").alias("feature_name"))
         ids = obs.filter(F.col("tissue") == tissue).select(F.col("soma_joinid").alias("soma_dim_0"))
         out.append(x.join(names, "soma_dim_1").join(ids, "soma_dim_0", "left_semi").groupBy("soma_dim_0", F.col("feature_name").alias("feature_id")).agg(F.sum("soma_data").alias("soma_data")))
     return out
