@@ -202,15 +202,18 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     of their distinct shingles of so many words. Rows are numbered once, in a table of their own: a second evaluation of
     df may number them in another way.
     """
-    row, kept_row = free_name(df, "__row"), free_name(df, "__kept")
+    row, gone_row = free_name(df, "__row"), free_name(df, "__gone")
     numbered = stash(df.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
     if similarity is None:
         rows = near_duplicates(numbered, id_col, text_col, max_bits, row)
     else:
         rows = similar.classes(numbered, row, id_col, text_col, words, similarity, lambda prints: components(links(prints, max_bits)))
-    first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))).alias("first")
-    kept = rows.groupBy("_root").agg(first).select(F.col("first._row").alias(kept_row))
-    return numbered.join(kept, F.col(row) == F.col(kept_row), "left_semi").drop(row)
+    place = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))
+    first = rows.groupBy("_root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("_root").alias("_of"), "first._row")
+    # the rows that go: a narrow table of known size, so that whole texts are dealt only where it is large
+    gone = rows.join(first.withColumnRenamed("_row", "_kept"), F.col("_root") == F.col("_of")).filter("_row <> _kept")
+    gone = stash(gone.select(F.col("_row").alias(gone_row)), "simhash-gone")
+    return numbered.join(gone, F.col(row) == F.col(gone_row), "left_anti").drop(row)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

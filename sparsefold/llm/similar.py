@@ -22,13 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparsefold.llm.common import stash
+from sparsefold.llm.common import drop_stash, stash
 
 BANDS, WIDTH = 20, 5
 #: Shingles of a block of a list, some: 8 MB.
 BLOCK_SHINGLES = 1 << 20
 #: Words that a task remembers at most, some 15 MB.
 MEMO = 100_000
+#: Bytes of shingle sets that leave a task at a time, some.
+SET_BYTES = 1 << 23
 #: Shingles that are permuted at a time.
 STEP = 4096
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -105,11 +107,19 @@ def _sketches(words: int):
 
 
 def _sets(words: int):
+    """_vertex, text and _places in; _vertex, _hashes (the shingle set) and _places out."""
+
     def run(batches):
         memo: dict[bytes, int] = {}
         for batch in batches:
-            for row, text in zip(batch.column(0), batch.column(1), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([row.as_py()], pa.int64()), pa.array([shingle_set(text.as_py(), words, memo).tobytes()], pa.binary())], ["_vertex", "_hashes"])
+            held, size, start = [], 0, 0
+            for i, text in enumerate(batch.column(1)):
+                held.append(shingle_set(text.as_py(), words, memo).tobytes())
+                size += len(held[-1])
+                if size > SET_BYTES or i == batch.num_rows - 1:
+                    part = batch.slice(start, len(held))
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.binary()), part.column(2)], ["_vertex", "_hashes", "_places"])
+                    held, size, start = [], 0, i + 1
 
     return run
 
@@ -154,12 +164,15 @@ def classes(numbered: DataFrame, row: str, id_col: str, text_col: str, words: in
     members = sets.select("_vertex", "_n", F.explode("_keys").alias("key")).union(by_print)
     lists = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("_n").alias("shingles"), F.min("_vertex").alias("low"), F.sum(F.xxhash64("_vertex").cast("decimal(38,0)")).alias("whole"), F.sum(F.xxhash64("_vertex", F.lit(1)).cast("decimal(38,0)")).alias("again")).filter("n > 1")
     lists = lists.groupBy("n", "shingles", "low", "whole", "again").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    listed = stash(members.join(lists, "key").select("key", "_vertex", "blocks"), "similar-lists")
-    asked = numbered.join(listed.select("_vertex").distinct(), F.col(row) == F.col("_vertex"), "left_semi").select(F.col(row), F.col(text_col))
-    hashes = asked.mapInArrow(_sets(words), "_vertex bigint, _hashes binary")
     own = F.pmod(F.xxhash64("_vertex"), F.col("blocks")).cast("int")
-    dealt = listed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "_vertex", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    listed = members.join(lists, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # each vertex with its places in lists: a narrow table of known size, so that whole texts are dealt only where it is large
+    place = F.struct("key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    placed = stash(listed.groupBy("_vertex").agg(F.collect_list(place).alias("_places")), "similar-places")
+    asked = numbered.select(F.col(row), F.col(text_col).alias("_text")).join(placed, F.col(row) == F.col("_vertex")).select("_vertex", "_text", "_places")
+    kind = "array<struct<key:bigint,own:int,i:int,j:int>>"
+    hashes = asked.mapInArrow(_sets(words), f"_vertex bigint, _hashes binary, _places {kind}")
+    dealt = hashes.select("_vertex", "_hashes", F.explode("_places").alias("_place")).select("_vertex", "_hashes", "_place.*")
 
     def compare(table):
         ids = table.column("_vertex").to_numpy()
@@ -169,7 +182,9 @@ def classes(numbered: DataFrame, row: str, id_col: str, text_col: str, words: in
         links = forest(ids[order], found, similarity, table.column("own").to_numpy()[order] if across else None)
         return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    edges = dealt.join(hashes, "_vertex").groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+    edges = dealt.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
     linked = components(edges)
     of_set = sets.join(linked, F.col("_vertex") == F.col("vertex"), "left").select("_set", F.coalesce("root", "_vertex").alias("_root"))
-    return rows.join(of_set, "_set").select("_row", "_id", "_root")
+    found = stash(rows.select("_row", "_id", "_set").join(of_set, "_set").select("_row", "_id", "_root"), "similar-classes")
+    drop_stash(rows, sets, placed)
+    return found
