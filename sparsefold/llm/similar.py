@@ -162,10 +162,12 @@ def classes(numbered: DataFrame, row: str, id_col: str, text_col: str, words: in
     roots = print_roots(sets.filter("_n > 0").select("_print").distinct().repartition(parts))
     by_print = sets.filter("_n > 0").join(roots, F.col("_print") == F.col("vertex"), "left").select("_vertex", "_n", F.xxhash64(F.coalesce("root", "_print"), F.lit("print")).alias("key"))
     members = sets.select("_vertex", "_n", F.explode("_keys").alias("key")).union(by_print)
-    lists = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("_n").alias("shingles"), F.min("_vertex").alias("low"), F.sum(F.xxhash64("_vertex").cast("decimal(38,0)")).alias("whole"), F.sum(F.xxhash64("_vertex", F.lit(1)).cast("decimal(38,0)")).alias("again")).filter("n > 1")
-    lists = lists.groupBy("n", "shingles", "low", "whole", "again").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    # equal figures mean equal members: two independent 64-bit sums of their hashes are among them
+    marks = [F.bit_xor(F.xxhash64("_vertex", F.lit(i))).alias(f"mark{i}") for i in range(2)]
+    lists = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("_n").alias("shingles"), *marks).filter("n > 1")
+    lists = lists.groupBy("n", "shingles", "mark0", "mark1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("_vertex"), F.col("blocks")).cast("int")
-    listed = members.join(lists, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    listed = members.join(lists.hint("merge"), "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # each vertex with its places in lists: a narrow table of known size, so that whole texts are dealt only where it is large
     place = F.struct("key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     placed = stash(listed.groupBy("_vertex").agg(F.collect_list(place).alias("_places")), "similar-places")
