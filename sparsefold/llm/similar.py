@@ -168,10 +168,10 @@ def classes(numbered: DataFrame, row: str, id_col: str, text_col: str, words: in
     lists = lists.groupBy("n", "shingles", "mark0", "mark1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("_vertex"), F.col("blocks")).cast("int")
     listed = members.join(lists.hint("merge"), "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # each vertex with its places in lists: a narrow table of known size, so that whole texts are dealt only where it is large
+    # each vertex with its places in lists; texts are dealt to it by one plan at every size, as the table grows with the corpus
     place = F.struct("key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     placed = stash(listed.groupBy("_vertex").agg(F.collect_list(place).alias("_places")), "similar-places")
-    asked = numbered.select(F.col(row), F.col(text_col).alias("_text")).join(placed, F.col(row) == F.col("_vertex")).select("_vertex", "_text", "_places")
+    asked = numbered.select(F.col(row), F.col(text_col).alias("_text")).join(placed.hint("merge"), F.col(row) == F.col("_vertex")).select("_vertex", "_text", "_places")
     kind = "array<struct<key:bigint,own:int,i:int,j:int>>"
     hashes = asked.mapInArrow(_sets(words), f"_vertex bigint, _hashes binary, _places {kind}")
     dealt = hashes.select("_vertex", "_hashes", F.explode("_places").alias("_place")).select("_vertex", "_hashes", "_place.*")
