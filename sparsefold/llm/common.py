@@ -43,11 +43,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/sparsefold/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of df with a table in the shared folder, which outlives any executor."""
+def stash(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Cut the lineage of df with a table in the shared folder, which outlives any executor.
+
+    compression: a codec of Parquet files, for whole texts; the session's otherwise.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -105,7 +105,7 @@ def with_revisits(df: DataFrame, id_col: str, url_col: str, payload_col: str, mi
     """
     text = F.coalesce(F.col(payload_col), F.lit(""))
     rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("bigint").alias("_id"), F.col(url_col).alias("_url"), text.alias("_payload"), F.sha2(text.cast("binary"), 256).alias("_digest"))
-    rows = stash(rows, "warc-rows")
+    rows = stash(rows, "warc-rows", "zstd")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first")
     firsts = rows.filter(F.octet_length("_payload") >= min_revisit).groupBy("_digest").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1")
     salted = firsts.select(F.col("_digest").alias("_of"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
