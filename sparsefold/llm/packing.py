@@ -13,7 +13,8 @@ to tasks, and a task cuts its sorted buckets into shards as they stream by; equa
 that neither a hot text nor a growing table makes a shard grow.
 
 Tokens of a text are those of its runs between ASCII white space, joined: the tokenizer drops white space, never merges
-across it, and its special strings hold none. Each run is encoded once per worker and remembered in a memo of bounded size.
+across it, and its special strings hold none. Each run is encoded once per worker and remembered in a memo of two generations
+of bounded size: runs that are met again move to the younger one, the others are forgotten with the older one.
 
 A shard is bounded (pieces have fewer than `window` tokens), and the vocabulary bounds the table of frequencies; the driver
 holds that table, the buckets' bounds and three counts.
@@ -49,8 +50,8 @@ SHARD_PIECES = 2000
 SHARDS_PER_BUCKET = 4
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
-#: Parts of texts that a worker remembers at most, some 130 MB.
-MEMO = 600_000
+#: Parts of texts in a generation of a worker's memo, which has two: some 60 MB together.
+MEMO = 150_000
 #: Texts that are encoded at a time.
 BLOCK = 256
 #: What a special string starts with, and the lead bytes of combining marks.
@@ -87,6 +88,7 @@ class Encoder:
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.parts: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @staticmethod
     def cut(data: bytes) -> list[bytes]:
@@ -95,9 +97,12 @@ class Encoder:
         return data.split()
 
     def learn(self, new: set[bytes]) -> None:
-        """Encode new parts and remember them."""
+        """Remember parts that the present generation lacks: those of the one before move over, the others are encoded."""
         if len(self.parts) + len(new) > MEMO:
-            self.parts = {}
+            self.parts, self.older = {}, self.parts
+        again = new & self.older.keys()
+        self.parts.update((part, self.older[part]) for part in again)
+        new = new - again
         letters = [(part, word) for part in new if (word := part.decode().lower()).isalpha() and (word.isascii() or max(word) < "\u0300")]
         for at in range(0, len(letters), 2000):
             some = letters[at : at + 2000]

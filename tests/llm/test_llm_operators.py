@@ -534,6 +534,19 @@ def test_encoder_matches_the_library():
         assert np.frombuffer(e.encode(s), "<u2").tolist() == e.library.encode(s, add_special_tokens=False).ids
 
 
+def test_encoder_forgets_the_older_generation(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "MEMO", 20)
+    e = packing.Encoder(public_tokenizers.path(packing.TOKENIZER))
+    r = random.Random(5)
+    for _ in range(60):
+        texts = [" ".join(f"{r.choice(['the', 'of', 'Run', 'x9,'])} w{r.randrange(400)}." for _ in range(r.randrange(8))) for _ in range(3)]
+        want = [np.array(e.library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+        assert e.encode_all([t.encode() for t in texts]) == want
+        assert len(e.older) <= 68 and len(e.parts) <= 68
+
+
 @pytest.mark.parametrize("window,shard", [(4096, 2000), (64, 50), (7, 3)])
 def test_pack_is_a_partition(spark, sf_dir, documents, window, shard):
     import public_tokenizers
