@@ -5,7 +5,7 @@ from importlib import import_module
 import corpus_pipeline
 
 #: One module per operator; each has NAME, query(spark, sf_dir) and, where SQL can express it, ORACLE.
-OPERATORS = ("html_extract", "quality_rules", "sharding", "fingerprints", "simhash", "packing", "mixing", "token_counts", "chat_format", "warc")
+OPERATORS = ("html_extract", "quality_rules", "sharding", "fingerprints", "simhash", "packing", "mixing", "token_counts", "chat_format", "warc", "merkle", "credentials", "alignment")
 
 
 def _modules():
