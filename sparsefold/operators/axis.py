@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparsefold.operators.places import placed, summed_before
+
 #: Ids in a list beyond which a coordinate filter becomes a semi-join.
 LONG_LIST = 1000
 #: Rows of an axis up to which it is broadcast: ids of 8 bytes, so a megabyte.
@@ -26,9 +28,22 @@ def as_predicate(value_filter: Column | str | None) -> Column:
 
 
 def in_parentheses(text: str) -> str:
-    """Lists in brackets as SQL writes them; what is quoted stays as it is."""
+    """Lists in brackets after in, as SQL writes them; subscripts, and what is quoted, stay as they are."""
     parts = re.split(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`)""", text)
-    return "".join(p if i % 2 else p.replace("[", "(").replace("]", ")") for i, p in enumerate(parts))
+    out, lists = [], []  # lists: of each open bracket whether it opens a list
+    for i, part in enumerate(parts):
+        if i % 2:
+            out.append(part)
+            continue
+        for piece in re.split(r"([\[\]])", part):
+            if piece == "[":
+                lists.append(re.search(r"\bin\s*\Z", "".join(out), re.IGNORECASE) is not None)
+                out.append("(" if lists[-1] else "[")
+            elif piece == "]":
+                out.append(")" if lists and lists.pop() else "]")
+            else:
+                out.append(piece)
+    return "".join(out)
 
 
 def at_coords(df: DataFrame, coords, id_col: str = "soma_joinid") -> DataFrame:
@@ -96,11 +111,21 @@ def blockwise(x: DataFrame, size: int) -> DataFrame:
 
 
 def reindexed(x: DataFrame, ids: DataFrame, dim: str = "soma_dim_0") -> DataFrame:
-    """The matrix with the coordinates of one axis replaced by their places. ids: soma_joinid, place."""
+    """The matrix with the coordinates of one axis replaced by their places among ids (soma_joinid, and place if it is known).
+
+    Places are those of the ids in ascending order, from 0 without gaps.
+    """
+    if "place" not in ids.columns:
+        ids = placed(ids.select("soma_joinid"), ["soma_joinid"])
     places = ids.select(F.col("soma_joinid").alias(dim), F.col("place").alias("_place"))
     return x.join(places, dim).withColumn(dim, F.col("_place")).drop("_place")
 
 
+def reindexed_slice(q: AxisQuery) -> DataFrame:
+    """A slice's matrix with dense coordinates on both axes."""
+    return reindexed(reindexed(q.X, q.obs), q.var, "soma_dim_1")
+
+
 def export(q: AxisQuery, embeddings: dict[str, tuple[DataFrame, int]] | None = None, layers: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """A slice as its tables: obs, var, X and each further layer. embeddings (name: table of id and vector, dimensions) come
     as columns of obs, NaN in every place where an observation has none."""
@@ -113,15 +138,25 @@ def export(q: AxisQuery, embeddings: dict[str, tuple[DataFrame, int]] | None = N
     return {"obs": obs, "var": q.var, "X": q.X} | more
 
 
-def incremental(q: AxisQuery, size: int) -> Iterator[AxisQuery]:
-    """The slice in consecutive ranges of size ids of observations, one after the other, for a reader that takes it in steps.
+def incremental(q: AxisQuery, size: int | None = None, values: int | None = None) -> Iterator[AxisQuery]:
+    """The slice in consecutive ranges of observations, one after the other, for a reader that takes it in steps.
 
-    The driver sees the lowest and the highest id; each step is a query of its own, whose range reaches the scan.
+    size: ids in a range, of which many may not be selected. values: stored values in a range, some: it ends with the
+    observation that reaches the next multiple, so an observation with more is a step of its own, and no step is empty
+    but that of a slice without values. Each step is a query of its own, whose range reaches the scan; the driver sees the
+    lowest and the highest id, or those of each step.
     """
-    low, high = q.obs.agg(F.min("soma_joinid"), F.max("soma_joinid")).first()
-    if low is None:
-        return
-    for at in range(low, high + 1, size):
-        obs = q.obs.filter(F.col("soma_joinid").between(at, at + size - 1))
-        layer = q.layer.filter(F.col("soma_dim_0").between(at, at + size - 1))
+    if (size is None) == (values is None):
+        raise ValueError("a step has a number of ids or of values")
+    if size is not None:
+        low, high = q.obs.agg(F.min("soma_joinid"), F.max("soma_joinid")).first()
+        ranges = [] if low is None else [(at, at + size - 1) for at in range(low, high + 1, size)]
+    else:
+        stored = q.X.groupBy("soma_dim_0").agg(F.count(F.lit(1)).alias("n"))
+        costs = q.obs.select("soma_joinid").join(stored, F.col("soma_joinid") == F.col("soma_dim_0"), "left").select("soma_joinid", F.coalesce("n", F.lit(0)).alias("n"))
+        steps = summed_before(costs, ["soma_joinid"], "n", "before").groupBy(F.expr(f"before div {values}").alias("step"))
+        ranges = sorted((r["low"], r["high"]) for r in steps.agg(F.min("soma_joinid").alias("low"), F.max("soma_joinid").alias("high")).collect())
+    for low, high in ranges:
+        obs = q.obs.filter(F.col("soma_joinid").between(low, high))
+        layer = q.layer.filter(F.col("soma_dim_0").between(low, high))
         yield AxisQuery(obs, q.var, layer, q.small_obs, q.small_var)

@@ -30,3 +30,43 @@ def roll_up(terms: DataFrame, reach: DataFrame, curated: DataFrame) -> DataFrame
 
 def descendants(reach: DataFrame, term: str) -> DataFrame:
     return reach.filter(F.col("ancestor") == term).select("term")
+
+
+#: Levels of terms between one and its furthest ancestor at most; the recursion is refused beyond.
+DEEPEST = 100
+
+
+def typed_ancestors(edges: DataFrame, kinds: tuple[str, ...] = ("is_a",), blocked: tuple[str, ...] = ()) -> DataFrame:
+    """term and ancestor along edges (term, parent, kind) of some kinds, every term its own first; blocked ones end a path.
+
+    A recursive query: each level holds the distinct ancestors that were one step away, so a term with many paths to one
+    ancestor keeps it once a level. Raises on circles, which would never end.
+    """
+    spark = edges.sparkSession
+    kept = edges.filter(F.col("kind").isin(*kinds) & ~F.col("term").isin(*blocked) & ~F.col("parent").isin(*blocked)).select("term", "parent").distinct()
+    terms = edges.select("term").union(edges.select("parent")).distinct()
+    found = spark.sql(
+        f"""WITH RECURSIVE up(term, ancestor, level) MAX RECURSION LEVEL {DEEPEST} AS (
+              SELECT term, term, 0 FROM {{terms}}
+              UNION ALL
+              SELECT DISTINCT up.term, e.parent, up.level + 1 FROM up JOIN {{kept}} e ON up.ancestor = e.term)
+            SELECT term, ancestor, min(level) AS distance FROM up GROUP BY term, ancestor""",
+        terms=terms,
+        kept=kept,
+    )
+    return found
+
+
+def high_level_terms(terms: DataFrame, edges: DataFrame, curated: DataFrame, root: str, kinds: tuple[str, ...] = ("is_a",), blocked: tuple[str, ...] = ()) -> DataFrame:
+    """term, general (all of its curated terms by priority) and top (the first one; null where it has none).
+
+    curated: ancestor, priority. Ancestors count only for terms below the root; a curated term always has itself.
+    """
+    up = typed_ancestors(edges, kinds, blocked)
+    below = up.filter((F.col("ancestor") == root) & (F.col("term") != root)).select("term", F.lit(True).alias("_below"))
+    hits = terms.select("term").distinct().join(up, "term").join(curated, "ancestor").join(below, "term", "left")
+    hits = hits.filter(F.col("_below").isNotNull() | (F.col("term") == F.col("ancestor")))
+    each = hits.groupBy("term").agg(F.array_sort(F.collect_set(F.struct("priority", "ancestor"))).alias("h"))
+    listed = each.select("term", F.transform("h", lambda h: h["ancestor"]).alias("general"))
+    out = terms.join(listed, "term", "left")
+    return out.withColumn("general", F.coalesce("general", F.array().cast("array<string>"))).withColumn("top", F.get("general", F.lit(0)))

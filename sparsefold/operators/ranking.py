@@ -13,9 +13,35 @@ def lot(id_col: str, seed: int) -> Column:
     return F.md5(F.concat_ws("/", F.col(id_col).cast("string"), F.lit(str(seed))))
 
 
+#: Rows among which a sample's border is drawn in one task.
+BORDER = 100_000
+
+
 def sample_n(df: DataFrame, n: int, id_col: str = "soma_joinid", seed: int = 0) -> DataFrame:
-    """n rows, the same ones whatever the partitioning."""
-    return df.orderBy(lot(id_col, seed), id_col).limit(n)
+    """n rows, the same ones whatever the partitioning: those of the smallest draws.
+
+    Counts by the draws' first four digits find the group that holds the border; all groups before it are taken whole, and
+    the border's group is looked at by four more digits until it has at most BORDER rows, which are put in order.
+    """
+    draw, prefix = lot(id_col, seed), ""
+    while True:
+        at = len(prefix)
+        group = F.substring(draw, at + 1, 4)
+        inside = df.filter(F.startswith(draw, F.lit(prefix))) if prefix else df
+        sizes = sorted(tuple(r) for r in inside.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n")).collect())  # 65,536 at most
+        before = 0
+        for border, size in sizes:
+            if before + size >= n:
+                break
+            before += size
+        else:
+            return df if not prefix else df.filter(F.substring(draw, 1, at) <= prefix)
+        left, prefix = n - before, prefix + border
+        if size <= BORDER or len(prefix) == 32:
+            break
+        n = left
+    whole = df.filter(F.substring(draw, 1, len(prefix)) < prefix)
+    return whole.unionByName(df.filter(F.startswith(draw, F.lit(prefix))).orderBy(draw, id_col).limit(left))
 
 
 def sample_pct(df: DataFrame, percent: float, id_col: str = "soma_joinid", seed: int = 0) -> DataFrame:

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparsefold.sources.scratch import written
 
-def resolved(versions: DataFrame, longest_chain: int = 16) -> DataFrame:
+
+def resolved(versions: DataFrame) -> DataFrame:
     """name, is_alias, concrete: aliases followed to the release that they come to; dangling and circular ones are gone.
 
-    The directory is a few rows per release; each round follows all chains one step.
+    Each round doubles the number of links that every name has followed, so chains of any length end in as many rounds as
+    their length has binary digits. Names in a circle never come to a release. Rounds are written tables of a row an alias.
     """
-    links = versions.select("name", "target")
+    links = written(versions.select("name", "target"), "aliases")
     releases = links.filter(F.col("target").isNull()).select(F.col("name").alias("concrete"))
     at = links.filter(F.col("target").isNotNull()).select("name", F.col("target").alias("at"))
-    hop = links.filter(F.col("target").isNotNull()).select(F.col("name").alias("_n"), F.col("target").alias("_t"))
-    for _ in range(longest_chain):
-        at = at.join(F.broadcast(hop), F.col("at") == F.col("_n"), "left").select("name", F.coalesce("_t", "at").alias("at"))
-    aliases = at.join(F.broadcast(releases), F.col("at") == F.col("concrete")).select("name", F.lit(True).alias("is_alias"), "concrete")
+    for _ in range(max(1, at.count()).bit_length()):
+        hop = at.select(F.col("name").alias("_n"), F.col("at").alias("_t"))
+        at = written(at.join(hop, F.col("at") == F.col("_n"), "left").select("name", F.coalesce("_t", "at").alias("at")), "aliases")
+    aliases = at.join(releases, F.col("at") == F.col("concrete")).select("name", F.lit(True).alias("is_alias"), "concrete")
     return aliases.unionByName(releases.select(F.col("concrete").alias("name"), F.lit(False).alias("is_alias"), "concrete"))
 
 

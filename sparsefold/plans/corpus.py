@@ -136,7 +136,7 @@ def overlap_sets(spark, d):
 #: A directory of versions made of the suppliers: every third one is an alias of another, some of which dangle or go in circles.
 _VERSIONS = """WITH RECURSIVE v AS (SELECT 'v' || s_suppkey AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'v' || ((s_suppkey * 7 + 3) % 97) END AS target,
   DATE '2020-01-01' + s_nationkey * 50 AS release_date, CASE WHEN s_nationkey % 4 > 0 THEN s_acctbal > 4000 END AS lts, CASE WHEN s_nationkey % 3 > 0 THEN s_suppkey % 5 = 1 END AS retracted, s_suppkey % 7 = 1 AS do_not_delete FROM supplier),
-chase(name, reached, steps) AS (SELECT name, target, 1 FROM v WHERE target IS NOT NULL UNION ALL SELECT chase.name, v.target, steps + 1 FROM chase JOIN v ON chase.reached = v.name WHERE v.target IS NOT NULL AND steps < 17),
+chase(name, reached, steps) AS (SELECT name, target, 1 FROM v WHERE target IS NOT NULL UNION ALL SELECT chase.name, v.target, steps + 1 FROM chase JOIN v ON chase.reached = v.name WHERE v.target IS NOT NULL AND steps <= (SELECT count(*) FROM v)),
 resolved AS (SELECT name, name AS concrete, false AS is_alias FROM v WHERE target IS NULL UNION ALL SELECT DISTINCT chase.name, chase.reached, true FROM chase JOIN v ON chase.reached = v.name WHERE v.target IS NULL),
 directory AS (SELECT resolved.*, release_date, lts, retracted FROM resolved JOIN v ON concrete = v.name)
 """

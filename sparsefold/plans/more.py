@@ -76,11 +76,16 @@ def embedding_versions(spark, d):
     return ingest.versions(_metadata(spark, d), "1-URGENT", "F")
 
 
-@query("SELECT vec_id AS id, round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding]), 1) AS total FROM embeddings", plain=True)
+@query(
+    "SELECT vec_id AS id, CAST(i AS INT) AS place, CAST(CASE WHEN v = 0 THEN 0 ELSE sign(v) * round_even(abs(v) / unit, 0) * unit END AS FLOAT) AS value "
+    "FROM (SELECT *, pow(2.0, floor(log2(abs(v))) - 7) AS unit "
+    "FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings))",
+    plain=True,
+)
 def embedding_quantise(spark, d):
-    """Embeddings with 15 mantissa bits; their sums hardly change."""
-    found = ingest.quantised(fx.embeddings(spark, d).select("id", "vector"), 20)
-    return found.select("id", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 1).alias("total"))
+    """Every element of the embeddings at 7 mantissa bits."""
+    found = ingest.quantised(fx.embeddings(spark, d).select("id", "vector"), 7)
+    return found.select("id", F.posexplode("vector").alias("place", "value"))
 
 
 @query("SELECT soma_joinid, tissue, vec_id IS NOT NULL AS found, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM obs LEFT JOIN embeddings ON vec_id = soma_joinid WHERE tissue_general IN ('ASIA', 'EUROPE') AND is_primary_data")
