@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparsefold.llm.common import read, stash
+from sparsefold.llm.common import byte_of_char, read, stash
 from sparsefold.llm.token_counts import MARK, prove
 
 NAME = "op13_group_alignment"
@@ -58,13 +58,6 @@ PLAIN_BELOW = "\u0250"
 BLOCK_UNITS, BLOCK_DOCS, MEMO = 600_000, 20_000, 250_000
 
 
-def byte_of_char() -> dict[str, int]:
-    """The bytes that characters of a byte-level vocabulary stand for: printable ones for themselves, others from 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 def load_a(path: str):
     """A byte-level tokenizer and the bytes of its tokens (none for special ones)."""
     from tokenizers import Tokenizer

@@ -10,11 +10,11 @@ The order of content is that of signatures: three tokens of a rest, each the lea
 rarer tokens (later in the vocabulary, which is in order of frequency) weigh more. Two rests share a signature's token with
 a probability equal to the weighted likeness of their tokens, so like rests lie side by side. Range buckets deal this order
 to tasks, and a task cuts its sorted buckets into shards as they stream by; equal signatures follow a hash of the row, so
-that neither a hot text nor a growing table makes a shard grow.
+that neither a hot text nor a growing table makes a shard grow. A task has one bucket.
 
 Tokens of a text are those of its runs between ASCII white space, joined: the tokenizer drops white space, never merges
-across it, and its special strings hold none. Each run is encoded once per worker and remembered in a memo of two generations
-of bounded size: runs that are met again move to the younger one, the others are forgotten with the older one.
+across it, and its special strings hold none. Plain text is encoded by a second library with the same merges, which
+fast_merges() shows to be the same; what isn't plain goes to the tokenizer itself, run by run.
 
 A shard is bounded (pieces have fewer than `window` tokens), and the vocabulary bounds the table of frequencies; the driver
 holds that table, the buckets' bounds and three counts.
@@ -26,19 +26,22 @@ carried.
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparsefold.llm.common import range_buckets, read, stash
+from sparsefold.llm.common import byte_of_char, range_buckets, read, stash
 
 NAME = "op6_bm25_packing"
 
@@ -50,14 +53,25 @@ SHARD_PIECES = 2000
 SHARDS_PER_BUCKET = 4
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
-#: Parts of texts in a generation of a worker's memo, which has two: some 60 MB together.
-MEMO = 150_000
-#: Texts that are encoded at a time.
-BLOCK = 256
-#: What a special string starts with, and the lead bytes of combining marks.
-UNSURE = (b"<|", b"\xcc", b"\xcd")
-#: Punctuation after an ASCII letter or digit, or a letter of the Latin-1 block, and before white space or the end.
-WORD_END = re.compile(rb"([!-/:-@\[-`{-~](?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-/:-@\[-`{-~]*)(?=[ \t-\r]|\Z)")
+#: Texts that are encoded at a time, and characters of a text.
+BLOCK, CHUNK = 256, 1 << 20
+#: Characters below this one are composed and lower alike in all libraries.
+PLAIN_BELOW = "\u0300"
+#: A character that stands for a word's end, and what a special string starts with.
+END_MARK, SPECIAL = "\x01", "<|"
+
+
+def _class(kind: str) -> str:
+    """A character class of the plain characters of a Unicode category."""
+    return "".join(re.escape(c) for c in map(chr, range(ord(PLAIN_BELOW))) if unicodedata.category(c)[0] == kind)
+
+
+#: Fixed value: the tokenizer's pre-tokens, for plain text in lower case, and the same for ASCII.
+LETTERS, NUMBERS, BLANKS = _class("L"), _class("N"), r"\t-\r \x85\xa0"
+PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+")
+FURTHER = re.compile(f"[^\\x00-{chr(ord(PLAIN_BELOW) - 1)}]")
+CUT_AFTER = re.compile(r"[\t-\r ]")
+ASCII_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
 
 @lru_cache(maxsize=1)
@@ -66,67 +80,92 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
+def fast_merges(path: str):
+    """The vocabulary's merges in a library that takes a tenth of the time, with END_MARK for the end of a word.
+
+    That library merges any two neighbours that make up a token, the first token in the order of numbers first. This comes to
+    the same as the vocabulary's list of pairs if numbers are in the order of that list and every token, encoded
+    alone, gives itself: two neighbours that cover just a token's text are then a state on the only way to it, so its last
+    step is the pair of the list. Tokens that don't give themselves never arise, and are left out.
+    """
+    import tiktoken
+    from tokenizers import Tokenizer, models
+
+    model = json.loads(Path(path).read_text())["model"]
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    vocabulary, suffix = model["vocab"], model["end_of_word_suffix"]
+    first = 2 * 256
+    if suffix != "</w>" or any(vocabulary.get(a + b) != first + i for i, (a, b) in enumerate(pairs)):
+        raise ValueError("the vocabulary's numbers are not in the order of its merges")
+    whole, inner = Tokenizer(models.BPE(vocabulary, pairs, end_of_word_suffix=suffix)), Tokenizer(models.BPE(vocabulary, pairs))
+    chars = byte_of_char()
+    ranks, last = {}, [p for p in vocabulary if p.endswith(suffix)]
+    for lib, pieces, texts in ((whole, last, [p.removesuffix(suffix) for p in last]), (inner, rest := [p for p in vocabulary if not p.endswith(suffix)], rest)):
+        for piece, text, found in zip(pieces, texts, lib.encode_batch(texts), strict=True):
+            if found.ids == [vocabulary[piece]] and all(c in chars for c in text):
+                ranks[bytes(chars[c] for c in text) + (END_MARK.encode() if lib is whole else b"")] = vocabulary[piece]
+    return tiktoken.Encoding("words", pat_str=f"[^{END_MARK}]+{END_MARK}", mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
     """Token numbers of texts, packed as little-endian 16-bit numbers.
 
-    A text is cut at white space and before punctuation that ends a word, and lowered, which the tokenizer does itself:
-    texts with special strings or with marks that could compose with a letter of one case only are left as they are. A
-    part is encoded once. Parts of letters alone are single pre-tokens, which end with the vocabulary's word-end mark, so
-    many of them are encoded in one call and told apart by that mark.
+    A text of plain characters is lowered, which the tokenizer does itself, cut into pre-tokens, and encoded in one call. Runs
+    between ASCII white space of other texts are judged one by one: those with special strings or further characters go to
+    the library. Nothing is remembered: encoding a word again costs no more than looking it up among all others.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.library = Tokenizer.from_file(path)
-        # the same merges for words of letters that are lowered and composed already
-        self.merges = Tokenizer(self.library.model)
-        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.library.get_vocab()
-        if max(vocabulary.values()) >= 1 << 16:
+        from tokenizers import Tokenizer
+
+        self.library, self.merges = Tokenizer.from_file(path), fast_merges(path)
+        if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("token numbers must fit into 16 bits")
-        self.ends = np.zeros(1 << 16, bool)
-        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.parts: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
 
-    @staticmethod
-    def cut(data: bytes) -> list[bytes]:
-        if not any(u in data for u in UNSURE):
-            data = WORD_END.sub(rb" \1", data.lower())
-        return data.split()
-
-    def learn(self, new: set[bytes]) -> None:
-        """Remember parts that the present generation lacks: those of the one before move over, the others are encoded."""
-        if len(self.parts) + len(new) > MEMO:
-            self.parts, self.older = {}, self.parts
-        again = new & self.older.keys()
-        self.parts.update((part, self.older[part]) for part in again)
-        new = new - again
-        letters = [(part, word) for part in new if (word := part.decode().lower()).isalpha() and (word.isascii() or max(word) < "\u0300")]
-        for at in range(0, len(letters), 2000):
-            some = letters[at : at + 2000]
-            (found,) = self.merges.encode_batch_fast([" ".join(word for _, word in some)], add_special_tokens=False)
-            ids = np.array(found.ids, "<u2")
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            packed, start = ids.tobytes(), 0
-            for (part, _), end in zip(some, ends, strict=True):
-                self.parts[part], start = packed[2 * start : 2 * end], end
-        for part in new.difference(self.parts):
-            self.parts[part] = np.array(self.library.encode(part.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+    def plain(self, text: str) -> bytes | None:
+        """The tokens of a text of plain characters; None if it isn't one."""
+        low = text.lower()
+        if END_MARK in low or SPECIAL in low:
+            return None
+        if low.isascii():
+            words = ASCII_PRE_TOKEN.findall(low)
+        elif not FURTHER.search(low):
+            words = PRE_TOKEN.findall(low)
+        else:
+            return None
+        words.append("")  # for the mark at the end
+        return np.array(self.merges.encode_ordinary(END_MARK.join(words)), "<u2").tobytes()
+
+    def mixed(self, text: str) -> Iterator[bytes]:
+        """The tokens of a text with other characters, in pieces: neighbouring plain runs together."""
+        held: list[str] = []
+        for run in re.split(r"[\t-\r ]+", text):
+            if not run or self.is_plain(run):
+                held.append(run)
+            else:
+                yield self.plain(" ".join(held)) or b""
+                held = []
+                yield np.array(self.library.encode(run, add_special_tokens=False).ids, "<u2").tobytes()
+        yield self.plain(" ".join(held)) or b""
 
-    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [self.cut(t or b"") for t in texts]
-        found = [list(map(self.parts.get, parts)) for parts in split]
-        gaps = [[at for at, i in enumerate(ids) if i is None] for ids in found]
-        self.learn({parts[at] for parts, places in zip(split, gaps, strict=True) for at in places})
-        for parts, ids, places in zip(split, found, gaps, strict=True):
-            for at in places:
-                ids[at] = self.parts[parts[at]]
-        return list(map(b"".join, found))
+    @staticmethod
+    def is_plain(run: str) -> bool:
+        return not FURTHER.search(run.lower()) and END_MARK not in run and SPECIAL not in run
 
     def encode(self, text: str | None) -> bytes:
-        return self.encode_all([(text or "").encode()])[0]
+        out, at = [], 0
+        text = text or ""
+        while at < len(text):
+            cut = CUT_AFTER.search(text, at + CHUNK)
+            end = cut.end() if cut else len(text)
+            part = text[at:end]
+            found = self.plain(part)
+            out += self.mixed(part) if found is None else [found]
+            at = end
+        return b"".join(out)
+
+    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
+        return [self.encode(t.decode()) if t else b"" for t in texts]
 
 
 def checksum(ids: np.ndarray) -> int:
@@ -343,9 +382,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
 
     keys = [F.col("place"), F.xxhash64("row", "start")]
     buckets = range_buckets(cut, keys, SHARDS_PER_BUCKET * shard_pieces)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     dealt = cut.withColumn("bucket", buckets.bucket(keys).cast("bigint")).withColumn("tie", keys[1])
-    ordered = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "place", "tie", "row", "start")
+    ordered = dealt.repartitionById(max(1, len(buckets)), F.col("bucket").cast("int")).sortWithinPartitions("bucket", "place", "tie", "row", "start")
     return ordered.drop("place", "tie", "row").mapInArrow(run, OUT_SCHEMA)
 
 

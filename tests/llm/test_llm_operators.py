@@ -534,17 +534,28 @@ def test_encoder_matches_the_library():
         assert np.frombuffer(e.encode(s), "<u2").tolist() == e.library.encode(s, add_special_tokens=False).ids
 
 
-def test_encoder_forgets_the_older_generation(monkeypatch):
+def test_encoder_cuts_long_texts(monkeypatch):
     import public_tokenizers
 
-    monkeypatch.setattr(packing, "MEMO", 20)
+    monkeypatch.setattr(packing, "CHUNK", 20)
     e = packing.Encoder(public_tokenizers.path(packing.TOKENIZER))
     r = random.Random(5)
-    for _ in range(60):
-        texts = [" ".join(f"{r.choice(['the', 'of', 'Run', 'x9,'])} w{r.randrange(400)}." for _ in range(r.randrange(8))) for _ in range(3)]
+    for _ in range(200):
+        texts = [" ".join(f"{r.choice(['the', 'of', 'Run', 'x9,', 'été', '漢字', '<|endoftext|>', '½'])} w{r.randrange(400)}." for _ in range(r.randrange(12))) for _ in range(3)]
         want = [np.array(e.library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
         assert e.encode_all([t.encode() for t in texts]) == want
-        assert len(e.older) <= 68 and len(e.parts) <= 68
+
+
+def test_merges_of_both_libraries(documents):
+    import public_tokenizers
+
+    e = packing.Encoder(public_tokenizers.path(packing.TOKENIZER))
+    words = {w for _, t in documents for w in packing.PRE_TOKEN.findall((t or "").lower())}
+    r = random.Random(3)
+    words |= {"".join(r.choice("etaoinshrdlucmfwyp") for _ in range(r.randint(1, 14))) for _ in range(20_000)}
+    words = sorted(w for w in words if w.isalpha())
+    library = e.library.encode_batch(words, add_special_tokens=False)
+    assert all(e.merges.encode_ordinary(w + packing.END_MARK) == x.ids for w, x in zip(words, library, strict=True))
 
 
 @pytest.mark.parametrize("window,shard", [(4096, 2000), (64, 50), (7, 3)])
