@@ -97,3 +97,11 @@ def disjoint(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """One row: how many distinct keys both sides have (none: disjoint) and how many of a's b lacks (none: a subset)."""
     both = a.select(key).distinct().join(b.select(key).distinct().withColumn("_in", F.lit(1)), key, "left")
     return both.agg(F.count("_in").alias("shared"), F.count_if(F.col("_in").isNull()).alias("only_first"))
+
+
+def obs_domains(obs: DataFrame, statistics: list[str], domains: dict[str, list[str]]) -> DataFrame:
+    """column and faults: statistics that are null, negative or not finite, and values outside a column's domain; all columns have a row."""
+    odd = lambda c: c.isNull() | F.isnan(c.cast("double")) | (c < 0) | (F.abs(c.cast("double")) == float("inf"))
+    counts = [F.struct(F.lit(name).alias("column"), F.count_if(odd(F.col(name))).alias("faults")) for name in statistics]
+    counts += [F.struct(F.lit(name).alias("column"), F.count_if(~F.coalesce(F.col(name).isin(*known), F.lit(False))).alias("faults")) for name, known in domains.items()]
+    return obs.agg(F.array(*counts).alias("c")).select(F.inline("c"))

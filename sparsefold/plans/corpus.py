@@ -271,11 +271,28 @@ def validate_measured(spark, d):
     return validate.measured(obs, var, full)
 
 
-@query("SELECT * FROM (VALUES ('assay', 'type', 'int', 'string'), ('ghost', 'missing', 'string', NULL), ('price', 'extra', NULL, 'double')) t(column_name, fault, wanted, found)", plain=True)
+@query(
+    """WITH wanted(t, c, wanted) AS (VALUES ('orders', 'o_orderkey', 'bigint'), ('orders', 'o_custkey', 'string'), ('orders', 'o_orderdate', 'timestamp_ntz'), ('orders', 'ghost', 'string'),
+      ('part', 'p_partkey', 'bigint'), ('part', 'p_name', 'string'), ('part', 'p_size', 'double'), ('part', 'p_retailprice', 'double')),
+    kinds(name, kind) AS (VALUES ('BIGINT', 'bigint'), ('INTEGER', 'int'), ('VARCHAR', 'string'), ('DOUBLE', 'double'), ('TIMESTAMP', 'timestamp_ntz')),
+    found AS (SELECT table_name AS t, column_name AS c, kind AS found FROM information_schema.columns JOIN kinds ON data_type = name WHERE table_name IN ('orders', 'part')),
+    sizes AS (SELECT 'orders' AS t, count(*) AS n FROM orders UNION ALL SELECT 'part', count(*) FROM part)
+    SELECT t AS table_name, c AS column_name, CASE WHEN wanted IS NULL THEN 'extra' WHEN found IS NULL THEN 'missing' ELSE 'type' END AS fault, wanted, found, n AS rows
+    FROM wanted FULL JOIN found USING (t, c) JOIN sizes USING (t) WHERE wanted IS DISTINCT FROM found""",
+    plain=True,
+)
 def validate_schema(spark, d):
-    """A table's schema against the wanted one: one row per fault."""
-    wanted = {"soma_joinid": "bigint", "dataset_id": "bigint", "cell_type": "string", "assay": "int", "tissue": "string", "tissue_general": "string", "is_primary_data": "boolean", "ghost": "string"}
-    return validate.schema_faults(fx.obs(spark, d), wanted)
+    """Two tables' schemas against the wanted ones: a row per fault, with the number of rows that have it."""
+    wanted = {
+        "orders": {"o_orderkey": "bigint", "o_custkey": "string", "o_orderdate": "timestamp_ntz", "ghost": "string"},
+        "part": {"p_partkey": "bigint", "p_name": "string", "p_size": "double", "p_retailprice": "double"},
+    }
+    out = None
+    for name, columns in wanted.items():
+        table = fx.table(spark, d, name)
+        faults = validate.schema_faults(table, columns).select(F.lit(name).alias("table_name"), "*").crossJoin(F.broadcast(table.agg(F.count(F.lit(1)).alias("rows"))))  # one row
+        out = faults if out is None else out.unionByName(faults)
+    return out
 
 
 @query("SELECT count(*) FILTER (l_orderkey % 97 = 0) AS null_values, count(*) FILTER (l_partkey % 17 = 0 AND l_quantity <= 49 AND l_orderkey % 97 <> 0) AS not_positive, count(*) FILTER (l_quantity > 49 AND l_orderkey % 97 <> 0) AS not_finite, count(*) FILTER (l_partkey % 13 = 0) AS off_axis FROM (SELECT l_orderkey, l_partkey, sum(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)", plain=True)

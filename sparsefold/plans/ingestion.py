@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparsefold.operators import axis, ivf, moments, ontology, pca, release, transform
+from sparsefold.operators import axis, ingest, ivf, moments, ontology, pca, release, transform, validate
 from sparsefold.plans import fixture as fx
 from sparsefold.plans.registry import query
-from sparsefold.sources import matrices, records
+from sparsefold.sources import generated, matrices, records
 from sparsefold.sources.scratch import scratch_path
 
 _SUMMED = "SELECT soma_dim_0, soma_dim_1, soma_data FROM x"
@@ -223,3 +223,77 @@ def search_ivf_index(spark, d):
     index = ivf.build(e.filter("id % 10 <> 5"), scratch_path(spark, "ivf"))
     ivf.append(index, e.filter("id % 10 = 5"))
     return ivf.search(index, e.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), 10)
+
+
+@query(
+    "SELECT CAST(floor(count(*) * 0.4) AS BIGINT) AS n, 16 AS dimensions, CAST(floor(count(*) * 0.4) AS BIGINT) AS on_axis, true AS inside, 0.9 AS mean, 0.33 AS variance FROM orders", plain=True
+)
+def generated_embedding(spark, d):
+    """Made-up vectors for two fifths of the observations: their number, range and moments."""
+    obs = fx.obs(spark, d).select("soma_joinid")
+    found = generated.test_embedding(obs, int(obs.count() * 0.4), 16, seed=5)
+    v = found.select("id", F.size("vector").alias("d"), F.explode("vector").alias("v"))
+    rows = v.join(obs, v.id == obs.soma_joinid, "left_semi").agg(F.count_distinct("id").alias("on_axis"))
+    inside = ((F.min("v") >= -0.1) & (F.max("v") < 1.9)).alias("inside")
+    moments_ = v.agg(F.count_distinct("id").alias("n"), F.max("d").alias("dimensions"), inside, F.round(F.avg("v"), 1).alias("mean"), F.round(F.var_samp("v"), 2).alias("variance"))
+    return moments_.crossJoin(rows)  # one row each
+
+
+_RECORDS = """WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority END AS embedding_name, o_orderstatus AS organism, '1998' AS version, o_orderdate AS submission_date,
+  o_custkey - 3 AS n_embeddings, o_orderkey % 5 AS n_features, CASE WHEN o_orderkey % 3 = 0 THEN 'obs_embedding' WHEN o_orderkey % 3 = 1 THEN 'var_embedding' ELSE 'cells' END AS data_type,
+  repeat('x', 120 + o_orderkey % 12) AS title, CASE WHEN o_orderkey % 11 = 0 THEN '10.' || o_orderkey || '/ab' WHEN o_orderkey % 11 = 1 THEN 'doi:' || o_orderkey ELSE '' END AS doi,
+  CASE WHEN o_orderkey % 13 = 0 THEN 'https://x.org/' || o_orderkey WHEN o_orderkey % 13 = 1 THEN 'ftp://x.org' END AS link FROM orders)
+"""
+
+
+@query(
+    f"""{_RECORDS} SELECT id, 'embedding_name is missing' AS fault FROM r WHERE embedding_name IS NULL
+    UNION ALL SELECT id, 'n_embeddings must be a whole number above 0' FROM r WHERE n_embeddings <= 0 UNION ALL SELECT id, 'n_features must be a whole number above 0' FROM r WHERE n_features <= 0
+    UNION ALL SELECT id, 'data_type must be obs_embedding or var_embedding' FROM r WHERE data_type = 'cells' UNION ALL SELECT id, 'title has more than 128 characters' FROM r WHERE length(title) > 128
+    UNION ALL SELECT id, 'DOI is not a DOI' FROM r WHERE doi <> '' AND NOT regexp_full_match(doi, '10[.][0-9]{{4,9}}/[^ ]+') UNION ALL SELECT id, 'model_link is not a link' FROM r WHERE link LIKE 'ftp%'
+    UNION ALL SELECT id, 'n_embeddings exceeds the observations' FROM r WHERE n_embeddings > 900""",
+    plain=True,
+)
+def metadata_validate(spark, d):
+    """Records of submissions made of the orders, with faults against every rule."""
+    key = F.col("o_orderkey")
+    kind = F.when(key % 3 == 0, "obs_embedding").when(key % 3 == 1, "var_embedding").otherwise("cells")
+    doi = F.when(key % 11 == 0, F.concat(F.lit("10."), key.cast("string"), F.lit("/ab"))).when(key % 11 == 1, F.concat(F.lit("doi:"), key.cast("string"))).otherwise("")
+    link = F.when(key % 13 == 0, F.concat(F.lit("https://x.org/"), key.cast("string"))).when(key % 13 == 1, "ftp://x.org")
+    rows = fx.table(spark, d, "orders").select(
+        key.alias("id"), F.when(key % 7 > 0, F.col("o_orderpriority")).alias("embedding_name"), F.col("o_orderstatus").alias("organism"), F.lit("1998").alias("version"), F.col("o_orderdate").alias("submission_date"),
+        (F.col("o_custkey") - 3).alias("n_embeddings"), (key % 5).alias("n_features"), kind.alias("data_type"), F.expr("repeat('x', cast(120 + o_orderkey % 12 as int))").alias("title"), doi.alias("DOI"), link.alias("model_link"),
+    )
+    return ingest.record_faults(rows, 900)
+
+
+@query(
+    """WITH c AS (SELECT CASE WHEN vec_id % 17 = 0 THEN -vec_id - 1 ELSE vec_id END AS i, g - 1 + CASE WHEN vec_id % 19 = 0 THEN 3 ELSE 0 END AS j,
+      CASE WHEN vec_id % 23 = 0 AND g = 5 THEN CAST('inf' AS FLOAT) ELSE embedding[g] END AS v FROM embeddings, range(1, 65) r(g)
+      UNION ALL SELECT vec_id, 7, 1 FROM embeddings WHERE vec_id % 29 = 1),
+    k AS (SELECT i, j, count(*) AS n, count(*) FILTER (isinf(v)) AS odd FROM c GROUP BY ALL)
+    SELECT CAST(sum(n) AS BIGINT) AS cells, count(*) FILTER (n > 1) AS repeated, count(*) FILTER (j < 0 OR j > 63) AS outside, CAST(sum(odd) AS BIGINT) AS not_finite,
+      count(DISTINCT i) FILTER (i NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 31 <> 2)) AS off_axis, count(DISTINCT i) FILTER (i < 0) AS negative, abs(count(DISTINCT i) - 450) AS miscounted FROM k""",
+    plain=True,
+)
+def embedding_coordinates_validate(spark, d):
+    """Embeddings as coordinates with faults of all kinds."""
+    e = fx.embeddings(spark, d).select("id", F.posexplode("vector").alias("p", "v"))
+    i = F.when(F.col("id") % 17 == 0, -F.col("id") - 1).otherwise(F.col("id")).alias("soma_dim_0")
+    j = (F.col("p") + F.when(F.col("id") % 19 == 0, 3).otherwise(0)).cast("bigint").alias("soma_dim_1")
+    v = F.when((F.col("id") % 23 == 0) & (F.col("p") == 4), F.lit(float("inf")).cast("float")).otherwise(F.col("v")).alias("soma_data")
+    again = e.filter("id % 29 = 1 and p = 0").select(F.col("id").alias("soma_dim_0"), F.lit(7).cast("bigint").alias("soma_dim_1"), F.lit(1.0).cast("float").alias("soma_data"))
+    return ingest.coordinate_faults(e.select(i, j, v).unionByName(again), fx.obs(spark, d).filter("soma_joinid % 31 <> 2"), 64, 450)
+
+
+@query(
+    """SELECT 'price' AS column, count(*) FILTER (soma_joinid % 19 = 0 OR price < 2000 AND soma_joinid % 23 > 0 OR soma_joinid % 23 = 0) AS faults FROM obs
+    UNION ALL SELECT 'dataset_id', count(*) FILTER (dataset_id < 0) FROM obs UNION ALL SELECT 'assay', count(*) FILTER (assay IN ('1-URGENT', '5-LOW') OR soma_joinid % 7 = 0) FROM obs"""
+)
+def validate_obs_domains(spark, d):
+    """Statistics that are null, negative or infinite, and labels outside their domain."""
+    key, price = F.col("soma_joinid"), F.col("price")
+    dirty = F.when(key % 19 == 0, None).when(key % 23 == 0, float("inf")).otherwise(price - 2000)
+    obs = fx.obs(spark, d).withColumn("price", dirty).withColumn("assay", F.when(key % 7 > 0, F.col("assay")))
+    kinds = ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
+    return validate.obs_domains(obs, ["price", "dataset_id"], {"assay": kinds})

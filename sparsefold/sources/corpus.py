@@ -135,6 +135,82 @@ def compact(spark: SparkSession, path: str, to: str, files: int) -> None:
     spark.read.parquet(path).repartitionByRange(files, "soma_dim_0", "soma_dim_1").sortWithinPartitions("soma_dim_0", "soma_dim_1").write.mode("overwrite").parquet(to)
 
 
+@dataclass(frozen=True)
+class Layer:
+    """What a folder of Parquet files holds: their number, their bytes and those of the smallest."""
+
+    path: str
+    files: int
+    bytes: int
+    smallest: int
+
+
+def layer_files(spark: SparkSession, path: str) -> Layer:
+    """The files of a layer by their metadata columns; no value is read."""
+    files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size").distinct()
+    found = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("file_size"), F.lit(0)), F.coalesce(F.min("file_size"), F.lit(0))).first()
+    return Layer(path, *found)
+
+
+def needs_consolidation(layer: Layer, target_bytes: int) -> bool:
+    """Whether fewer files would do by more than half: a layer that was consolidated stays as it is."""
+    wanted = max(1, -(-layer.bytes // target_bytes))
+    return layer.files > 2 * wanted
+
+
+def consolidate(spark: SparkSession, paths: list[str], target_bytes: int = 128 << 20, include: list[str] | None = None, exclude: list[str] | None = None) -> list[str]:
+    """Rewrite the layers whose files are too many and too small, row-major; returns their paths.
+
+    include and exclude are patterns that the whole path must match (all, and none, by default). A layer is written beside
+    its old folder, which goes only when the new one has taken its place; a run that was cut off in between is put
+    right by the next. A second run finds nothing to do.
+    """
+    done = []
+    for path in paths:
+        recover(spark, path)
+        if not any(re.fullmatch(p, path) for p in (include or [".*"])) or any(re.fullmatch(p, path) for p in exclude or []):
+            continue
+        layer = layer_files(spark, path)
+        if needs_consolidation(layer, target_bytes):
+            compact(spark, path, f"{path}.new", max(1, -(-layer.bytes // target_bytes)))
+            _rename(spark, path, f"{path}.old")
+            _rename(spark, f"{path}.new", path)
+            recover(spark, path)
+            done.append(path)
+    return done
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish or undo a consolidation that was cut off: an old folder without its successor comes back, leftovers go."""
+    if _exists(spark, f"{path}.old"):
+        if not _exists(spark, path):
+            whole = _exists(spark, f"{path}.new/_SUCCESS")
+            _rename(spark, f"{path}.new" if whole else f"{path}.old", path)
+        _remove(spark, f"{path}.old")
+    _remove(spark, f"{path}.new")
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _file_system(spark, path)
+    return fs.exists(place)
+
+
+def _rename(spark: SparkSession, path: str, to: str) -> None:
+    fs, place = _file_system(spark, path)
+    if not fs.rename(place, _file_system(spark, to)[1]):
+        raise OSError(f"{path} can't be renamed to {to}")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, place = _file_system(spark, path)
+    fs.delete(place, True)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """dataset_id, dataset_asset_h5ad_uri and pos (the record's place) of a CSV manifest."""
     lines = spark.read.csv(path, header=True, schema="dataset_id string, dataset_asset_h5ad_uri string")
@@ -147,8 +223,18 @@ def read_blocklist(spark: SparkSession, path: str) -> DataFrame:
     return named.filter(F.col("dataset_id") != "")
 
 
-def inject_embedding(measurement: Measurement, name: str, embeddings: DataFrame) -> Measurement:
-    """The measurement with one more embedding; a name that it has already is an error."""
+def inject_embedding(measurement: Measurement, name: str, embeddings: DataFrame, axis: DataFrame | None = None, dimensions: int | None = None) -> Measurement:
+    """The measurement with one more embedding; a name that it has already is an error.
+
+    With an axis and a number of dimensions the embedding is checked first: every fault that is counted is an error.
+    """
     if name in measurement.embeddings:
         raise ValueError(f"the measurement has an embedding {name!r} already")
+    if axis is not None and dimensions is not None:
+        from sparsefold.operators.embedding import violations
+
+        found = violations(embeddings, axis, dimensions).first().asDict()
+        wrong = {k: v for k, v in found.items() if k != "rows" and v} | ({} if found["rows"] else {"rows": 0})
+        if wrong:
+            raise ValueError(f"the embedding {name!r} has faults: {wrong}")
     return replace(measurement, embeddings=measurement.embeddings | {name: embeddings})

@@ -150,7 +150,7 @@ def test_index_on_disk(spark, tmp_path):
     v = (r.normal(size=(40, 16)) * 4)[r.integers(0, 40, 3000)] + r.normal(size=(3000, 16))
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<float>")
     index = ivf.build(df.filter("id < 2500"), str(tmp_path / "i"))
-    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "i").rglob("*") if f.is_file()}
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "i").rglob("*.parquet")}
     ivf.append(index, df.filter("id >= 2500"))
     assert files == {f: f.stat().st_mtime_ns for f in files}
     asked = np.array([w for w in v[r.integers(0, 3000, 150)] + r.normal(size=(150, 16)) * 0.3])  # rows that were never seen
@@ -164,7 +164,8 @@ def test_index_on_disk(spark, tmp_path):
     assert np.mean([len(found[i] & t) / 10 for i, t in enumerate(true)]) >= 0.92
     assert ivf.share_read(index, queries) < 0.25 and index.lists().count() == 3000
     one = ivf.search(index, queries.filter("query_id = 0"), probes=2)
-    assert len({f.split("list=")[1].split("/")[0] for f in one.inputFiles()}) <= 2
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "list#" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_sample_border(spark, monkeypatch):
@@ -201,3 +202,82 @@ def test_steps_of_like_cost(spark):
 
 def test_corpus_names_are_kept():
     assert corpus.organism_key("Homo sapiens") == "homo_sapiens"
+
+
+def test_generated_rows_depend_on_seed_and_place_only(spark):
+    from sparsefold.sources import generated
+
+    def rows(n, parts, seed=3):
+        return [(r["place"], tuple(r["vector"])) for r in generated.generated(spark, n, 5, seed, parts).orderBy("place").collect()]
+
+    one = rows(5000, 1)
+    assert one == rows(5000, 16) and one[:1500] == rows(1500, 2) and one != rows(5000, 1, 4) and len(one) == 5000
+    values = np.array([v for _, v in one])
+    assert values.min() >= np.float32(generated.LOW) and values.max() < generated.LOW + generated.WIDTH and abs(values.mean() - 0.9) < 0.02
+    assert generated.generated(spark, 0, 5).count() == 0
+    axis_ = spark.createDataFrame([(7 * i,) for i in range(100)], "soma_joinid long")
+    found = generated.test_embedding(axis_, 30, 4).collect()
+    assert len({r["id"] for r in found}) == 30 and all(r["id"] % 7 == 0 and len(r["vector"]) == 4 for r in found)
+
+
+def test_consolidation(spark, tmp_path):
+    x = spark.createDataFrame([(i, j, float(i + j)) for i in range(60) for j in range(5)], "soma_dim_0 long, soma_dim_1 long, soma_data double")
+    paths = [str(tmp_path / n) for n in ("raw", "normalized", "keep")]
+    for p in paths:
+        for part in range(6):
+            corpus.write_sparse(x.filter(f"soma_dim_0 % 6 = {part}"), p)
+    before = corpus.layer_files(spark, paths[0])
+    assert before.files >= 6
+    assert corpus.consolidate(spark, paths, include=[".*/(raw|keep)"], exclude=[".*keep"]) == [paths[0]]
+    assert corpus.layer_files(spark, paths[0]).files == 1 and corpus.layer_files(spark, paths[1]).files == before.files
+    assert sorted(tuple(r) for r in spark.read.parquet(paths[0]).collect()) == sorted(tuple(r) for r in x.collect())
+    assert corpus.consolidate(spark, paths[:1]) == []
+    for cut_off in ("old", "both", "new"):  # where a run may have been stopped
+        (tmp_path / "raw").rename(tmp_path / f"raw.{'new' if cut_off == 'both' else cut_off}")
+        if cut_off == "both":
+            (tmp_path / "keep").rename(tmp_path / "raw.old")
+        if cut_off == "new":
+            (tmp_path / "raw.new").rename(tmp_path / "raw")
+            (tmp_path / "raw.new").mkdir()
+        corpus.recover(spark, paths[0])
+        assert spark.read.parquet(paths[0]).count() == 300 and not list(tmp_path.glob("raw.*"))
+
+
+def test_records_and_injection(spark):
+    from sparsefold.operators import ingest
+
+    good = {"id": "e", "embedding_name": "n", "organism": "h", "version": "stable", "submission_date": "2024-01-01", "n_embeddings": 2, "n_features": 2, "data_type": "obs_embedding", "title": "t", "description": "d", "DOI": "10.1234/x", "model_link": "https://x.org/m"}
+    bad = good | {"embedding_name": "n" * 129, "title": "", "DOI": "x10.1234/x", "model_link": "https://", "n_features": 0, "data_type": "cells"}
+    table = spark.createDataFrame([good, bad | {"id": "f"}])
+    assert ingest.metadata_faults(good) == [] and len(ingest.metadata_faults(bad)) == 6
+    assert sorted(r["fault"] for r in ingest.record_faults(table).collect()) == sorted(ingest.metadata_faults(bad))
+    assert {r["id"] for r in ingest.record_faults(table, 1).collect()} == {"e", "f"}
+    names = {"stable": "2024", "2024": "2024", "old": "2022", "2022": "2022"}
+    record = good | {"experiment_name": "h", "measurement_name": "RNA"}
+    ingest.require_version(record, "2024", names, {"h": ["RNA"]})
+    for version, where, match in (("old", {"h": ["RNA"]}, "version"), ("2024", {"m": ["RNA"]}, "experiment"), ("2024", {"h": ["ATAC"]}, "measurement")):
+        with pytest.raises(ValueError, match=match):
+            ingest.require_version(record, version, names, where)
+    m = corpus.Measurement(spark.range(1), {})
+    ids = spark.range(5).withColumnRenamed("id", "soma_joinid")
+    fine = spark.createDataFrame([(1, [1.0, 2.0])], "id long, vector array<float>")
+    assert "a" in corpus.inject_embedding(m, "a", fine, ids, 2).embeddings
+    for wrong in (fine.withColumn("id", F.lit(9)), fine.limit(0), fine.withColumn("vector", F.array(F.lit(1.0)).cast("array<float>"))):
+        with pytest.raises(ValueError, match="faults"):
+            corpus.inject_embedding(m, "a", wrong, ids, 2)
+
+
+def test_labels_of_held_out_rows(spark):
+    from sparsefold.operators import learning
+
+    r = np.random.default_rng(8)
+    label = r.integers(0, 4, 400)
+    v = r.normal(size=(400, 12)) + 2.5 * r.normal(size=(4, 12))[label]
+    df = spark.createDataFrame([(i, x.tolist(), int(y)) for i, (x, y) in enumerate(zip(v, label, strict=True))], "id long, vector array<float>, label int")
+    both = learning.split(df, 0.25, "id")
+    found = learning.transferred(both.filter("not is_test"), both.filter("is_test"), trees=10).collect()
+    assert len(found) > 60 and np.mean([r["label"] == label[r["id"]] for r in found]) > 0.9
+    pc = {r["id"]: r["pc"] for r in learning.components(df.select("id", "vector"), 3).collect()}
+    x = v.astype(np.float32).astype(float)
+    values = np.linalg.eigvalsh(np.cov(x.T))[::-1][:3]
+    assert np.allclose(np.var([pc[i] for i in range(400)], axis=0, ddof=1), values, rtol=1e-5)
