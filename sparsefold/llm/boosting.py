@@ -81,8 +81,8 @@ def fit(x: np.ndarray, y: np.ndarray, classes: int, trees: int = 40, depth: int
     priors, forests = [], []
     for c in range(classes):
         target = (y == c).astype(float)
-        share = min(max(target.mean(), 1e-4), 1 - 1e-4)
-        prior = float(np.log(share / (1 - share)))
+        known = min(max(target.mean(), 1e-4), 1 - 1e-4)
+        prior = float(np.log(known / (1 - known)))
         score, grown = np.full(len(x), prior), []
         for _ in range(trees):
             p = 1 / (1 + np.exp(-score))

@@ -43,6 +43,10 @@ TAG_GROUPS = (frozenset({"nav", "menu"}), frozenset({"footer"}), frozenset({"asi
 AGAINST = frozenset("ad ads adv advert advertisement banner bar bottom breadcrumb breadcrumbs byline categories comment comments consent contact cookie cookies copyright cta discussion disqus footer form gdpr header hidden login masthead menu meta modal nav navbar navigation newsletter notice overlay pager pagination popup privacy promo promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar top trending warning widget".split())
 FOR = frozenset("article articlebody body content entry main page post story text".split())
 
+#: Fixed value: what short texts of comments, notices and sign-up boxes tend to say.
+CUES = re.compile(r"\b(?:[0-9]+ (?:comments?|replies|responses|thoughts)|comments?:?$|says\b|wrote:|replied|reply\b|log in|sign (?:in|up)|leave a|cookies?\b|consent|privacy|accept|subscribe|newsletter|notifications?)", re.I)
+CONTROLS = frozenset("button input select textarea label".split())
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^"'>])*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
@@ -65,6 +69,8 @@ class Page:
     linked: list[int] = field(default_factory=lambda: [0])
     stops: list[int] = field(default_factory=lambda: [0])
     legal: list[int] = field(default_factory=lambda: [0])
+    cues: list[int] = field(default_factory=lambda: [0])
+    controls: list[int] = field(default_factory=lambda: [0])
     runs: list[tuple[int, str]] = field(default_factory=list)
     length: int = 0
 
@@ -76,6 +82,7 @@ def parse(source: str) -> Page:
     opened: Counter[str] = Counter()
     ends: dict[str, dict[int, int]] = {}
     parent, tags, attrs, starts, counts, chars, links, stops, legal, runs = page.parent, page.tag, page.attributes, page.start, page.tags, page.chars, page.linked, page.stops, page.legal, page.runs
+    cues, controls = page.cues, page.controls
 
     def text(a: int, b: int) -> None:
         s = source[a:b]
@@ -88,6 +95,8 @@ def parse(source: str) -> Page:
         stops[node] += s.count(".") + s.count(",")
         if n < 200 and ("\u00a9" in s or "opyright" in s):
             legal[node] += 1
+        if 0 < n < 160 and CUES.search(s):
+            cues[node] += 1
         if linked:
             links[node] += n
 
@@ -103,6 +112,8 @@ def parse(source: str) -> Page:
             continue
         name = name.lower()
         counts[stack[-1]] += 1
+        if name in CONTROLS and not m[1]:
+            controls[stack[-1]] += 1
         if m[1]:  # an end tag
             if name == "a":
                 linked = False
@@ -135,7 +146,7 @@ def parse(source: str) -> Page:
             tags.append(name)
             attrs.append(m[3])
             starts.append(m.start())
-            for column in (counts, chars, links, stops, legal):
+            for column in (counts, chars, links, stops, legal, cues, controls):
                 column.append(0)
         elif name == "a":
             linked = True
@@ -173,13 +184,14 @@ def _group(tag: str) -> int:
 
 
 GROUP = {t: _group(t) for t in BLOCKS} | {"": -1}
-FEATURES = len(TAG_GROUPS) + 34
+FEATURES = len(TAG_GROUPS) + 40
 
 
 def features(page: Page) -> list[list[float]]:
     """One row per node: tag group, attribute tokens, subtree density, depth and sibling statistics."""
     n, parent = len(page.tag), page.parent
     tags, chars, linked, stops, legal = page.tags[:], page.chars[:], page.linked[:], page.stops[:], page.legal[:]
+    cues, controls = page.cues[:], page.controls[:]
     nodes, paragraphs, children, kin = [1] * n, [t == "p" for t in page.tag], [0] * n, [0] * n
     for i in range(n - 1, 0, -1):
         p = parent[i]
@@ -188,6 +200,8 @@ def features(page: Page) -> list[list[float]]:
         linked[p] += linked[i]
         stops[p] += stops[i]
         legal[p] += legal[i]
+        cues[p] += cues[i]
+        controls[p] += controls[i]
         nodes[p] += nodes[i]
         paragraphs[p] += paragraphs[i]
         children[p] += 1
@@ -223,11 +237,38 @@ def features(page: Page) -> list[list[float]]:
             c / nodes[i], page.start[i] / max(1, page.length), chars[p] / nodes[p], children[i], legal[i] / nodes[i],
             *(f for s in (before[i], after[i]) for f in ((log(chars[s]), dense[s], GROUP[page.tag[s]], chars[s] / nodes[s]) if i and s else (-1.0, -1.0, -2.0, -1.0))),
             dense[p], c / max(1, largest[p]) if i else 1.0, log(largest[p]),
+            cues[i] / nodes[i], controls[i] / nodes[i], cues[before[i]] / nodes[before[i]] if i and before[i] else -1.0, cues[after[i]] / nodes[after[i]] if i and after[i] else -1.0, cues[p] / nodes[p], page.cues[i],
         )
         rows.append(row)
     return rows
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def with_headings(page: Page, scores: np.ndarray) -> np.ndarray:
+    """Scores in which a heading, or a block of nothing but one, leans on what it heads: the more inside one of the next two
+    siblings that have text. A heading says little alone."""
+    n = len(page.tag)
+    chars, children, below = page.chars[:], [0] * n, [0] * n
+    for i in range(n - 1, 0, -1):
+        chars[page.parent[i]] += chars[i]
+        children[page.parent[i]] += 1
+        below[page.parent[i]] = i
+    out = scores.copy()
+    nexts: dict[int, list[int]] = {}
+    for i in range(n - 1, 0, -1):
+        ahead = nexts.setdefault(page.parent[i], [])
+        heads = page.tag[i] in HEADINGS or children[i] == 1 and page.tag[below[i]] in HEADINGS and not page.chars[i]
+        if heads and ahead:
+            headed = max(ahead[-2:], key=lambda k: scores[k, IN])
+            for k in {i, below[i]} if children[i] == 1 else {i}:
+                out[k, [IN, OUT]] = (scores[k, [IN, OUT]] + 2 * scores[headed, [IN, OUT]]) / 3
+        if chars[i] and not heads:
+            ahead.append(i)
+    return out
+
+
 def decode(parent: list[int], scores: np.ndarray) -> list[int]:
     """The states with the highest sum of log-probabilities among those that don't contradict along the tree."""
     best = scores.tolist()
@@ -264,7 +305,7 @@ def extract(sources: list[str | None], model: boosting.Boosted) -> list[str]:
         pages = [parse(s or "") for s in sources[at : at + BLOCK]]
         scores = model.log_probabilities(np.array([row for p in pages for row in features(p)]))
         ends = np.cumsum([len(p.tag) for p in pages])
-        texts += [text_of(p, decode(p.parent, s)) for p, s in zip(pages, np.split(scores, ends[:-1]), strict=True)]
+        texts += [text_of(p, decode(p.parent, with_headings(p, s))) for p, s in zip(pages, np.split(scores, ends[:-1]), strict=True)]
     return texts
 
 
@@ -279,7 +320,7 @@ def trained(training_pages: int = 1500, seed: int = 11) -> boosting.Boosted:
         rows += features(page)
         states += known_states(page)
     x, y = np.array(rows), np.array(states)
-    return boosting.fit(x[y >= 0], y[y >= 0], classes=3)
+    return boosting.fit(x[y >= 0], y[y >= 0], classes=3, trees=60, rate=0.2, share=0.4)
 
 
 def known_states(page: Page) -> list[int]:

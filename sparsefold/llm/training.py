@@ -41,6 +41,8 @@ class _Pages:
     def paragraph(self, state: str) -> str:
         r = self.r
         text = self.sentence(*r.choice(((1, 6), (8, 40), (8, 40), (30, 200), (30, 120))))
+        if r.random() < 0.15:  # such words are found in main texts, too
+            text += " " + r.choice(("says", "the reply", "cookies", "a newsletter", "12 comments", "privacy", "they accept", "to subscribe")) + " " + self.sentence(1, 12)
         kind = r.random()
         if kind < 0.1:
             text = f"<b>{text}<br>"
@@ -104,7 +106,9 @@ class _Pages:
             lambda: self.tag("div", self.made_up(), out, "<label>" + self.sentence(1, 3) + "</label><input name=q><button>Go</button>"),
             lambda: self.tag(small, self.made_up(), out, self.link() + r.choice((" &gt; ", " &raquo; ", " / ")) + self.link() + r.choice((" &gt; ", " &raquo; ")) + self.words(r.randint(1, 4))),
         ]
+        kinds += [self.remarks, self.remarks, self.request]
         if edge:
+            kinds += [self.request, self.request]
             kinds += [
                 lambda: self.tag(small, self.made_up(), out, r.choice(("&copy; ", "Copyright ", "&copy; 20%02d " % r.randint(0, 30))) + self.sentence(1, 8)),
                 lambda: self.tag(small, self.made_up(), out, r.choice((" | ", " - ", " &middot; ")).join(self.words(r.randint(1, 2)) for _ in range(r.randint(2, 5)))),
@@ -112,17 +116,52 @@ class _Pages:
             ]
         return r.choice(kinds)()
 
+    def remarks(self) -> str:
+        """Reader comments without telling names: a heading with their number, then names, texts, dates and links to reply."""
+        r, out = self.r, "out"
+        name = lambda: self.word().capitalize() + (" " + self.word().capitalize()) * r.randint(0, 1)
+        heading = r.choice((f"{r.randint(1, 90)} comments", f"{r.randint(2, 40)} Responses", "Comments", "Comments:", f"{r.randint(2, 30)} Replies", f"{r.randint(2, 9)} thoughts on this"))
+        style = r.choice(("says", "line", "bold", "plain"))
+
+        def one() -> str:
+            who, text = name(), self.sentence(3, 50)
+            intro = {"says": f"{who} {r.choice(('says', 'says:', 'wrote:', 'replied'))}", "line": f"{who}, {r.randint(1, 28)} {self.word()} 20{r.randint(10, 30)}", "bold": f"<b>{who}</b>", "plain": who}[style]
+            parts = r.choice((self.tag("p", "", out, intro) + self.tag("p", "", out, text), f"{intro} {text}", self.tag("div", self.made_up(), out, intro) + self.tag("div", self.made_up(), out, text), f"<b>{who}</b> {r.choice(('says', 'wrote'))}: {text}"))
+            return self.tag(r.choice(("div", "div", "li", "p" if "<" not in parts else "div")), self.made_up(), out, parts + r.choice(("", "", ' <a href="#r">Reply</a>')))
+
+        inside = (self.tag(r.choice(("h2", "h3", "h3", "h4", "p")), "", out, heading) if r.random() < 0.85 else "") + "".join(one() for _ in range(r.randint(1, 6)))
+        if r.random() < 0.3:
+            inside += self.tag("h3", "", out, r.choice(("Leave a reply", "Leave a comment", "Log in to reply"))) + "<textarea></textarea><button>Send</button>"
+        return self.tag(r.choice(("div", "div", "section")), self.made_up(), out, inside)
+
+    def request(self) -> str:
+        """A notice or a sign-up box without telling names."""
+        r, out = self.r, "out"
+        says = r.choice(("We use cookies to ", "This site uses cookies. ", "By going on you consent to ", "Your privacy matters. ", "Subscribe to our newsletter ", "Sign up for ", "Accept notifications from ", "Get the newsletter: ")) + self.sentence(2, 30)
+        button = r.choice((f"<button>{self.word()}</button>", f"<button>{self.word()}</button><button>OK</button>", '<input type="submit" value="OK">', '<a href="#">OK</a>', ""))
+        inside = r.choice((says, self.tag("p", "", out, says), self.tag("span", "", out, says))) + button
+        if r.random() < 0.2:
+            inside = self.tag(r.choice(("h3", "h4")), "", out, self.sentence(1, 4)) + inside
+        return self.tag(r.choice(("div", "div", "section", "p" if "<p" not in inside and "<h" not in inside else "div")), self.made_up(), out, inside)
+
     def article(self, plain: bool = False) -> str:
         r = self.r
+        boxed = r.random() < 0.35  # headings in wrappers of their own, paragraphs as plain blocks with made-up names
+        hashed = f"p{r.randint(1, 999)}" if r.random() < 0.7 else ""
+
+        def head(name: str, classes: str, low: int, high: int) -> str:
+            found = self.tag(name, classes, "in", self.sentence(low, high))
+            return self.tag("div", self.made_up(), "in", found) if boxed and r.random() < 0.8 else found
+
         name, classes = r.choice(MAIN)
         if plain:
             name, classes = r.choice((("div", ""), ("div", self.made_up()), ("section", self.made_up()), ("td", ""), ("td", self.made_up()), ("main", ""), ("article", "")))
-        parts = [self.paragraph("in") for _ in range(r.choice((1, 2, 3, 5, 8, 14)))]
+        parts = [self.tag("div", hashed, "in", self.sentence(8, 120)) if boxed and r.random() < 0.8 else self.paragraph("in") for _ in range(r.choice((1, 2, 3, 5, 8, 14)))]
         if r.random() < 0.85:
-            parts.insert(0, self.tag(r.choice(("h1", "h1", "h1", "h2")), r.choice(("", "", "title")), "in", self.sentence(2, 12)))
+            parts.insert(0, head(r.choice(("h1", "h1", "h1", "h2")), r.choice(("", "", "title")), 2, 12))
         for _ in range(r.randint(0, 3)):
             if len(parts) > 2:
-                parts.insert(r.randrange(1, len(parts)), self.tag(r.choice(("h2", "h3")), "", "in", self.sentence(1, 6)))
+                parts.insert(r.randrange(1, len(parts)), head(r.choice(("h2", "h3")), "", 1, 6))
         for _ in range(r.choice((0, 0, 1, 2))):
             parts.insert(r.randrange(1, len(parts) + 1), self.plain_off(edge=False) if plain and r.random() < 0.7 else self.off(*r.choice(INNER)))
         inside = "".join(parts)
