@@ -35,11 +35,16 @@ def loess(x: np.ndarray, y: np.ndarray, span: float = 0.3) -> np.ndarray:
         a, b = xs[near] - points[at : at + step, None], ys[near]
         reach = np.abs(a).max(axis=1, keepdims=True)
         a = np.divide(a, reach, out=np.zeros_like(a), where=reach > 0)
-        w = (1 - np.abs(a) ** 3) ** 3
-        moments = np.stack([(w * a**p).sum(axis=1) for p in range(5)], axis=1)
+        w = 1 - np.abs(a * a * a)
+        w = w * w * w
+        moments, target = np.empty((len(a), 5)), np.empty((len(a), 3, 1))
+        for p in range(5):  # w times the powers of a, one after the other
+            moments[:, p] = w.sum(axis=1)
+            if p < 3:
+                target[:, p, 0] = np.einsum("ij,ij->i", w, b)
+            w *= a
         system = moments[:, np.add.outer(np.arange(3), np.arange(3))]
-        target = np.stack([(w * a**p * b).sum(axis=1) for p in range(3)], axis=1)
-        fit = np.linalg.pinv(system, rcond=1e-12, hermitian=True) @ target[:, :, None]
+        fit = np.linalg.pinv(system, rcond=1e-12, hermitian=True) @ target
         fitted[at : at + step] = fit[:, 0, 0]
     out = np.empty(n)
     out[order] = np.interp(xs, points, fitted)

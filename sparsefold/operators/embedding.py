@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries and rows that a task compares, some: with 1,024 dimensions, 8 and 200 MB of numbers.
-QUERY_BLOCK, PART_ROWS = 1000, 25_000
+#: Bytes of the queries and of the rows that a task compares, as doubles: what is copied falls as both grow.
+SIDE_BYTES = 64 << 20
 #: Pairs of a block and a part that keep a small cluster busy, at least.
 PAIRS = 48
 #: Distances that are held at a time: 16 MB.
@@ -59,11 +59,15 @@ def nearest(queries: DataFrame, embeddings: DataFrame, k: int = 10) -> DataFrame
     """query_id, id, distance, place: the k nearest rows of each query by Euclidean distance, exact; ties go by id.
 
     Rows are dealt to parts and queries to blocks by hashes of their ids; each task compares one block with one part and
-    returns k a query at most. Nothing passes through the driver but two counts.
+    returns k a query at most. A row is copied once a block and a query once a part, so both are as large as memory
+    allows. Nothing passes through the driver but two counts and a length.
     """
     rows, asked = embeddings.select("id", "vector"), queries.select("query_id", "vector")
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    parts = max(math.ceil(rows.count() / PART_ROWS), math.ceil(PAIRS / blocks))
+    count = F.count(F.lit(1)).alias("n")
+    n_asked, (n_rows, length) = asked.agg(count).first()["n"], rows.agg(count, F.max(F.size("vector"))).first()
+    most = max(1000, SIDE_BYTES // (8 * max(1, length or 1)))
+    blocks = max(1, math.ceil(n_asked / most))
+    parts = max(math.ceil(n_rows / most), math.ceil(PAIRS / blocks))
 
     def grid(df, key, own, n, other, m):
         dealt = df.withColumns({own: F.pmod(F.xxhash64(key), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})

@@ -66,3 +66,24 @@ def faults(versions: DataFrame) -> DataFrame:
     dangling = versions.filter(F.col("target").isNotNull()).join(found, "name", "left_anti").select("name", F.lit("dangling alias").alias("fault"))
     gone = versions.filter(F.coalesce(F.col("retracted"), F.lit(False))).select(F.col("name").alias("concrete"))
     return dangling.unionByName(found.join(gone, "concrete", "left_semi").select("name", F.lit("alias of a retracted release").alias("fault")))
+
+
+def made(versions: DataFrame, name: str, record: dict[str, object], aliases: tuple[str, ...] = ()) -> DataFrame:
+    """The directory with one more release, to which aliases (new ones or moved ones) come. record: the release's columns.
+
+    Raises if the name is taken, an alias is the name of a release, or the directory would have faults that it lacks now.
+    """
+    taken = {r["name"]: r["target"] for r in versions.filter(F.col("name").isin(name, *aliases)).select("name", "target").collect()}
+    if name in taken or any(taken.get(a, "") is None for a in aliases):
+        raise ValueError(f"{name!r} or an alias of it is the name of a release already")
+    kinds = dict(versions.dtypes)
+    new = versions.sparkSession.createDataFrame([(name,), *[(a,) for a in aliases]], "name string").withColumn("target", F.when(F.col("name") != name, F.lit(name)))
+    for column in versions.columns:
+        if column not in ("name", "target"):
+            new = new.withColumn(column, F.when(F.col("name") == name, F.lit(record.get(column))).cast(kinds[column]))
+    out = versions.filter(~F.col("name").isin(list(aliases))).unionByName(new)
+    before = {tuple(r) for r in faults(versions).collect()}
+    more = [tuple(r) for r in faults(out).collect() if tuple(r) not in before]
+    if more:
+        raise ValueError(f"the release would leave {more[:5]}")
+    return out

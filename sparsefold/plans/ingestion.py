@@ -297,3 +297,16 @@ def validate_obs_domains(spark, d):
     obs = fx.obs(spark, d).withColumn("price", dirty).withColumn("assay", F.when(key % 7 > 0, F.col("assay")))
     kinds = ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
     return validate.obs_domains(obs, ["price", "dataset_id"], {"assay": kinds})
+
+
+@query(
+    """WITH v AS (SELECT 's' || s_suppkey AS name, CASE WHEN s_suppkey % 4 = 1 THEN 's' || (s_suppkey - 1) END AS target, s_acctbal > 4000 AS lts FROM supplier)
+    SELECT name, target, lts FROM v WHERE name NOT IN ('s1', 's5') UNION ALL SELECT * FROM (VALUES ('new', NULL, true), ('s1', 'new', NULL), ('s5', 'new', NULL), ('latest', 'new', NULL))""",
+    plain=True,
+)
+def release_make(spark, d):
+    """A release more, to which two aliases move and a new one comes."""
+    k = F.col("s_suppkey")
+    name = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    rows = fx.table(spark, d, "supplier").select(name(k).alias("name"), F.when(k % 4 == 1, name(k - 1)).alias("target"), (F.col("s_acctbal") > 4000).alias("lts"), F.lit(False).alias("retracted"))
+    return release.made(rows, "new", {"lts": True, "retracted": False}, ("s1", "s5", "latest")).select("name", "target", "lts")

@@ -281,3 +281,12 @@ def test_labels_of_held_out_rows(spark):
     x = v.astype(np.float32).astype(float)
     values = np.linalg.eigvalsh(np.cov(x.T))[::-1][:3]
     assert np.allclose(np.var([pc[i] for i in range(400)], axis=0, ddof=1), values, rtol=1e-5)
+
+
+def test_a_release_more(spark):
+    rows = spark.createDataFrame([("r", None, False), ("old", None, True), ("stable", "r", None)], "name string, target string, retracted boolean")
+    out = {r["name"]: r["target"] for r in release.made(rows, "n", {"retracted": False}, ("stable", "latest")).collect()}
+    assert out == {"r": None, "old": None, "n": None, "stable": "n", "latest": "n"}
+    for name, record, aliases in (("r", {}, ()), ("n", {}, ("old",)), ("n", {"retracted": True}, ("stable",))):
+        with pytest.raises(ValueError, match="already|would leave"):
+            release.made(rows, name, record, aliases)
