@@ -14,7 +14,7 @@ that neither a hot text nor a growing table makes a shard grow. A task has one b
 
 Tokens of a text are those of its runs between ASCII white space, joined: the tokenizer drops white space, never merges
 across it, and its special strings hold none. Plain text is encoded by a second library with the same merges, which
-fast_merges() shows to be the same; what isn't plain goes to the tokenizer itself, run by run.
+fast_ranks() shows to be the same; what isn't plain goes to the tokenizer itself, run by run.
 
 A shard is bounded (pieces have fewer than `window` tokens), and the vocabulary bounds the table of frequencies; the driver
 holds that table, the buckets' bounds and three counts.
@@ -29,11 +29,13 @@ from __future__ import annotations
 import json
 import math
 import re
+import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -68,27 +70,31 @@ def _class(kind: str) -> str:
 
 #: Fixed value: the tokenizer's pre-tokens, for plain text in lower case, and the same for ASCII.
 LETTERS, NUMBERS, BLANKS = _class("L"), _class("N"), r"\t-\r \x85\xa0"
-PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+")
+PRE_TOKEN = re.compile(rf"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+")
 FURTHER = re.compile(f"[^\\x00-{chr(ord(PLAIN_BELOW) - 1)}]")
 CUT_AFTER = re.compile(r"[\t-\r ]")
-ASCII_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+ASCII_PRE_TOKEN = re.compile(r"[a-z]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\t-\r a-z0-9]+")
 
 
-@lru_cache(maxsize=1)
-def encoder_of(path: str) -> Encoder:
-    """A worker's encoder, which outlives its tasks: what one has learnt serves the next."""
-    return Encoder(path)
+_encoders: dict[str, Encoder] = {}
+
 
+def encoder_of(path: str, ranks: dict[bytes, int]) -> Encoder:
+    """A worker's encoder, which outlives its tasks."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path, ranks)
+    return _encoders[path]
 
-def fast_merges(path: str):
-    """The vocabulary's merges in a library that takes a tenth of the time, with END_MARK for the end of a word.
+
+def fast_ranks(path: str) -> dict[bytes, int]:
+    """Numbers of the vocabulary's tokens for a library that takes a tenth of the time, with END_MARK for the end of a word.
 
     That library merges any two neighbours that make up a token, the first token in the order of numbers first. This comes to
     the same as the vocabulary's list of pairs if numbers are in the order of that list and every token, encoded
     alone, gives itself: two neighbours that cover just a token's text are then a state on the only way to it, so its last
     step is the pair of the list. Tokens that don't give themselves never arise, and are left out.
     """
-    import tiktoken
     from tokenizers import Tokenizer, models
 
     model = json.loads(Path(path).read_text())["model"]
@@ -97,6 +103,8 @@ def fast_merges(path: str):
     first = 2 * 256
     if suffix != "</w>" or any(vocabulary.get(a + b) != first + i for i, (a, b) in enumerate(pairs)):
         raise ValueError("the vocabulary's numbers are not in the order of its merges")
+    if max(vocabulary.values()) >= 1 << 16:
+        raise ValueError("token numbers must fit into 16 bits")
     whole, inner = Tokenizer(models.BPE(vocabulary, pairs, end_of_word_suffix=suffix)), Tokenizer(models.BPE(vocabulary, pairs))
     chars = byte_of_char()
     ranks, last = {}, [p for p in vocabulary if p.endswith(suffix)]
@@ -104,7 +112,14 @@ def fast_merges(path: str):
         for piece, text, found in zip(pieces, texts, lib.encode_batch(texts), strict=True):
             if found.ids == [vocabulary[piece]] and all(c in chars for c in text):
                 ranks[bytes(chars[c] for c in text) + (END_MARK.encode() if lib is whole else b"")] = vocabulary[piece]
-    return tiktoken.Encoding("words", pat_str=f"[^{END_MARK}]+{END_MARK}", mergeable_ranks=ranks, special_tokens={})
+    return ranks
+
+
+def packed(ids: list[int]) -> bytes:
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 class Encoder:
@@ -115,12 +130,19 @@ class Encoder:
     the library. Nothing is remembered: encoding a word again costs no more than looking it up among all others.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: dict[bytes, int] | None = None):
+        """ranks: fast_ranks(path), which the driver has found for all workers."""
+        import tiktoken
+
+        self.path = path
+        self.merges = tiktoken.Encoding("words", pat_str=f"[^{END_MARK}]+{END_MARK}", mergeable_ranks=ranks or fast_ranks(path), special_tokens={})
+
+    @cached_property
+    def library(self):
+        """The tokenizer itself, loaded when a text first needs it."""
         from tokenizers import Tokenizer
 
-        self.library, self.merges = Tokenizer.from_file(path), fast_merges(path)
-        if self.library.get_vocab_size() > 1 << 16:
-            raise ValueError("token numbers must fit into 16 bits")
+        return Tokenizer.from_file(self.path)
 
     def plain(self, text: str) -> bytes | None:
         """The tokens of a text of plain characters; None if it isn't one."""
@@ -134,7 +156,7 @@ class Encoder:
         else:
             return None
         words.append("")  # for the mark at the end
-        return np.array(self.merges.encode_ordinary(END_MARK.join(words)), "<u2").tobytes()
+        return packed(self.merges.encode_ordinary(END_MARK.join(words)))
 
     def mixed(self, text: str) -> Iterator[bytes]:
         """The tokens of a text with other characters, in pieces: neighbouring plain runs together."""
@@ -145,7 +167,7 @@ class Encoder:
             else:
                 yield self.plain(" ".join(held)) or b""
                 held = []
-                yield np.array(self.library.encode(run, add_special_tokens=False).ids, "<u2").tobytes()
+                yield packed(self.library.encode(run, add_special_tokens=False).ids)
         yield self.plain(" ".join(held)) or b""
 
     @staticmethod
@@ -176,10 +198,8 @@ def checksum(ids: np.ndarray) -> int:
 def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct numbers of a short list and how often each comes, as 16-bit numbers."""
     ordered = np.sort(ids)
-    new = np.empty(len(ids), bool)
-    new[:1], new[1:] = True, ordered[1:] != ordered[:-1]
-    at = np.flatnonzero(new)
-    return ordered[at], np.diff(at, append=len(ids)).astype("<u2")
+    ends = np.append(np.flatnonzero(ordered[1:] != ordered[:-1]), len(ids) - 1)
+    return ordered[ends], np.diff(ends, prepend=-1).astype("<u2")
 
 
 #: Tokens of a signature.
@@ -191,7 +211,7 @@ def _ranks() -> np.ndarray:
     """Per hash of a signature the places of all token numbers: exponential races, in which rarer tokens run faster."""
     weights = np.log1p(np.arange(1 << 16)) + 1e-9
     times = -np.log(np.random.default_rng(20240229).random((SIGNATURE, 1 << 16))) / weights
-    return times.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+    return times.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable").astype(np.uint16)
 
 
 def signature(terms: np.ndarray) -> int:
@@ -210,9 +230,10 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, window: in
     ids holds the tokens of a rest, terms its distinct ones and times how often each comes (16 bits each); all three are
     null for a full window. place is a rest's signature; full windows have their checksums instead, which spread them.
     """
+    ranks = fast_ranks(tokenizer)
 
     def run(batches):
-        encoder, tail = encoder_of(tokenizer), np.array([end], "<u2").tobytes()
+        encoder, tail = encoder_of(tokenizer, ranks), np.array([end], "<u2").tobytes()
         for batch in batches:
             out, held = [], 0
             documents = (d for at in range(0, batch.num_rows, BLOCK) for d in _encoded(batch.slice(at, BLOCK), encoder))
@@ -269,6 +290,11 @@ class Index:
     weights: np.ndarray
     terms: list[np.ndarray]
 
+    @cached_property
+    def postings(self) -> np.ndarray:
+        """Owners and weights as one array of pairs, so that a list is one slice."""
+        return self.owners + 1j * self.weights
+
     @classmethod
     def build(cls, sizes: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean: float) -> Index:
         """sizes: the pieces' lengths; found: their distinct terms and how often each comes."""
@@ -289,15 +315,32 @@ class Index:
         before = np.concatenate(([0], np.cumsum(kept)))
         return Index(before[self.starts], self.owners[kept], self.weights[kept], self.terms)
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """The unused pieces by BM25 score for the seed's terms, best first."""
+    def scores(self, seed: int, pieces: int) -> np.ndarray:
+        """The BM25 scores of all pieces for the seed's terms."""
         terms = self.terms[seed]
-        a, b = self.starts[terms], self.starts[terms + 1]
-        sizes = b - a
-        at = np.repeat(a - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum()) if len(terms) else np.zeros(0, np.int64)
-        scores = np.bincount(self.owners[at], self.weights[at], len(unused))
-        among = np.flatnonzero(unused)
-        return among[np.argsort(-scores[among], kind="stable")]
+        if not len(terms):
+            return np.zeros(pieces)
+        found = np.concatenate([self.postings[a:b] for a, b in zip(self.starts[terms].tolist(), self.starts[terms + 1].tolist(), strict=True)])
+        return np.bincount(found.real.astype(np.int64), found.imag, pieces)
+
+    def neighbours(self, seed: int, unused: np.ndarray, first: int | None = None) -> np.ndarray:
+        """The unused pieces by BM25 score for the seed's terms, best first; the first ones and those that tie with them."""
+        scores, among = self.scores(seed, len(unused)), np.flatnonzero(unused)
+        found = scores[among]
+        if first is not None and first < len(found):
+            kept = found >= np.partition(found, len(found) - first)[len(found) - first]
+            among, found = among[kept], found[kept]
+        return among[np.argsort(-found, kind="stable")]
+
+
+#: Neighbours that a window is filled from before all others are put in order.
+FIRST = 48
+
+
+def _in_turn(index: Index, seed: int, unused: np.ndarray) -> Iterator[int]:
+    """neighbours() one by one; what comes first is used up by then."""
+    yield from index.neighbours(seed, unused, FIRST).tolist()
+    yield from index.neighbours(seed, unused).tolist()
 
 
 def fill(sizes: np.ndarray, index: Index, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
@@ -321,7 +364,7 @@ def fill(sizes: np.ndarray, index: Index, window: int = WINDOW) -> Iterator[tupl
         unused[seed], rest = False, None
         offset = int(sizes[seed]) - done
         yield sequence, seed, done, offset, 0
-        for piece in index.neighbours(seed, unused).tolist() if offset < window else ():
+        for piece in _in_turn(index, seed, unused) if offset < window else ():
             take = min(int(sizes[piece]), window - offset)
             yield sequence, piece, 0, take, offset
             unused[piece], offset = False, offset + take
@@ -370,8 +413,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
         """Shards of a partition's buckets, which come one after the other, each in order."""
         held, bucket, number = [], None, 0
         for batch in batches:
-            rows = batch.to_pylist()
-            for r in rows:
+            columns = batch.schema.names
+            for r in (dict(zip(columns, values, strict=True)) for values in zip(*map(pa.Array.to_pylist, batch.columns), strict=True)):
                 if r["bucket"] != bucket or len(held) == shard_pieces:
                     if held:
                         yield shard(held, bucket << 40 | number << 16)
