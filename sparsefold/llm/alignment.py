@@ -237,6 +237,14 @@ def aligner_of(path_a: str, path_b: str) -> Aligner:
 DOC_COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256")
 
 
+BLOCK_TYPES = (
+    *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups")],
+    ("groups_sha256", pa.string()),
+    ("key", pa.binary()),
+    *[(c, pa.list_(pa.int32())) for c in ("docs", "times")],
+)
+
+
 class Block:
     """Documents of one task, until their lists are written."""
 
@@ -291,7 +299,7 @@ def blocks(df: DataFrame, id_col: str, text_col: str, path_a: str, path_b: str,
         aligner, number, block = aligner_of(path_a, path_b), TaskContext.get().partitionId() << 32, None
         schema = None
         for batch in batches:
-            schema = schema or pa.schema([("block", pa.int64()), ("doc", pa.int32()), ("doc_id", batch.schema.field(0).type), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups_sha256", pa.string()), ("key", pa.binary()), ("docs", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
+            schema = schema or pa.schema([("block", pa.int64()), ("doc", pa.int32()), ("doc_id", batch.schema.field(0).type), *BLOCK_TYPES])
             for at in range(0, batch.num_rows, 200):
                 some = batch.slice(at, 200)
                 if len(aligner.texts) > MEMO and block is None:

@@ -330,7 +330,16 @@ def rooted(roots: DataFrame, fanout: int = FANOUT, bucket_leaves: int = BUCKET_L
     return build(leaves, [F.col("_named").cast("bigint"), *prefix], ("_named", "name"), fanout, bucket_leaves, merge)
 
 
-def manifest(df: DataFrame, fields: tuple[str, ...] = FIELDS, group_col: str = "lang", id_col: str = "doc_id", claimed: dict[str, Column] | None = None, fanout: int = FANOUT, bucket_leaves: int = BUCKET_LEAVES, merge: int = MERGE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def manifest(
+    df: DataFrame,
+    fields: tuple[str, ...] = FIELDS,
+    group_col: str = "lang",
+    id_col: str = "doc_id",
+    claimed: dict[str, Column] | None = None,
+    fanout: int = FANOUT,
+    bucket_leaves: int = BUCKET_LEAVES,
+    merge: int = MERGE,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(leaves, nodes, roots). leaves: id_col, claim, leaf, grp, idx, path, subroot and root, where claim is the leaf of the
     row with the values of claimed in place of its own. nodes: the node records of all groups. roots: of the groups."""
     changed = {c: (claimed or {}).get(c, F.col(c)) for c in fields}
