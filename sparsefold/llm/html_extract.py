@@ -244,11 +244,13 @@ def features(page: Page) -> list[list[float]]:
 
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: The difference of log-probabilities up to which a heading's own score is no proof.
+UNSURE = 3.0
 
 
 def with_headings(page: Page, scores: np.ndarray) -> np.ndarray:
     """Scores in which a heading, or a block of nothing but one, leans on what it heads: the more inside one of the next two
-    siblings that have text. A heading says little alone."""
+    siblings that have text, unless its own scores are clear."""
     n = len(page.tag)
     chars, children, below = page.chars[:], [0] * n, [0] * n
     for i in range(n - 1, 0, -1):
@@ -263,7 +265,8 @@ def with_headings(page: Page, scores: np.ndarray) -> np.ndarray:
         if heads and ahead:
             headed = max(ahead[-2:], key=lambda k: scores[k, IN])
             for k in {i, below[i]} if children[i] == 1 else {i}:
-                out[k, [IN, OUT]] = (scores[k, [IN, OUT]] + 2 * scores[headed, [IN, OUT]]) / 3
+                if abs(scores[k, IN] - scores[k, OUT]) <= UNSURE:
+                    out[k, [IN, OUT]] = (scores[k, [IN, OUT]] + 2 * scores[headed, [IN, OUT]]) / 3
         if chars[i] and not heads:
             ahead.append(i)
     return out
@@ -305,7 +308,9 @@ def extract(sources: list[str | None], model: boosting.Boosted) -> list[str]:
         pages = [parse(s or "") for s in sources[at : at + BLOCK]]
         scores = model.log_probabilities(np.array([row for p in pages for row in features(p)]))
         ends = np.cumsum([len(p.tag) for p in pages])
-        texts += [text_of(p, decode(p.parent, with_headings(p, s))) for p, s in zip(pages, np.split(scores, ends[:-1]), strict=True)]
+        for p, s in zip(pages, np.split(scores, ends[:-1]), strict=True):
+            # a page without block elements is all text
+            texts.append(text_of(p, decode(p.parent, with_headings(p, s)) if len(p.tag) > 1 else [IN]))
     return texts
 
 
@@ -320,7 +325,7 @@ def trained(training_pages: int = 1500, seed: int = 11) -> boosting.Boosted:
         rows += features(page)
         states += known_states(page)
     x, y = np.array(rows), np.array(states)
-    return boosting.fit(x[y >= 0], y[y >= 0], classes=3, trees=60, rate=0.2, share=0.4)
+    return boosting.fit(x[y >= 0], y[y >= 0], classes=3, trees=80, rate=0.2, share=0.35)
 
 
 def known_states(page: Page) -> list[int]:

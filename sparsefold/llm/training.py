@@ -106,9 +106,8 @@ class _Pages:
             lambda: self.tag("div", self.made_up(), out, "<label>" + self.sentence(1, 3) + "</label><input name=q><button>Go</button>"),
             lambda: self.tag(small, self.made_up(), out, self.link() + r.choice((" &gt; ", " &raquo; ", " / ")) + self.link() + r.choice((" &gt; ", " &raquo; ")) + self.words(r.randint(1, 4))),
         ]
-        kinds += [self.remarks, self.remarks, self.request]
+        kinds += [self.remarks, self.request]
         if edge:
-            kinds += [self.request, self.request]
             kinds += [
                 lambda: self.tag(small, self.made_up(), out, r.choice(("&copy; ", "Copyright ", "&copy; 20%02d " % r.randint(0, 30))) + self.sentence(1, 8)),
                 lambda: self.tag(small, self.made_up(), out, r.choice((" | ", " - ", " &middot; ")).join(self.words(r.randint(1, 2)) for _ in range(r.randint(2, 5)))),
@@ -146,7 +145,7 @@ class _Pages:
 
     def article(self, plain: bool = False) -> str:
         r = self.r
-        boxed = r.random() < 0.35  # headings in wrappers of their own, paragraphs as plain blocks with made-up names
+        boxed = r.random() < 0.2  # headings in wrappers of their own, paragraphs as plain blocks with made-up names
         hashed = f"p{r.randint(1, 999)}" if r.random() < 0.7 else ""
 
         def head(name: str, classes: str, low: int, high: int) -> str:

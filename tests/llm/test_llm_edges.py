@@ -68,3 +68,64 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
 
     docs(spark, True).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_values_of_odd_rows(spark):
+    """What null texts, null ids, wordless and repeated rows come to, row by row."""
+    import hashlib
+    import zlib
+
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    rows = [(r["doc_id"], r["text"]) for r in docs(spark).collect()]
+    d = docs(spark)
+    words = [(i, (t or "").split()) for i, t in rows]
+    got = sorted(((r["doc_id"], r["n_words"], r["word_chars"], r["base_failed"], r["kept"]) for r in quality_rules.quality_report(d).collect()), key=str)
+    assert got == sorted(((i, len(w), sum(map(len, w)), True, False) for i, w in words), key=str)  # few words, or one repeated
+    shards = sharding.feistel_shards(d, shards=4).collect()
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in shards) == sorted((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    held = [sorted(r["slot"] for r in shards if r["shard"] == k) for k in range(4)]
+    assert sorted(map(len, held)) == [2, 3, 3, 3] and all(s == list(range(len(s))) for s in held)
+    near = simhash.near_duplicates(d).collect()
+    roots = {}
+    for r in near:
+        roots.setdefault(r["_root"], []).append(r)
+    by_text = {}
+    for i, t in rows:
+        by_text.setdefault(" ".join((t or "").lower().split()), []).append(i)
+    assert sorted(str(sorted(map(str, (r["_id"] for r in g)))) for g in roots.values()) == sorted(str(sorted(map(str, g))) for g in by_text.values())
+    assert all(r["_print"] == 0 for r in near if r["_id"] in (2, 3, 6))
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in token_counts.token_counts(d).collect()) == sorted((str(i), len((t or "").encode()), len(lib.encode(t or ""))) for i, t in rows)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sizes = sorted((str(i), len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows)
+    pieces = packing.pack(d).collect()
+    whole = {}
+    for r in pieces:
+        whole.setdefault((str(r["doc_id"]), r["doc_tokens"]), []).append(r["length"])
+    assert sorted((k, sum(v)) for k, v in whole.items()) == sorted(((i, n), n * sizes.count((i, n))) for i, n in set(sizes))
+    kept = sorted(str(r["doc_id"]) for r in simhash.near_dedup(d).collect())
+    assert kept == sorted(str(min((i for i in g if i is not None), default=None)) for g in by_text.values())
+    assert {str(r["id"]) for r in mixing.schedule(d).collect()} == {str(i) for i, _ in rows}
+    p = {(r["page_id"], r["text"], r["n_chars"]) for r in html_extract.main_texts(pages(spark), training_pages=80).collect() if r["page_id"] in (None, 2)}
+    assert p == {(None, "", 0), (2, "", 0)}
+    assert hashlib.sha256(b"").hexdigest() in {r["payload_digest"] for r in _read_back(spark)}
+
+
+def _read_back(spark):
+    import tempfile
+
+    path = tempfile.mkdtemp(prefix="sparsefold-edges-") + "/w"
+    warc.write_archives(pages(spark), path)
+    return warc.read_archives(spark, path).collect()
+
+
+def test_new_operators_count_every_row(spark):
+    from sparsefold.llm import alignment, credentials, merkle
+
+    for empty in (False, True):
+        d = docs(spark, empty)
+        n = d.count()
+        assert merkle.manifest(d)[0].count() == credentials.credential_links(d).count() == alignment.align(d)[0].count() == n

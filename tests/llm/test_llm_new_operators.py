@@ -59,7 +59,7 @@ def _manifest(data, fanout):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("fanout", "bucket", "merge"), [(2, 7, 2), (3, 5, 3), (16, 40, 2), (2, 100_000, 64)])
+@pytest.mark.parametrize(("fanout", "bucket", "merge"), [(2, 9, 3), (3, 20, 64), (2, 100_000, 64)])
 def test_manifest_of_unaligned_buckets(spark, fanout, bucket, merge):
     r = random.Random(fanout)
     langs = [None, "", "en", "de", "é", "zz"] + ["en"] * 6
@@ -141,7 +141,7 @@ PIECES = [
 ]
 
 
-@pytest.mark.parametrize("reach", [0, 25, 400])
+@pytest.mark.parametrize("reach", [0, 25])
 def test_links_against_all_pairs(spark, reach):
     r = random.Random(reach)
     texts = [None, "", "x", *PIECES] + ["".join(r.choice(PIECES) for _ in range(r.randint(1, 14))) for _ in range(300)] + ["".join(r.choice(PIECES) for _ in range(4000))]
@@ -248,7 +248,7 @@ def test_alignment_query(spark, sf_dir):
     assert sorted((r["doc_id"], *(r[c] for c in NAMES)) for r in out) == [(i, *x) for (i, _), x in zip(docs, _aligned([t for _, t in docs]), strict=True)]
 
 
-@pytest.mark.parametrize("block", [1, 50, 1_000_000])
+@pytest.mark.parametrize("block", [1, 1_000_000])
 def test_alignment_of_odd_texts(spark, block):
     r = random.Random(5)
     pieces = ["a", " ", "  ", "   b", "\n", "\n\n", " \n", "\t", " ", "▁", "'s", "don't", "1234", "²", "².", "漢字", "🙂", "<|endoftext|>", "</s>", "<0x41>", "é", "é", "aaaaaaa", "====", "----", " the", "\x00", "ẞ", "\x1c x", "Ⅷ", "　"]
@@ -264,3 +264,21 @@ def test_alignment_of_few_rows(spark):
     assert alignment.align(frame(spark, []))[0].count() == 0
     out = alignment.align(frame(spark, [(None, "a b", "en", "s", 0), (None, "a b", "en", "s", 0), (1, None, "en", "s", 0)]))[0].collect()
     assert sorted(str(tuple(x[c] for c in ("doc_id", "n_a", "count_sum"))) for x in out) == ["(1, 0, 0)", "(None, 2, 4)", "(None, 2, 4)"]
+
+
+def test_second_library_is_sure():
+    """Numbers stand in the order of merges and every token gives itself, from which the libraries' results are the same."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(alignment.MODEL_A)
+    lib, entries = alignment.load_a(path)
+    assert alignment.in_merge_order(path)
+    chars = {b: c for c, b in alignment.byte_of_char().items()}
+    pieces = ["".join(chars[b] for b in e) for e in entries]
+    assert all(x.ids == [i] for i, x in enumerate(Tokenizer(lib.model).encode_batch_fast(pieces)))
+    known = alignment.Aligner(path, public_tokenizers.path(alignment.MODEL_B))
+    r = random.Random(2)
+    units = [" " + "".join(r.choice("etaoinshrdluéèßñ.,'0123-_") for _ in range(r.randint(1, 16))) for _ in range(5000)]
+    ids = [i for x in lib.encode_batch(units, add_special_tokens=False) for i in x.ids]
+    assert known.encode_a(units).tolist() == ids
