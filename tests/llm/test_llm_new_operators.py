@@ -220,9 +220,15 @@ def _aligned(texts):
                 at += len(p)
             spans.append(out)
         cuts = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
-        groups = []
-        for start, end in zip([0, *cuts], cuts, strict=False):
-            groups.append("|".join(",".join(str(i) for i, (s, _) in zip(ids, sp, strict=True) if start <= s < end) for ids, sp in zip((ids_a, ids_b), spans, strict=True)))
+        groups, at = [], [0, 0]
+        for end in cuts:
+            sides = []
+            for side, ids in enumerate((ids_a, ids_b)):
+                first = at[side]
+                while at[side] < len(ids) and spans[side][at[side]][0] < end:
+                    at[side] += 1
+                sides.append(",".join(map(str, ids[first : at[side]])))
+            groups.append("|".join(sides))
         linked, j = [], 0
         for i, (s, e) in zip(ids_a, spans[0], strict=True):
             while spans[1][j][1] <= s:
