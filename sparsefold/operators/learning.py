@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +13,28 @@ from pyspark.sql import functions as F
 from sparsefold.operators.ranking import lot
 
 
-def per_observation(x: DataFrame, item: Callable, schema: str) -> DataFrame:
-    """item(pandas rows of one observation) -> pandas rows, for each observation; schema is that of its result."""
-    return x.groupBy("soma_dim_0").applyInPandas(item, schema)
+def per_observation(x: DataFrame, items: Callable, schema: str) -> DataFrame:
+    """items(pandas rows of whole observations, one after the other) -> pandas rows; schema is that of its result.
+
+    A call gets as many observations as a batch holds, since a call for each costs far more than its few values. The rows of
+    an observation stay together: those of a batch's last one wait for the next batch.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for rows in batches:
+            if rows.empty:
+                continue
+            ids = rows["soma_dim_0"].to_numpy()
+            cut = int(np.searchsorted(ids, ids[-1]))
+            if cut:
+                yield items(pd.concat([*held, rows.iloc[:cut]], ignore_index=True))
+                held = []
+            held.append(rows.iloc[cut:])
+        if held:
+            yield items(pd.concat(held, ignore_index=True))
+
+    return x.repartition("soma_dim_0").sortWithinPartitions("soma_dim_0").mapInPandas(run, schema)
 
 
 def split(df: DataFrame, test_share: float, id_col: str = "soma_joinid", seed: int = 0) -> DataFrame:

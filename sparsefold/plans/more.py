@@ -156,10 +156,10 @@ def train_test_split(spark, d):
 
 @query("SELECT soma_dim_0, count(*) AS n, max(soma_data) AS top FROM x GROUP BY 1")
 def dataset_builder(spark, d):
-    def item(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"soma_dim_0": [rows["soma_dim_0"].iloc[0]], "n": [len(rows)], "top": [rows["soma_data"].max()]})
+    def items(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.groupby("soma_dim_0", sort=False, as_index=False).agg(n=("soma_data", "size"), top=("soma_data", "max"))
 
-    return learning.per_observation(fx.x(spark, d), item, "soma_dim_0 bigint, n bigint, top double")
+    return learning.per_observation(fx.x(spark, d), items, "soma_dim_0 bigint, n bigint, top double")
 
 
 @query("SELECT dataset_id, 's3://corpus/h5ads/' || CAST(dataset_id AS VARCHAR) || '.h5ad' AS uri FROM obs GROUP BY 1")
