@@ -1,6 +1,8 @@
 """What failed on larger tables, on fixtures that show it when small."""
 
-from sparsefold.operators import learning
+from pyspark.sql import functions as F
+
+from sparsefold.operators import learning, ontology
 
 
 def test_observations_come_many_to_a_call(spark):
@@ -19,3 +21,13 @@ def test_observations_come_many_to_a_call(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert {r["soma_dim_0"]: r["n"] for r in found} == {i: 1 + i % 5 for i in range(3000)} | {5000: 900} and len(found) == 3001
     assert sum(r["calls"] for r in found) < 100
+
+
+def test_terms_beyond_the_rows_of_a_recursive_query(spark):
+    edge = lambda df, term, parent: df.select(F.concat(F.lit("t"), term).alias("term"), F.concat(F.lit("t"), parent).alias("parent"), F.lit("is_a").alias("kind"))
+    chain = edge(spark.range(1, 10), F.col("id"), F.col("id") - 1)
+    edges = chain.unionByName(edge(spark.range(10, 110_000), F.col("id"), F.lit(9)))  # 1.1 million pairs
+    curated = spark.createDataFrame([("t3", 1), ("t7", 2)], "ancestor string, priority int")
+    found = ontology.high_level_terms(edges.select("term"), edges, curated, "t0").groupBy("general", "top").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sorted((r["general"], r["top"], r["n"]) for r in found) == sorted([([], None, 2), (["t3"], "t3", 4), (["t3", "t7"], "t3", 109_993)], key=lambda x: x[0])
+    assert {r["ancestor"]: r["distance"] for r in ontology.typed_ancestors(chain).filter("term = 't9'").collect()} == {f"t{i}": 9 - i for i in range(10)}
