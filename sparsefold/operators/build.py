@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparsefold.operators.places import placed
+
 
 def conform(df: DataFrame, fields: dict[str, str]) -> DataFrame:
     """The named columns with their types, in order; missing ones are null. Raises for a column that can't be cast."""
@@ -76,10 +78,16 @@ def spans(obs: DataFrame) -> DataFrame:
 
 
 def scene_points(locations: DataFrame, obs: DataFrame) -> DataFrame:
-    """scene_id, soma_joinid, y, x, radius from locations (dataset_id, row, y, x, spot_diameter), matched by row in the dataset."""
-    numbered = obs.withColumn("row", F.row_number().over(Window.partitionBy("dataset_id").orderBy("soma_joinid")).cast("bigint") - 1)
+    """scene_id, soma_joinid, y, x, radius from locations (dataset_id, row, y, x, spot_diameter), matched by row in the dataset.
+
+    A row is its place among all observations less that of its dataset's first one, so no task numbers a whole dataset. Both
+    sides are as long as the corpus, which Spark can't tell of locations that a few rows were exploded into: neither is broadcast.
+    """
+    ordered = placed(obs.select("dataset_id", "soma_joinid"), ["dataset_id", "soma_joinid"])
+    first = ordered.groupBy("dataset_id").agg(F.min("place").alias("_first"))
+    numbered = ordered.join(first, "dataset_id").select("dataset_id", (F.col("place") - F.col("_first")).alias("row"), "soma_joinid")
     radius = F.coalesce(F.col("spot_diameter") / 2, F.lit(2.0))
-    return locations.join(numbered.select("dataset_id", "row", "soma_joinid"), ["dataset_id", "row"]).select(F.col("dataset_id").alias("scene_id"), "soma_joinid", "y", "x", radius.alias("radius"))
+    return locations.hint("merge").join(numbered.hint("merge"), ["dataset_id", "row"]).select(F.col("dataset_id").alias("scene_id"), "soma_joinid", "y", "x", radius.alias("radius"))
 
 
 def spatial_presence(obs: DataFrame) -> DataFrame:

@@ -347,12 +347,17 @@ def prune_unused(spark, d):
     return build.prune_unused(sets, fx.table(spark, d, "orders").select(F.col("o_custkey").alias("dataset_id")))
 
 
+#: Places that are made from one row.
+_PLACES = 1 << 16
+
+
 @query("SELECT dataset_id AS scene_id, soma_joinid, CAST(n AS DOUBLE) AS y, CAST(n * 2 AS DOUBLE) AS x, CASE WHEN n % 2 = 0 THEN n / 2 ELSE 2.0 END AS radius FROM (SELECT dataset_id, soma_joinid, row_number() OVER (PARTITION BY dataset_id ORDER BY soma_joinid) - 1 AS n FROM obs)")
 def scene_locations(spark, d):
     """A made-up place for each observation of a dataset."""
     n = F.col("row")
     sizes = fx.obs(spark, d).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
-    places = sizes.select("dataset_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("row"))
+    blocks = sizes.select("dataset_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {_PLACES}"))).alias("b")).repartition("dataset_id", "b")
+    places = blocks.select("dataset_id", F.explode(F.sequence(F.col("b") * _PLACES, F.least(F.col("n"), (F.col("b") + 1) * _PLACES) - 1)).alias("row"))
     places = places.withColumns({"y": n.cast("double"), "x": (n * 2).cast("double"), "spot_diameter": F.when(n % 2 == 0, n.cast("double"))})
     return build.scene_points(places, fx.obs(spark, d))
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sparsefold.operators import learning, ontology
+from sparsefold.operators import build, learning, ontology
 
 
 def test_observations_come_many_to_a_call(spark):
@@ -31,3 +31,14 @@ def test_terms_beyond_the_rows_of_a_recursive_query(spark):
     found = ontology.high_level_terms(edges.select("term"), edges, curated, "t0").groupBy("general", "top").agg(F.count(F.lit(1)).alias("n")).collect()
     assert sorted((r["general"], r["top"], r["n"]) for r in found) == sorted([([], None, 2), (["t3"], "t3", 4), (["t3", "t7"], "t3", 109_993)], key=lambda x: x[0])
     assert {r["ancestor"]: r["distance"] for r in ontology.typed_ancestors(chain).filter("term = 't9'").collect()} == {f"t{i}": 9 - i for i in range(10)}
+
+
+def test_scenes_are_neither_broadcast_nor_numbered_whole(spark):
+    obs = spark.range(1000).select((F.col("id") * 3).alias("soma_joinid"), (F.col("id") % 2).alias("dataset_id"))
+    sizes = obs.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = sizes.select("dataset_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("row"))
+    places = rows.select("*", F.col("row").cast("double").alias("y"), F.lit(0.0).alias("x"), F.lit(None).cast("double").alias("spot_diameter"))
+    found = build.scene_points(places, obs)
+    assert sorted((r["scene_id"], r["soma_joinid"], r["y"]) for r in found.collect()) == sorted((i % 2, i * 3, float(i // 2)) for i in range(1000))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.split("SortMergeJoin", 1)[1] and "BroadcastHashJoin" not in plan.split("SortMergeJoin", 1)[0]
