@@ -23,6 +23,8 @@ NAME = "sparsefold_embedding"
 BLOCK = 1024
 #: The range of the numbers.
 LOW, WIDTH = -0.1, 2.0
+#: The lowest number that is inside the range; the one that is nearest to LOW lies below it.
+LOWEST = np.float32(LOW) if float(np.float32(LOW)) >= LOW else np.nextafter(np.float32(LOW), np.float32(np.inf))
 
 
 @dataclass
@@ -34,7 +36,7 @@ class Blocks(InputPartition):
 def block(seed: int, number: int, dimensions: int) -> np.ndarray:
     """The rows of one block."""
     draw = np.random.Generator(np.random.Philox(key=seed, counter=[0, 0, number, 0]))
-    return (WIDTH * draw.random((BLOCK, dimensions), dtype=np.float32) + np.float32(LOW)).astype(np.float32)
+    return np.maximum((WIDTH * draw.random((BLOCK, dimensions), dtype=np.float32) + np.float32(LOW)).astype(np.float32), LOWEST)
 
 
 class EmbeddingReader(DataSourceReader):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparsefold.operators import build, learning, ontology
+from sparsefold.sources import generated
 
 
 def test_observations_come_many_to_a_call(spark):
@@ -42,3 +43,8 @@ def test_scenes_are_neither_broadcast_nor_numbered_whole(spark):
     assert sorted((r["scene_id"], r["soma_joinid"], r["y"]) for r in found.collect()) == sorted((i % 2, i * 3, float(i // 2)) for i in range(1000))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.split("SortMergeJoin", 1)[1] and "BroadcastHashJoin" not in plan.split("SortMergeJoin", 1)[0]
+
+
+def test_generated_numbers_are_inside_their_range():
+    values = generated.block(5, 6, 8192)  # eight million draws, one of which is 0
+    assert float(values.min()) >= generated.LOW and float(values.max()) < generated.LOW + generated.WIDTH
