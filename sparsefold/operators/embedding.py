@@ -15,6 +15,8 @@ SIDE_BYTES = 64 << 20
 PAIRS = 48
 #: Distances that are held at a time: 16 MB.
 CELLS = 1 << 21
+#: Parts over which the rows of one list are dealt.
+SPREAD = 16
 
 
 def lookup(requested: DataFrame, embeddings: DataFrame, dimensions: int) -> DataFrame:
@@ -23,20 +25,24 @@ def lookup(requested: DataFrame, embeddings: DataFrame, dimensions: int) -> Data
     return requested.join(embeddings, "id", "left").select("pos", "id", F.coalesce("vector", nothing).alias("vector"))
 
 
-def _closest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """The k nearest rows of every query by (exact distance, id): query_ids, ids and distances.
-
-    Products of matrices give each distance with a bound of its rounding error. Every row that may be among the k nearest
-    within those bounds is measured exactly, however many there are.
-    """
+def _some_of_equals(ids: np.ndarray, vectors: np.ndarray, lists: np.ndarray, k: int):
+    """Rows by id, as doubles, with their lists; of equal vectors of a list only the k smallest ids, as no others can be among the nearest."""
     order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
-    # of equal vectors only the k smallest ids can be among the nearest
+    ids, vectors, lists = ids[order], vectors[order], lists[order]
     _, group = np.unique(np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel(), return_inverse=True)
+    group = group.ravel() * (int(lists.max(initial=0)) + 1) + lists
     by_group = np.argsort(group, kind="stable")
     first = np.searchsorted(group[by_group], group[by_group])
     keep = np.sort(by_group[np.arange(len(ids)) - first < k])
-    ids, vectors = ids[keep], vectors[keep].astype(float)
+    return ids[keep], vectors[keep].astype(float), lists[keep]
+
+
+def _closest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, allowed: np.ndarray | None = None):
+    """The k nearest rows (by ascending id) of every query by (exact distance, id): query_ids, ids and distances.
+
+    Products of matrices give each distance with a bound of its rounding error. Every row that may be among the k nearest
+    within those bounds is measured exactly, however many there are. allowed (queries x rows) leaves out the others.
+    """
     sizes, bound = (vectors**2).sum(axis=1), 8 * (vectors.shape[1] + 8) * np.finfo(float).eps
     m, step = min(k, len(ids)), max(1, CELLS // len(ids))
     out = []
@@ -45,24 +51,53 @@ def _closest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, querie
             some = queries[at : at + step]
             both = (some**2).sum(axis=1)[:, None] + sizes[None]
             near, error = both - 2 * some @ vectors.T, bound * both
-            limit = np.partition(near + error, m - 1, axis=1)[:, m - 1 : m]
+            high = near + error if allowed is None else np.where(allowed[at : at + step], near + error, np.inf)
+            limit = np.partition(high, m - 1, axis=1)[:, m - 1 : m]
             possible = ~(near - error > limit)  # what isn't a number is measured as well
+            if allowed is not None:
+                possible &= allowed[at : at + step]
             for query_id, q, row in zip(query_ids[at : at + step], some, possible, strict=True):
                 found = np.flatnonzero(row)
                 exact = np.sqrt(((vectors[found] - q) ** 2).sum(axis=1))
                 best = np.lexsort((ids[found], exact))[:m]
-                out.append((np.repeat(query_id, m), ids[found[best]], exact[best]))
+                out.append((np.repeat(query_id, len(best)), ids[found[best]], exact[best]))
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
+def probed(queries: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
+    """Queries x lists: whether a list is among a query's probes nearest."""
+    d = (queries**2).sum(axis=1)[:, None] + (centroids**2).sum(axis=1)[None] - 2 * queries @ centroids.T
+    out = np.zeros(d.shape, bool)
+    np.put_along_axis(out, np.argsort(d, axis=1, kind="stable")[:, :probes], True, axis=1)
+    return out
+
+
+def _closest_probed(ids: np.ndarray, vectors: np.ndarray, lists: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, centroids: np.ndarray, probes: int):
+    """_closest() among the rows of each query's lists. Queries of one nearest list come together, so that few rows are compared in vain."""
+    step = max(1, min(256, CELLS // len(centroids)))
+    home = [((c**2).sum(axis=1)[:, None] - 2 * c @ centroids.T + (centroids**2).sum(axis=1)[None]).argmin(axis=1) for c in (queries[i : i + step] for i in range(0, len(queries), step))]
+    order = np.argsort(np.concatenate(home), kind="stable")
+    out = [(query_ids[:0], ids[:0], np.zeros(0))]
+    for at in range(0, len(order), step):
+        some = order[at : at + step]
+        mask = probed(queries[some], centroids, probes)
+        used = np.flatnonzero(mask.any(axis=0)[lists])
+        if len(used):
+            rows = slice(None) if len(used) == len(ids) else used
+            out.append(_closest(ids[rows], vectors[rows], query_ids[some], queries[some], k, None if mask.all() else mask[:, lists[rows]]))
     return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
-def nearest(queries: DataFrame, embeddings: DataFrame, k: int = 10) -> DataFrame:
+def nearest(queries: DataFrame, embeddings: DataFrame, k: int = 10, centroids: np.ndarray | None = None, probes: int = 0) -> DataFrame:
     """query_id, id, distance, place: the k nearest rows of each query by Euclidean distance, exact; ties go by id.
 
-    Rows are dealt to parts and queries to blocks by hashes of their ids; each task compares one block with one part and
-    returns k a query at most. A row is copied once a block and a query once a part, so both are as large as memory
-    allows. Nothing passes through the driver but two counts and a length.
+    With centroids only rows of the query's probes nearest lists count; embeddings then have a column list.
+
+    Rows are dealt to parts and queries to blocks by hashes of their ids (rows of one list to SPREAD parts at most); each task
+    compares one block with one part and returns k a query at most. A row is copied once a block and a query once a part, so
+    both are as large as memory allows. Nothing passes through the driver but two counts and a length.
     """
-    rows, asked = embeddings.select("id", "vector"), queries.select("query_id", "vector")
+    rows, asked = embeddings.select("id", "vector", F.lit(0).alias("list") if centroids is None else "list"), queries.select("query_id", "vector")
     count = F.count(F.lit(1)).alias("n")
     n_asked, (n_rows, length) = asked.agg(count).first()["n"], rows.agg(count, F.max(F.size("vector"))).first()
     most = max(1000, SIDE_BYTES // (8 * max(1, length or 1)))
@@ -70,7 +105,7 @@ def nearest(queries: DataFrame, embeddings: DataFrame, k: int = 10) -> DataFrame
     parts = max(math.ceil(n_rows / most), math.ceil(PAIRS / blocks))
 
     def grid(df, key, own, n, other, m):
-        dealt = df.withColumns({own: F.pmod(F.xxhash64(key), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
+        dealt = df.withColumns({own: F.pmod(key, F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
         return dealt.groupBy("_part", "_block")
 
     def run(left, right):
@@ -78,10 +113,13 @@ def nearest(queries: DataFrame, embeddings: DataFrame, k: int = 10) -> DataFrame
             found = [[], [], []]
         else:
             (ids, vectors), (query_ids, wanted) = ((t.column(0).to_numpy(), np.stack(t.column(1).to_numpy())) for t in (left, right))
-            found = _closest(ids, vectors, query_ids, wanted.astype(float), k)
+            ids, vectors, lists = _some_of_equals(ids, vectors, left.column(2).to_numpy(), k)
+            wanted = wanted.astype(float)
+            found = _closest(ids, vectors, query_ids, wanted, k) if centroids is None else _closest_probed(ids, vectors, lists, query_ids, wanted, k, centroids, probes)
         return pa.table([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "id", "distance"])
 
-    pairs = grid(rows, "id", "_part", parts, "_block", blocks).cogroup(grid(asked, "query_id", "_block", blocks, "_part", parts))
+    row_key = F.xxhash64("id") if centroids is None else F.xxhash64("list", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
+    pairs = grid(rows, row_key, "_part", parts, "_block", blocks).cogroup(grid(asked, F.xxhash64("query_id"), "_block", blocks, "_part", parts))
     found = pairs.applyInArrow(run, "query_id bigint, id bigint, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
@@ -110,7 +148,7 @@ def assign(embeddings: DataFrame, centroids: np.ndarray, probes: int = 1) -> Dat
                 continue
             v = np.stack(batch.column(names.index("vector")).to_numpy(zero_copy_only=False)).astype(float)
             d = (v**2).sum(axis=1)[:, None] + (centroids**2).sum(axis=1)[None] - 2 * v @ centroids.T
-            at = np.argsort(d, axis=1, kind="stable")[:, :probes]
+            at = d.argmin(axis=1)[:, None] if probes == 1 else np.argsort(d, axis=1, kind="stable")[:, :probes]
             again = pa.array(np.repeat(np.arange(batch.num_rows), at.shape[1]))
             yield pa.RecordBatch.from_arrays([*[c.take(again) for c in batch.columns], pa.array(at.ravel().astype(np.int32))], [*names, "list"])
 
@@ -131,12 +169,8 @@ def calibrated_probes(queries: DataFrame, embeddings: DataFrame, centroids: np.n
 
 
 def nearest_ivf(queries: DataFrame, embeddings: DataFrame, centroids: np.ndarray, k: int = 10, probes: int = 8) -> DataFrame:
-    """nearest() among the rows of each query's probes nearest lists: an equi-join on the list, then a top k."""
-    lists = assign(embeddings.select("id", "vector"), centroids)
-    asked = assign(queries.select("query_id", "vector"), centroids, probes).select("query_id", F.col("vector").alias("q"), "list")
-    distance = F.sqrt(F.aggregate(F.zip_with("q", "vector", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x))
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return asked.join(lists, "list").select("query_id", "id", distance.alias("distance")).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    """nearest() among the rows of each query's probes nearest lists."""
+    return nearest(queries, assign(embeddings.select("id", "vector"), centroids), k, centroids, probes)
 
 
 def predict(neighbours: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """What failed on larger tables, on fixtures that show it when small."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from sparsefold.operators import build, learning, ontology
+from sparsefold.operators import build, embedding, learning, ontology
 from sparsefold.sources import generated
 
 
@@ -48,3 +50,23 @@ def test_scenes_are_neither_broadcast_nor_numbered_whole(spark):
 def test_generated_numbers_are_inside_their_range():
     values = generated.block(5, 6, 8192)  # eight million draws, one of which is 0
     assert float(values.min()) >= generated.LOW and float(values.max()) < generated.LOW + generated.WIDTH
+
+
+@pytest.mark.parametrize("probes", [1, 3, 9, 20])
+def test_rows_of_probed_lists_by_products_of_matrices(spark, probes):
+    r = np.random.default_rng(4)
+    v, centroids = r.normal(size=(700, 8)).astype(np.float32), r.normal(size=(20, 8))
+    v[300:400] = v[299]  # copies, of which the smallest ids count
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<float>")
+    asked = rows.filter("id % 7 = 0").withColumnRenamed("id", "query_id")
+    out = embedding.nearest_ivf(asked, rows, centroids, 10, probes)
+    v = v.astype(float)
+    near = ((v[:, None] - centroids[None]) ** 2).sum(axis=2)
+    found = {}
+    for x in out.orderBy("query_id", "place").collect():
+        found.setdefault(x["query_id"], []).append(x["id"])
+    for q in range(0, 700, 7):
+        ids = np.flatnonzero(np.isin(near.argmin(axis=1), np.argsort(near[q])[:probes]))
+        assert found[q] == ids[np.lexsort((ids, ((v[ids] - v[q]) ** 2).sum(axis=1)))][:10].tolist()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "FlatMapCoGroupsInArrow" in plan
