@@ -5,7 +5,8 @@ own rows of the sample, cell by cell in parallel. Every row is indexed: it goes
 cells. Rows are written in partitions by list, ranges of (list, hash of the id) to a task, so a large list has many files
 and no task holds one. The number of lists to probe is found once, when the index is built, by brute force on a bounded sample of
 rows asked against all rows, and stored. A search ranks the lists for each query, reads the partitions of those lists that
-any query probes, and joins on the list; the nearest k are kept per query before anything moves.
+any query probes, and compares blocks of queries with parts of the rows by products of matrices, a query with its own lists
+alone; k rows a query and part are all that moves on.
 
 Layout below a path: lists/list=<n>/ (id, vector), centroids (list, cell, centroid) and meta (one row). Recall is what the
 calibration reached on its sample; without structure in the vectors, high recall needs a large share of the lists.
@@ -19,10 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparsefold.operators.embedding import nearest
+from sparsefold.operators.embedding import nearest, probed
 
 #: Rows of the sample per list, and cells in which a row looks for its list.
 PER_LIST, SEARCHED = 60, 4
@@ -106,7 +107,7 @@ def nearest_lists(df: DataFrame, centroids: np.ndarray, probes: int = 1, column:
             for start in range(0, whole.num_rows, step):
                 batch = whole.slice(start, step)
                 d = _distances(np.stack(batch.column(names.index(column)).to_numpy(zero_copy_only=False)).astype(float), centroids)
-                at = np.argsort(d, axis=1, kind="stable")[:, :probes]
+                at = d.argmin(axis=1)[:, None] if probes == 1 else np.argsort(d, axis=1, kind="stable")[:, :probes]
                 again = pa.array(np.repeat(np.arange(batch.num_rows), at.shape[1]))
                 yield pa.RecordBatch.from_arrays([*[c.take(again) for c in batch.columns], pa.array(at.ravel().astype(np.int32))], [*names, "list"])
 
@@ -179,14 +180,25 @@ def calibrated(index: Index, k: int, recall: float) -> int:
     return reached[math.ceil(recall * len(reached)) - 1]
 
 
+def _wanted(queries: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
+    """list: those that any query probes."""
+    step = max(1, CELLS // len(centroids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(len(centroids), bool)
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                found |= probed(np.stack(batch.slice(start, step).column(0).to_numpy(zero_copy_only=False)).astype(float), centroids, probes).any(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(found).astype(np.int32))], ["list"])
+
+    return queries.select("vector").mapInArrow(run, "list int").distinct()
+
+
 def search(index: Index, queries: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
     """query_id, id, distance, place: the k nearest rows of each query among its probed lists."""
-    asked = nearest_lists(queries.select("query_id", F.col("vector").alias("q")), index.centroids, min(probes or index.probes, len(index.centroids)), column="q")
-    wanted = [r["list"] for r in asked.select("list").distinct().collect()]  # numbers of lists, which prune the partitions
-    rows = index.lists().filter(F.col("list").isin(wanted))
-    distance = F.sqrt(F.aggregate(F.zip_with("q", "vector", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x))
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return asked.join(rows, "list").select("query_id", "id", distance.alias("distance")).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    probes = min(probes or index.probes, len(index.centroids))
+    wanted = sorted(r["list"] for r in _wanted(queries, index.centroids, probes).collect())  # numbers of lists, which prune the partitions
+    return nearest(queries, index.lists().filter(F.col("list").isin(wanted)), k, index.centroids, probes)
 
 
 def share_read(index: Index, queries: DataFrame, probes: int | None = None) -> float:
