@@ -15,11 +15,18 @@ from sparsefold.sources.scratch import written
 
 #: monotonically_increasing_id() holds the partition above these bits.
 BITS = 33
+#: Rows of a task where their number is known: partitions grow with a table, not tasks.
+ROWS = 1 << 18
+
+
+def parts(rows: int) -> int:
+    """How many partitions hold so many rows."""
+    return max(1, -(-rows // ROWS))
 
 
 def _ranged(df: DataFrame, keys: list[str]) -> DataFrame:
     """df in ranges of the keys, each sorted, with _at: its range and place as written."""
-    dealt = df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
+    dealt = df.repartitionByRange(parts(df.count()), *[F.col(k) for k in keys]).sortWithinPartitions(*keys)
     return written(dealt.withColumn("_at", F.monotonically_increasing_id()), "places")
 
 

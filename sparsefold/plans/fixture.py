@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparsefold.operators import presence as presence_ops
 from sparsefold.operators.axis import AxisQuery, scan
+from sparsefold.operators.places import parts
 from sparsefold.operators.transform import sum_duplicates
 
 
@@ -40,6 +41,12 @@ def x(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sum_duplicates(entries(spark, sf_dir))
 
 
+def x_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """x dealt by rows of the matrix to tasks of a bounded size; sums by row need no further shuffle."""
+    found = entries(spark, sf_dir)
+    return sum_duplicates(found.repartition(parts(found.count()), "soma_dim_0"))
+
+
 def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     years = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("soma_dim_0"), F.year("o_orderdate").cast("bigint").alias("dataset_id"))
     return presence_ops.build(entries(spark, sf_dir).join(years, "soma_dim_0").select("dataset_id", F.col("soma_dim_1").alias("var_joinid")))

@@ -217,7 +217,7 @@ def log_normalise(spark, d):
 @query("SELECT soma_dim_0, feature_name AS model_feature, sum(soma_data) AS soma_data FROM x JOIN var ON soma_dim_1 = soma_joinid WHERE feature_length > 5 GROUP BY ALL")
 def gene_collapse(spark, d):
     mapping = fx.var(spark, d).filter("feature_length > 5").select(F.col("soma_joinid").alias("soma_dim_1"), F.col("feature_name").alias("model_feature"))
-    return transform.collapse(fx.x(spark, d), mapping)
+    return transform.collapse(fx.x_by_row(spark, d), mapping)
 
 
 @query(", t AS (SELECT soma_dim_0, sum(soma_data) AS t FROM x GROUP BY 1) SELECT soma_dim_0, soma_dim_1, round(soma_data * 10000 / feature_length / t, 6) AS soma_data FROM x JOIN t USING (soma_dim_0) JOIN var ON soma_dim_1 = soma_joinid WHERE feature_type = 'PROMO'")

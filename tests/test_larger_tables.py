@@ -70,3 +70,16 @@ def test_rows_of_probed_lists_by_products_of_matrices(spark, probes):
         assert found[q] == ids[np.lexsort((ids, ((v[ids] - v[q]) ** 2).sum(axis=1)))][:10].tolist()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_tasks_grow_in_number_and_not_in_size(spark, sf_dir, monkeypatch):
+    from sparsefold.operators import places
+    from sparsefold.plans.catalogue import QUERIES
+
+    monkeypatch.setattr(places, "ROWS", 500)
+    n = places.parts(spark.read.parquet(f"{sf_dir}/lineitem.parquet").count())
+    assert n > 10
+    for name in ("gene_collapse", "read_csr", "read_csc", "preferred_layer"):
+        assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() == n, name
+    plan = QUERIES["validate_normalized"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert f"hashpartitioning(soma_dim_0#" in plan and f", {n}), REPARTITION_BY_NUM" in plan
