@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparsefold.operators.places import parts
+
 
 def global_ids(axis: DataFrame) -> DataFrame:
     """Rows, repeated ids, and whether the ids are 0..n-1."""
@@ -17,12 +19,18 @@ def unique_coords(x: DataFrame) -> DataFrame:
     return x.groupBy("soma_dim_0", "soma_dim_1").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated"), F.sum("n").alias("nnz"))
 
 
-def normalised(raw: DataFrame, norm: DataFrame, tolerance: float = 1e-4) -> DataFrame:
-    """Coordinates of one side only, values that aren't positive, rows that don't sum to 1, values off the raw share."""
-    both = raw.select("soma_dim_0", "soma_dim_1", F.col("soma_data").alias("r")).join(norm.select("soma_dim_0", "soma_dim_1", F.col("soma_data").alias("n")), ["soma_dim_0", "soma_dim_1"], "full_outer")
-    rows = both.groupBy("soma_dim_0").agg(F.sum("r").alias("rs"), F.sum("n").alias("ns"))
-    sums = rows.agg(F.count_if(F.abs(F.col("ns") - 1) > tolerance).alias("bad_rows"))
-    values = both.join(rows, "soma_dim_0").agg(F.count_if(F.col("r").isNull() | F.col("n").isNull()).alias("unmatched"), F.count_if(F.col("n") <= 0).alias("not_positive"), F.count_if(F.abs(F.col("n") - F.col("r") / F.col("rs")) > tolerance).alias("off"))
+def normalised(raw: DataFrame, norm: DataFrame, tolerance: float = 1e-4, rows: int | None = None) -> DataFrame:
+    """Coordinates of one side only, values that aren't positive, rows that don't sum to 1, values off the raw share.
+
+    rows, if known, says how many raw values there are; it sets the tasks.
+    """
+    keys = ["soma_dim_0", "soma_dim_1"]
+    dealt = lambda df, *by: df if rows is None else df.repartition(parts(rows), *by)
+    both = dealt(raw.select(*keys, F.col("soma_data").alias("r")), *keys).join(dealt(norm.select(*keys, F.col("soma_data").alias("n")), *keys), keys, "full_outer")
+    both = dealt(both, "soma_dim_0")
+    totals = both.groupBy("soma_dim_0").agg(F.sum("r").alias("rs"), F.sum("n").alias("ns"))
+    sums = totals.agg(F.count_if(F.abs(F.col("ns") - 1) > tolerance).alias("bad_rows"))
+    values = both.join(totals, "soma_dim_0").agg(F.count_if(F.col("r").isNull() | F.col("n").isNull()).alias("unmatched"), F.count_if(F.col("n") <= 0).alias("not_positive"), F.count_if(F.abs(F.col("n") - F.col("r") / F.col("rs")) > tolerance).alias("off"))
     return values.join(sums)
 
 

@@ -231,12 +231,12 @@ b AS (SELECT soma_dim_0, soma_dim_1, soma_data AS r, n FROM x FULL JOIN n USING
 SELECT count(*) FILTER (r IS NULL OR n IS NULL) AS unmatched, count(*) FILTER (n <= 0) AS not_positive, count(*) FILTER (abs(n - r / rs) > 1e-4) AS off, (SELECT count(*) FROM t WHERE abs(ns - 1) > 1e-4) AS bad_rows FROM b JOIN t USING (soma_dim_0)""")
 def validate_normalized(spark, d):
     """Shares that are doubled, negative, lost or too many."""
-    raw, f = fx.x(spark, d), F.expr(_FAULT)
+    raw, f = fx.x_by_row(spark, d), F.expr(_FAULT)
     norm = transform.normalise_rows(raw)
     v = F.col("soma_data")
     dirty = norm.filter(f != 0).withColumn("soma_data", F.when(f == 1, v * 2).when(f == 2, -v).otherwise(v))
     extra = norm.filter(f == 3).select("soma_dim_0", (F.col("soma_dim_1") + 10_000_000).alias("soma_dim_1"), F.lit(0.5).alias("soma_data"))
-    return validate.normalised(raw, dirty.unionByName(extra))
+    return validate.normalised(raw, dirty.unionByName(extra), rows=fx.entries(spark, d).count())
 
 
 @query(f""", b AS (SELECT soma_dim_0, soma_dim_1, CASE WHEN {_FAULT} = 1 THEN soma_data + 1 ELSE soma_data END AS a FROM x WHERE {_FAULT} <> 0 UNION ALL SELECT soma_dim_0, soma_dim_1 + 10000000, soma_data FROM x WHERE {_FAULT} = 2)
