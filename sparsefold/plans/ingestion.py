@@ -21,14 +21,14 @@ def _lines(spark, d, table: str, key: str) -> int:
 def read_csr(spark, d):
     """Line items packed by rows, with their repeated coordinates, and read again."""
     offsets, entries = matrices.to_compressed(fx.entries(spark, d), _lines(spark, d, "orders", "o_orderkey"))
-    return matrices.canonical(matrices.from_compressed(offsets, entries)).drop("source")
+    return matrices.canonical(matrices.from_compressed(offsets, entries), entries.count()).drop("source")
 
 
 @query(f"{_SUMMED}")
 def read_csc(spark, d):
     """The same by columns."""
     offsets, entries = matrices.to_compressed(fx.entries(spark, d), _lines(spark, d, "part", "p_partkey"), "column")
-    return matrices.canonical(matrices.from_compressed(offsets, entries, "column")).drop("source")
+    return matrices.canonical(matrices.from_compressed(offsets, entries, "column"), entries.count()).drop("source")
 
 
 @query("SELECT soma_dim_0, soma_dim_1 % 50 AS soma_dim_1, sum(soma_data) AS soma_data FROM x GROUP BY ALL HAVING sum(soma_data) <> 0")
@@ -52,7 +52,7 @@ def preferred_layer(spark, d):
     other = rows.filter("y % 7 > 0").select(source, F.lit("X").alias("layer"), "soma_dim_0", "soma_dim_1", F.col("l_extendedprice").alias("soma_data"))
     raw = rows.filter("y % 7 > 0 and y % 3 = 0").select(source, F.lit("raw/X").alias("layer"), "soma_dim_0", "soma_dim_1", F.col("l_quantity").alias("soma_data"))
     model = rows.filter("y % 7 = 0").select(source, F.lit("scaled").alias("layer"), "soma_dim_0", "soma_dim_1", F.lit(1.0).alias("soma_data"))
-    return matrices.canonical(matrices.preferred(other.unionByName(raw).unionByName(model))).withColumn("soma_data", F.round("soma_data", 4))
+    return matrices.canonical(matrices.preferred(other.unionByName(raw).unionByName(model)), fx.table(spark, d, "lineitem").count()).withColumn("soma_data", F.round("soma_data", 4))
 
 
 _JSON = """WITH o AS (SELECT o_orderkey AS pos, 'd' || (o_orderkey % 4000) AS id, o_orderkey % 11 AS a, o_orderkey % 13 AS b, o_orderkey % 17 AS c, o_custkey, o_orderpriority, o_totalprice FROM orders),

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparsefold.operators.places import placed, summed_before
+from sparsefold.operators.places import parts, placed, summed_before
 
 #: Places of entries in a block.
 BLOCK = 1 << 16
@@ -33,6 +33,7 @@ def from_compressed(offsets: DataFrame, entries: DataFrame, by: str = "row", blo
     spans = lines(offsets).withColumn("_block", F.explode(F.sequence(div("start"), div("(end - 1)"))))
     marks = spans.select("source", "_block", F.greatest("start", F.col("_block") * block).alias("at"), "line")
     rows = entries.select("source", div("at").alias("_block"), "at", "index", "value").unionByName(marks, allowMissingColumns=True)
+    rows = rows.repartition(parts(entries.count()), "source", "_block")
     so_far = Window.partitionBy("source", "_block").orderBy("at", F.col("line").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     owned = rows.withColumn("_line", F.last("line", ignorenulls=True).over(so_far)).filter(F.col("line").isNull() & F.col("_line").isNotNull())
     i, j = ("_line", "index") if by == "row" else ("index", "_line")
@@ -55,8 +56,9 @@ def preferred(x: DataFrame, order: tuple[str, ...] = ("raw/X", "X")) -> DataFram
     return x.join(chosen, ["source", "layer"], "left_semi")
 
 
-def canonical(x: DataFrame) -> DataFrame:
-    """One value a coordinate of a source: the sum of those given."""
+def canonical(x: DataFrame, rows: int | None = None) -> DataFrame:
+    """One value a coordinate of a source: the sum of those given. rows, if known, says how many, at most; it sets the tasks."""
+    x = x if rows is None else x.repartition(parts(rows), "source", "soma_dim_0", "soma_dim_1")
     return x.groupBy("source", "soma_dim_0", "soma_dim_1").agg(F.sum("soma_data").alias("soma_data"))
 
 
