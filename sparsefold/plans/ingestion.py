@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparsefold.operators import axis, ingest, ivf, moments, ontology, pca, release, transform, validate
+from sparsefold.operators import axis, ingest, ivf, moments, ontology, pca, places, release, transform, validate
 from sparsefold.plans import fixture as fx
 from sparsefold.plans.registry import query
 from sparsefold.sources import generated, matrices, records
@@ -46,13 +46,15 @@ def read_dense(spark, d):
 )
 def preferred_layer(spark, d):
     """Order years as sources: one in three has raw values, one in seven neither those nor others, the rest has X alone."""
-    years = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("soma_dim_0"), F.year("o_orderdate").alias("y"))
-    rows = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("soma_dim_0"), F.col("l_partkey").alias("soma_dim_1"), "l_quantity", "l_extendedprice").join(years, "soma_dim_0")
+    lines = fx.table(spark, d, "lineitem")
+    n = places.parts(lines.count())
+    years = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("soma_dim_0"), F.year("o_orderdate").alias("y")).repartition(n, "soma_dim_0")
+    rows = lines.select(F.col("l_orderkey").alias("soma_dim_0"), F.col("l_partkey").alias("soma_dim_1"), "l_quantity", "l_extendedprice").repartition(n, "soma_dim_0").join(years, "soma_dim_0")
     source = F.col("y").cast("string").alias("source")
     other = rows.filter("y % 7 > 0").select(source, F.lit("X").alias("layer"), "soma_dim_0", "soma_dim_1", F.col("l_extendedprice").alias("soma_data"))
     raw = rows.filter("y % 7 > 0 and y % 3 = 0").select(source, F.lit("raw/X").alias("layer"), "soma_dim_0", "soma_dim_1", F.col("l_quantity").alias("soma_data"))
     model = rows.filter("y % 7 = 0").select(source, F.lit("scaled").alias("layer"), "soma_dim_0", "soma_dim_1", F.lit(1.0).alias("soma_data"))
-    return matrices.canonical(matrices.preferred(other.unionByName(raw).unionByName(model)), fx.table(spark, d, "lineitem").count()).withColumn("soma_data", F.round("soma_data", 4))
+    return matrices.canonical(matrices.preferred(other.unionByName(raw).unionByName(model)), lines.count()).withColumn("soma_data", F.round("soma_data", 4))
 
 
 _JSON = """WITH o AS (SELECT o_orderkey AS pos, 'd' || (o_orderkey % 4000) AS id, o_orderkey % 11 AS a, o_orderkey % 13 AS b, o_orderkey % 17 AS c, o_custkey, o_orderpriority, o_totalprice FROM orders),
@@ -111,7 +113,7 @@ def axis_reindex(spark, d):
 @query("SELECT soma_joinid, sum(nnz) OVER (ORDER BY soma_joinid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT soma_joinid, count(soma_data) AS nnz FROM obs LEFT JOIN x ON soma_dim_0 = soma_joinid GROUP BY 1)")
 def running_nnz(spark, d):
     """How many values are stored before each observation: where a reader that takes equal steps would cut."""
-    from sparsefold.operators import places, stats
+    from sparsefold.operators import stats
 
     sizes = stats.obs_stats(fx.x(spark, d), fx.obs(spark, d).select(F.col("soma_joinid").alias("soma_dim_0"))).select("soma_joinid", "nnz")
     before = places.summed_before(sizes, ["soma_joinid"], "nnz", "before")
