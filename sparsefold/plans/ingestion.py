@@ -214,8 +214,9 @@ def pca_moments(spark, d):
 def pca_scores(spark, d):
     """Scores of all observations on the first four components of the whole matrix."""
     obs = fx.obs(spark, d)
-    found = pca.principal_components(fx.x(spark, d), obs.count(), k=4, max_basis=40)
-    return pca.scores(fx.x(spark, d), obs.select("soma_joinid"), found)
+    x = pca.dealt(fx.x(spark, d), 10)
+    found = pca.principal_components(x, obs.count(), k=4, max_basis=40)
+    return pca.scores(x, obs.select("soma_joinid"), found)
 
 
 @query()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparsefold.operators import build, embedding, learning, ontology
+from sparsefold.operators import build, embedding, learning, ontology, pca
 from sparsefold.sources import generated
 
 
@@ -83,3 +83,54 @@ def test_tasks_grow_in_number_and_not_in_size(spark, sf_dir, monkeypatch):
         assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() == n, name
     plan = QUERIES["validate_normalized"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert f"hashpartitioning(soma_dim_0#" in plan and f", {n}), REPARTITION_BY_NUM" in plan
+
+
+def _shuffled(spark, run):
+    """Bytes that the stages of a call write for shuffles."""
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before = max(stages(), default=-1)
+    run()
+    return sum(v for k, v in stages().items() if k > before)
+
+
+def test_images_move_features_and_not_values(spark):
+    x = spark.range(120_000).select(F.expr("id div 40 as soma_dim_0"), F.expr("id % 40 as soma_dim_1"), F.rand(3).alias("soma_data"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one, three = (_shuffled(spark, lambda n=n: pca.principal_components(x, 3000, 2, block=5, max_basis=5 * n, tolerance=0.0)) for n in (1, 3))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert 0 < three - one < 2 * 120_000  # two images more move less than two bytes a stored value
+
+
+def test_components_over_many_blocks(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    x = (r.normal(size=(500, 3)) * [9, 6, 4]) @ r.normal(size=(3, 30)) + r.normal(size=(500, 30))
+    x[r.random(x.shape) < 0.3] = 0
+    x[40:60], x[:, 4] = 0, 0
+    cells = [(int(i) - 250, int(j) * 3, float(v)) for (i, j), v in np.ndenumerate(x) if v]
+    layer = spark.createDataFrame(cells, "soma_dim_0 long, soma_dim_1 long, soma_data double")
+    monkeypatch.setattr(pca, "NUMBERS", 8 * 500)
+    dealt = pca.dealt(layer, 8)
+    blocks = dealt.groupBy("at").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(blocks) > 15 and max(b["n"] for b in blocks) < 530 and sum(b["n"] for b in blocks) == len(cells)
+    assert dealt.groupBy("soma_dim_0").agg(F.count_distinct("at").alias("n")).filter("n > 1").count() == 0
+    found = pca.principal_components(dealt, 500, 2)
+    centred = x - x.mean(axis=0)
+    assert np.allclose(found.variances, np.linalg.eigvalsh(centred.T @ centred / 499)[::-1][:2], rtol=1e-6)
+    loading = np.zeros((30, 2))
+    for row in found.loadings.collect():
+        loading[row["soma_dim_1"] // 3] = row["loading"]
+    obs = spark.range(-250, 250).withColumnRenamed("id", "soma_joinid")
+    for given in (dealt, layer):
+        score = {row["soma_joinid"]: row["pc"] for row in pca.scores(given, obs, found).collect()}
+        assert np.allclose([score[i - 250] for i in range(500)], centred @ loading, atol=1e-8)
+    part = pca.scores(layer.filter("soma_dim_1 < 9 or soma_dim_0 > 0"), obs, found).count()  # blocks without some of the features
+    assert part == 500
