@@ -134,3 +134,11 @@ def test_components_over_many_blocks(spark, monkeypatch):
         assert np.allclose([score[i - 250] for i in range(500)], centred @ loading, atol=1e-8)
     part = pca.scores(layer.filter("soma_dim_1 < 9 or soma_dim_0 > 0"), obs, found).count()  # blocks without some of the features
     assert part == 500
+
+
+def test_all_components_of_few_features_make_the_matrix_once(spark, sf_dir):
+    from sparsefold.plans import ingestion
+    from sparsefold.plans.catalogue import QUERIES
+
+    once = _shuffled(spark, lambda: ingestion._by_length(spark, sf_dir).write.format("noop").mode("overwrite").save())
+    assert _shuffled(spark, lambda: QUERIES["pca_moments"](spark, sf_dir).collect()) < 4 * once
