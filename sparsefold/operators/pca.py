@@ -136,10 +136,11 @@ def _freed(base: DataFrame, steps: list[tuple[np.ndarray, np.ndarray]], *kept: s
     return base.select(*dict.fromkeys([*kept, "basis", "image"])).mapInArrow(run, schema)
 
 
-def dealt(x: DataFrame, width: int) -> DataFrame:
+def dealt(x: DataFrame, width: int, whole: bool = False) -> DataFrame:
     """at, soma_dim_0, soma_dim_1 and v: the stored values in blocks of whole observations, numbered by at, written once.
 
-    A block ends with the observation that reaches its size, NUMBERS by width columns.
+    A block ends with the observation that reaches its size, NUMBERS by width columns. whole: a partition of x has all values
+    of its observations. Blocks are then made where these are, which saves a shuffle, but neighbours needn't share a block.
     """
     size = max(1, NUMBERS // max(1, width))
     ids = [F.col(c).cast("bigint").alias(c) for c in ("soma_dim_0", "soma_dim_1")]
@@ -156,8 +157,8 @@ def dealt(x: DataFrame, width: int) -> DataFrame:
             begun, last, done = starts[-1], obs[-1], done + len(obs)
             yield pa.RecordBatch.from_arrays([pa.array(first + starts // size), *batch.columns], ["at", *batch.schema.names])
 
-    ranges = rows.repartitionByRange("soma_dim_0").sortWithinPartitions("soma_dim_0")
-    return written(ranges.mapInArrow(run, "at bigint, soma_dim_0 bigint, soma_dim_1 bigint, v double"), "pca-values")
+    sorted_rows = (rows if whole else rows.repartitionByRange("soma_dim_0")).sortWithinPartitions("soma_dim_0")
+    return written(sorted_rows.mapInArrow(run, "at bigint, soma_dim_0 bigint, soma_dim_1 bigint, v double"), "pca-values")
 
 
 def _held(cells: DataFrame) -> DataFrame:

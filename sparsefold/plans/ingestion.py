@@ -192,8 +192,11 @@ def version_chains(spark, d):
 
 
 def _by_length(spark, d):
-    names = fx.var(spark, d).select(F.col("soma_joinid").alias("soma_dim_1"), F.col("feature_length").alias("model_feature"))
-    return transform.collapse(fx.x(spark, d), names).withColumnRenamed("model_feature", "soma_dim_1")
+    """The matrix summed by length of the features, dealt by its rows to tasks of a bounded size: nothing is summed before, as coordinates hardly repeat."""
+    entries = fx.entries(spark, d)
+    lengths = fx.var(spark, d).select(F.col("soma_joinid").alias("soma_dim_1"), "feature_length")
+    found = entries.join(lengths, "soma_dim_1").select("soma_dim_0", F.col("feature_length").alias("soma_dim_1"), "soma_data")
+    return transform.sum_duplicates(found.repartition(places.parts(entries.count()), "soma_dim_0"))
 
 
 @query(
@@ -205,7 +208,8 @@ def _by_length(spark, d):
 def pca_moments(spark, d):
     """All components over features summed by length: the sums of their variances and of the squares are those of the covariance."""
     obs = fx.obs(spark, d)
-    found = pca.principal_components(_by_length(spark, d), obs.count(), k=50)
+    x = pca.dealt(_by_length(spark, d), 56, whole=True)
+    found = pca.principal_components(x, obs.count(), k=50)
     rows = spark.createDataFrame([(v,) for v in found.variances], "v double")
     return rows.agg(F.count("v").alias("components"), F.round(F.sum("v"), 5).alias("trace"), F.round(F.sum(F.col("v") * F.col("v")), 3).alias("squares"))
 

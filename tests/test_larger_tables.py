@@ -142,3 +142,25 @@ def test_all_components_of_few_features_make_the_matrix_once(spark, sf_dir):
 
     once = _shuffled(spark, lambda: ingestion._by_length(spark, sf_dir).write.format("noop").mode("overwrite").save())
     assert _shuffled(spark, lambda: QUERIES["pca_moments"](spark, sf_dir).collect()) < 4 * once
+
+
+def test_features_by_length_take_one_shuffle_in_bounded_tasks(spark, sf_dir, monkeypatch):
+    from sparsefold.operators import places
+    from sparsefold.plans import fixture, ingestion
+
+    entries, drained = fixture.entries(spark, sf_dir), lambda df: df.write.format("noop").mode("overwrite").save()
+    once = _shuffled(spark, lambda: drained(entries.repartition(1, "soma_dim_0")))
+    assert _shuffled(spark, lambda: drained(ingestion._by_length(spark, sf_dir))) < 1.5 * once
+    assert _shuffled(spark, lambda: pca.dealt(ingestion._by_length(spark, sf_dir), 56, whole=True)) < 1.5 * once
+    monkeypatch.setattr(places, "ROWS", 500)
+    assert ingestion._by_length(spark, sf_dir).rdd.getNumPartitions() == places.parts(entries.count()) > 10
+
+
+def test_observations_whole_in_partitions_are_dealt_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(pca, "NUMBERS", 8 * 500)
+    x = spark.range(6000).select(F.expr("id % 300 - 150 as soma_dim_0"), F.expr("id div 300 as soma_dim_1"), F.rand(5).alias("soma_data"))
+    there = pca.dealt(x.repartition(5, "soma_dim_0"), 8, whole=True)
+    blocks = [b["n"] for b in there.groupBy("at").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(blocks) == 6000 and len(blocks) > 10 and max(blocks) < 520
+    assert there.groupBy("soma_dim_0").agg(F.count_distinct("at").alias("n")).filter("n > 1").count() == 0
+    assert np.allclose(*(pca.principal_components(c, 300, 3).variances for c in (there, x)), rtol=1e-6)
