@@ -118,7 +118,7 @@ def reindexed(x: DataFrame, ids: DataFrame, dim: str = "soma_dim_0") -> DataFram
     if "place" not in ids.columns:
         ids = placed(ids.select("soma_joinid"), ["soma_joinid"])
     places = ids.select(F.col("soma_joinid").alias(dim), F.col("place").alias("_place"))
-    return x.join(places, dim).withColumn(dim, F.col("_place")).drop("_place")
+    return x.join(places, dim).withColumn(dim, F.col("_place")).select(*x.columns)
 
 
 def reindexed_slice(q: AxisQuery) -> DataFrame:
