@@ -218,7 +218,7 @@ def pca_moments(spark, d):
 def pca_scores(spark, d):
     """Scores of all observations on the first four components of the whole matrix."""
     obs = fx.obs(spark, d)
-    x = pca.dealt(fx.x(spark, d), 10)
+    x = pca.dealt(fx.x_by_row(spark, d), 10)
     found = pca.principal_components(x, obs.count(), k=4, max_basis=40)
     return pca.scores(x, obs.select("soma_joinid"), found)
 
